@@ -30,8 +30,8 @@ COUNTERS = 1 << 19  # of the frequency sketch; fixed, whatever the corpus size
 PIECE = 1 << 14
 PIVOTS = 16  # sets per shingle that all others of the shingle are first verified against
 SEEN = 200_000  # sets that a task remembers so as to emit the prefix of copies once
-BINS = 64  # of the suffix filter
-FULL = 255
+WORDS = 8  # of 64 bits, for the suffix filter
+PARITY = [f"p{i}" for i in range(WORDS)]
 
 
 def _signature(s: np.ndarray) -> tuple[int, int]:
@@ -51,36 +51,41 @@ def _sets(col: pa.Array, k: int) -> Iterator[tuple[int, np.ndarray]]:
             yield lo + i, np.unique(s[so[i] : so[i + 1]])
 
 
-SET_SCHEMA = "doc_id long, s1 long, s2 long, n int, bins binary, piece int, counts binary"
+SET_SCHEMA = "doc_id long, s1 long, s2 long, n int, " + "".join(f"{p} long, " for p in PARITY) + "piece int, counts binary"
 
 
 def _scan(k: int):
     """One row per document, and at the end of a task the pieces of its frequency sketch."""
+    names = [x.split()[0] for x in SET_SCHEMA.split(", ")]
+    kinds = [{"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}[x.split()[1]] for x in SET_SCHEMA.split(", ")]
+    schema = pa.schema(zip(names, kinds, strict=True))
+
+    def record(**cols):
+        size = len(next(iter(cols.values())))
+        return pa.record_batch([cols[c] if c in cols else pa.nulls(size, t) for c, t in zip(names, kinds, strict=True)], schema=schema)
 
     def run(batches):
         total, wait, waiting = np.zeros(COUNTERS, np.int64), [], 0
-        schema = pa.schema([("doc_id", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("n", pa.int32()), ("bins", pa.binary()), ("piece", pa.int32()), ("counts", pa.binary())])
         for batch in batches:
-            s1, s2, n, bins = [], [], [], []
-            for _, s in _sets(batch.column(1), k):
+            s1, s2, n, parity = [], [], [], np.zeros((batch.num_rows, 64 * WORDS), np.uint8)
+            for i, s in _sets(batch.column(1), k):
                 one, two = _signature(s) if len(s) else (None, None)
                 s1.append(one)
                 s2.append(two)
                 n.append(len(s))
-                bins.append(np.minimum(np.bincount((s & text.U(BINS - 1)).astype(np.int64), minlength=BINS), FULL).astype(np.uint8).tobytes())
+                parity[i] = np.bincount((s & text.U(64 * WORDS - 1)).astype(np.int64), minlength=64 * WORDS) & 1
                 wait.append((s >> text.U(64 - 19)).astype(np.int64))
                 waiting += len(s)
                 if waiting > 1 << 21:
                     total += np.bincount(np.concatenate(wait), minlength=COUNTERS)
                     wait, waiting = [], 0
-            none = pa.nulls(len(n))
-            yield pa.record_batch([batch.column(0).cast(pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(n, pa.int32()), pa.array(bins, pa.binary()), none.cast(pa.int32()), none.cast(pa.binary())], schema=schema)
+            bits = np.packbits(parity, axis=1).view(np.int64).T
+            yield record(doc_id=batch.column(0).cast(pa.int64()), s1=pa.array(s1, pa.int64()), s2=pa.array(s2, pa.int64()), n=pa.array(n, pa.int32()), **{p: pa.array(x) for p, x in zip(PARITY, bits, strict=True)})
         if wait:
             total += np.bincount(np.concatenate(wait), minlength=COUNTERS)
         if total.any():
-            rows = [(i, zlib.compress(total[i * PIECE : (i + 1) * PIECE].tobytes(), 1)) for i in range(COUNTERS // PIECE)]
-            none = pa.nulls(len(rows))
-            yield pa.record_batch([*(none.cast(x) for x in (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())), pa.array([x for x, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], schema=schema)
+            pieces = range(COUNTERS // PIECE)
+            yield record(piece=pa.array(pieces, pa.int32()), counts=pa.array([zlib.compress(total[i * PIECE : (i + 1) * PIECE].tobytes(), 1) for i in pieces], pa.binary()))
 
     return run
 
@@ -174,18 +179,10 @@ def _bound(na: str, ia: str, nb: str, ib: str, num: int, den: int) -> str:
     )
 
 
-def _suffix(num: int, den: int):
-    """Overlap can't exceed the sum over bins of the lesser count; a full bin has no bound."""
-
-    def run(batches):
-        for batch in batches:
-            a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, BINS).astype(np.int64) for i in (4, 5))
-            na, nb = (batch.column(i).to_numpy() for i in (2, 3))
-            most = np.minimum(a, b).sum(1)
-            fits = ((a == FULL) | (b == FULL)).any(1) | (most * (num + den) >= num * (na.astype(np.int64) + nb))
-            yield batch.select([0, 1]).filter(pa.array(fits))
-
-    return run
+def _suffix(x: str, y: str, num: int, den: int) -> str:
+    """SQL: the sets differ in at least as many shingles as the parities of their hash bins; do so many fit?"""
+    differ = " + ".join(f"bit_count({p}_{x} ^ {p}_{y})" for p in PARITY)
+    return f"(n_{x} + n_{y} - ({differ})) * {num + den}L >= {2 * num}L * (n_{x} + n_{y})"
 
 
 def _whole_sets(k: int):
@@ -229,8 +226,8 @@ class JaccardJoin:
         self.spark = docs.sparkSession
         self.folder = shared.work_folder(self.spark)
         scan = shared.written(self.docs.mapInArrow(_scan(k), SET_SCHEMA), self.folder, "sets")
-        self.rows = scan.where("n is not null").select("doc_id", "s1", "s2", "n", "bins")
-        self.classes = self.rows.where("n > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("least"), F.min("n").alias("n"), F.min("bins").alias("bins"))
+        self.rows = scan.where("n is not null").select("doc_id", "s1", "s2", "n", *PARITY)
+        self.classes = self.rows.where("n > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("least"), F.min("n").alias("n"), *(F.min(p).alias(p) for p in PARITY))
         pieces = scan.where("piece is not null").select("piece", "counts")
         sums = pieces.repartition(COUNTERS // PIECE, "piece").mapInArrow(_add_pieces, "piece int, counts binary")
         counts = np.zeros(COUNTERS, np.int64)
@@ -245,10 +242,9 @@ class JaccardJoin:
 
     def _checked(self, pairs: DataFrame, name: str) -> DataFrame:
         """Of distinct pairs (a, b) of sets those that link."""
-        bins = self.classes.select("s1", "n", "bins")
-        both = pairs.join(bins.select(F.col("s1").alias("a"), F.col("n").alias("na"), F.col("bins").alias("ba")), "a")
-        both = both.join(bins.select(F.col("s1").alias("b"), F.col("n").alias("nb"), F.col("bins").alias("bb")), "b")
-        fit = both.select("a", "b", "na", "nb", "ba", "bb").mapInArrow(_suffix(self.num, self.den), "a long, b long")
+        sets = self.classes.select("s1", "n", *PARITY)
+        a, b = (sets.select(F.col("s1").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in sets.columns[1:])) for side in "ab")
+        fit = pairs.join(a, "a").join(b, "b").where(_suffix("a", "b", self.num, self.den)).select("a", "b")
         fit = shared.written(fit, self.folder, f"{name}-fit")
         need = fit.select(F.col("a").alias("s1")).unionByName(fit.select(F.col("b").alias("s1"))).distinct()
         ids = self.rows.where("n > 0").join(need, "s1", "left_semi").groupBy("s1", "s2").agg(F.min("doc_id").alias("doc_id"))
@@ -261,9 +257,11 @@ class JaccardJoin:
         return shared.written(good.distinct(), self.folder, f"{name}-links")
 
     def _pairs(self, some: DataFrame, others: DataFrame, which: str) -> DataFrame:
-        """Distinct pairs of sets with the same token that the length and positional filters let pass."""
+        """Distinct pairs of sets with the same token that the length, positional and (if they have it) suffix filters let pass."""
         x, y = (df.select("token", *(F.col(c).alias(f"{c}_{side}") for c in df.columns if c != "token")) for df, side in ((some, "x"), (others, "y")))
         ok = F.expr(f"{which} AND " + _bound("n_x", "pos_x", "n_y", "pos_y", self.num, self.den))
+        if PARITY[0] in some.columns:
+            ok = ok & F.expr(_suffix("x", "y", self.num, self.den))
         return x.join(y, "token").where(ok).select(F.least("s1_x", "s1_y").alias("a"), F.greatest("s1_x", "s1_y").alias("b")).distinct()
 
     def links(self) -> DataFrame:
@@ -282,7 +280,8 @@ class JaccardJoin:
         members = self.common.select("token", "s1", "n", "pos").join(root.select(F.col("node").alias("s1"), "root"), "s1", "left")
         members = members.withColumn("root", F.coalesce("root", "s1"))
         open_ = members.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("token")
-        members = shared.written(members.join(open_, "token", "left_semi"), self.folder, "open")
+        members = members.join(open_, "token", "left_semi").join(self.classes.select("s1", *PARITY), "s1")
+        members = shared.written(members, self.folder, "open")
         rest = self._pairs(members, members, "s1_x < s1_y AND root_x <> root_y").join(star, ["a", "b"], "left_anti")
         near = near.unionByName(self._checked(shared.written(rest, self.folder, "rest"), "rest"))
         # a doc_id that several rows have is one node: its classes belong together
