@@ -1,2 +1,413 @@
-QUERIES = {}
-ORACLES = {}
+"""Registered queries of the review operators, each with SQL that DuckDB runs on the same tables.
+
+The tables hold prose, not diffs, so reviews, diffs and labels are derived from the documents' words
+by the same rule in both engines.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import reward, text
+from ..operators import curate, overlap, rouge, stats
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def _query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _both(name: str, sql: str, *tables: str) -> None:
+    """A query whose SQL both engines read alike."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return spark.sql(sql, **{t: _table(spark, sf_dir, t) for t in tables})
+
+    run.__name__ = name
+    QUERIES[name] = run
+    ORACLES[name] = sql.format(**{t: t for t in tables})
+
+
+# --- scores: documents and labels as reviews and defects -------------------------------------
+_SCORED_SQL = """
+WITH s AS (SELECT d.doc_id, d.lang, d.source, d.text, d.n_chars,
+  coalesce(CAST(l.quality = 0 AS INT), 0) + coalesce(CAST(l.toxic = 1 AS INT), 0) AS n_defects,
+  CAST(d.n_chars < 400 AS INT) + CAST(lower(d.text) LIKE '%worthless%' AS INT) AS claims,
+  coalesce(CAST(l.quality = 0 AND d.n_chars < 400 AS INT), 0) + coalesce(CAST(l.toxic = 1 AND lower(d.text) LIKE '%worthless%' AS INT), 0) AS caught
+  FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id),
+c AS (SELECT *, CASE WHEN n_defects > 0 THEN caught / n_defects END AS recall,
+  CASE WHEN n_defects > 0 THEN CASE WHEN claims > 0 THEN least(1.0, caught / claims) ELSE 0.0 END END AS "precision",
+  CASE WHEN n_defects = 0 THEN CAST(claims > 0 AS INT) * 1.0 END AS fp_rate FROM s)
+"""
+_MEANS_SQL = """count(*) AS n_total, count(*) FILTER (WHERE n_defects > 0) AS n_labeled, count(*) FILTER (WHERE n_defects = 0) AS n_clean,
+  round(avg(recall), 6) AS recall, round(avg("precision"), 6) AS "precision", round(avg(fp_rate), 6) AS fp_rate"""
+
+
+def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = _table(spark, sf_dir, "labels")
+    df = _table(spark, sf_dir, "documents").join(labels, "doc_id", "left")
+    low, toxic = F.col("n_chars") < 400, F.contains(F.lower("text"), F.lit("worthless"))
+    n = lambda c: F.coalesce(c.cast("int"), F.lit(0))
+    df = df.select(
+        "doc_id", "lang", "source", "text", "n_chars",
+        (n(F.col("quality") == 0) + n(F.col("toxic") == 1)).alias("n_defects"), (n(low) + n(toxic)).alias("claims"),
+        (n((F.col("quality") == 0) & low) + n((F.col("toxic") == 1) & toxic)).alias("caught"),
+    )
+    return df.withColumns(reward.components(F.col("n_defects"), F.col("caught"), F.col("claims"), F.lit(1.0), F.col("text")))
+
+
+@_query(_SCORED_SQL + f"SELECT {_MEANS_SQL} FROM c")
+def score_conditional_means(spark, sf_dir):
+    return stats.conditional_means(_scored(spark, sf_dir))
+
+
+@_query(_SCORED_SQL + f"SELECT coalesce(lang, 'unknown') AS bucket, {_MEANS_SQL} FROM c GROUP BY 1")
+def breakdown_by_bucket(spark, sf_dir):
+    return stats.conditional_means(_scored(spark, sf_dir).withColumn("bucket", F.coalesce("lang", F.lit("unknown"))), "bucket")
+
+
+@_query(_SCORED_SQL + "SELECT source, round(avg(CAST(claims > 0 AS INT)), 6) AS pass_rate, count(*) AS n FROM c GROUP BY ROLLUP (source)")
+def pattern_rollup(spark, sf_dir):
+    return _scored(spark, sf_dir).rollup("source").agg(F.round(F.avg((F.col("claims") > 0).cast("int")), 6).alias("pass_rate"), F.count("*").alias("n"))
+
+
+@_query(_SCORED_SQL + """SELECT round(avg(CASE WHEN n_defects > 0 THEN 1.5 * 1.5 * 0 + 3.25 * "precision" * recall / nullif(2.25 * "precision" + recall, 0) END), 6) AS fbeta_defined,
+  round(avg(CASE WHEN n_defects = 0 THEN greatest(0.0, 1 - 0.35 * claims) END), 6) AS clean_quality,
+  round(avg(CASE WHEN n_chars < 150 THEN n_chars / 150 WHEN n_chars <= 1000 THEN 1.0 ELSE greatest(0.0, 1 - (n_chars - 1000) / 1500) END), 6) AS length_score FROM c""")
+def verifiable_reward_parts(spark, sf_dir):
+    df = _scored(spark, sf_dir)
+    return df.agg(
+        F.round(F.avg(F.when((F.col("n_defects") > 0) & (2.25 * F.col("precision") + F.col("recall") > 0), F.col("quality"))), 6).alias("fbeta_defined"),
+        F.round(F.avg(F.when(F.col("n_defects") == 0, F.col("quality"))), 6).alias("clean_quality"),
+        F.round(F.avg(reward.length_score(F.col("text"))), 6).alias("length_score"),
+    )
+
+
+def _variants(spark, sf_dir):
+    a = _scored(spark, sf_dir)
+    one = F.lit(1)
+    b = a.select("doc_id", "n_defects", "text", F.least("claims", one).alias("claims"), F.least("caught", one).alias("caught"))
+    return a, b.withColumns(reward.components(F.col("n_defects"), F.col("caught"), F.col("claims"), F.lit(1.0), F.col("text")))
+
+
+@_query(_SCORED_SQL + """, b AS (SELECT doc_id, CASE WHEN n_defects > 0 THEN least(caught, 1) / n_defects END AS recall, CASE WHEN n_defects = 0 THEN CAST(least(claims, 1) > 0 AS INT) * 1.0 END AS fp_rate FROM c)
+SELECT count(*) AS n, round(avg(b.recall - c.recall), 6) AS recall_delta, round(avg(b.fp_rate - c.fp_rate), 6) AS fp_delta FROM c JOIN b USING (doc_id)""")
+def paired_delta_point(spark, sf_dir):
+    d = stats.paired_deltas(*_variants(spark, sf_dir), "doc_id")
+    return d.agg(F.count("*").alias("n"), F.round(F.avg("recall"), 6).alias("recall_delta"), F.round(F.avg("fp_rate"), 6).alias("fp_delta"))
+
+
+@_query()
+def paired_bootstrap_exact(spark, sf_dir):
+    return stats.paired_bootstrap(stats.paired_deltas(*_variants(spark, sf_dir), "doc_id"), "doc_id")
+
+
+@_query()
+def poisson_bootstrap_interval(spark, sf_dir):
+    return stats.poisson_bootstrap(_scored(spark, sf_dir), "doc_id", "fp_rate")
+
+
+_both("multi_contender_report", """
+SELECT model, count(*) AS n, round(avg(CAST(claim AS DOUBLE)), 6) AS claim_rate FROM (
+  SELECT doc_id, 'short' AS model, CAST(n_chars < 400 AS INT) AS claim FROM {documents} UNION ALL
+  SELECT doc_id, 'toxic' AS model, CAST(lower(text) LIKE '%worthless%' AS INT) AS claim FROM {documents}) GROUP BY model""", "documents")
+_both("label_census", """
+SELECT CAST(sum(CAST(quality = 0 AS INT) + CAST(toxic = 1 AS INT)) AS BIGINT) AS tuples, CAST(sum(CAST(quality = 1 AND toxic = 0 AS INT)) AS BIGINT) AS clean, count(*) AS n FROM {labels}""", "labels")
+_both("regression_stats", """
+SELECT CAST(sum(CAST(d > 0 AS INT)) AS BIGINT) AS improved, CAST(sum(CAST(d < 0 AS INT)) AS BIGINT) AS regressed, CAST(sum(CAST(d = 0 AS INT)) AS BIGINT) AS tied,
+  CAST(sum(CAST(d > 0 AS INT) - CAST(d < 0 AS INT)) AS BIGINT) AS net, round(avg(CAST(d AS DOUBLE)), 6) AS mean_delta FROM (SELECT quality - toxic AS d FROM {labels})""", "labels")
+_both("repo_breakdown", "SELECT source, count(*) AS n, round(avg(CAST(n_chars AS DOUBLE)), 4) AS mean_chars FROM {documents} GROUP BY source", "documents")
+_both("worst_10", "SELECT doc_id, n_chars FROM {documents} WHERE n_chars < 400 ORDER BY n_chars, doc_id LIMIT 10", "documents")
+_both("top_5_per_report", "SELECT o_orderkey, o_totalprice FROM {orders} ORDER BY o_totalprice DESC, o_orderkey LIMIT 5", "orders")
+_both("best_checkpoint", """
+SELECT bucket, recall FROM (SELECT event_type AS bucket, round(avg(value), 6) AS recall, avg(CAST(user_id % 2 AS INT) * 1.0) AS fp FROM {events} GROUP BY event_type)
+WHERE fp <= 1 + 1e-9 ORDER BY recall DESC, bucket LIMIT 1""", "events")
+_both("score_distribution", """
+SELECT b.s AS score, count(q.doc_id) AS n FROM (SELECT 0 AS s UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4 UNION ALL SELECT 5 UNION ALL SELECT 6 UNION ALL SELECT 7 UNION ALL SELECT 8 UNION ALL SELECT 9 UNION ALL SELECT 10) b
+LEFT JOIN (SELECT doc_id, CAST(least(n_chars, 10000) AS INT) % 11 AS s FROM {documents}) q ON q.s = b.s GROUP BY b.s""", "documents")
+_both("resume_antijoin", "SELECT d.doc_id FROM {documents} d WHERE NOT EXISTS (SELECT 1 FROM {labels} l WHERE l.doc_id = d.doc_id AND l.quality = 1)", "documents", "labels")
+_both("union_merge", "SELECT origin, count(*) AS n FROM (SELECT 'kept' AS origin FROM {documents} WHERE n_chars >= 400 UNION ALL SELECT 'synthetic' FROM {benchmark}) GROUP BY origin", "documents", "benchmark")
+_both("backfill", "SELECT d.doc_id, coalesce(nullif(l.src, ''), d.source, '') AS source FROM {documents} d LEFT JOIN (SELECT doc_id, CASE WHEN toxic = 1 THEN 'toxic' ELSE '' END AS src FROM {labels}) l ON d.doc_id = l.doc_id", "documents", "labels")
+_both("weakest_bucket", "SELECT lang, round(avg(CAST(n_chars AS DOUBLE)), 4) AS mean_chars FROM {documents} GROUP BY lang ORDER BY 2, 1 LIMIT 1", "documents")
+
+# --- rewards: events as rollouts ---------------------------------------------------------------
+_REWARDS_SQL = "WITH r AS (SELECT event_id, user_id, value - floor(value) AS reward FROM events) "
+
+
+def _rewards(spark, sf_dir):
+    return _table(spark, sf_dir, "events").select("event_id", "user_id", (F.col("value") - F.floor("value")).alias("reward"))
+
+
+@_query(_REWARDS_SQL + "SELECT event_id, round(reward - greatest(avg(reward) OVER (PARTITION BY user_id), 0.45), 6) + 0.0 AS advantage FROM r")
+def clipped_advantage(spark, sf_dir):
+    return stats.advantages(_rewards(spark, sf_dir), "user_id", 0.45).select("event_id", (F.round("advantage", 6) + 0.0).alias("advantage"))
+
+
+@_query(_REWARDS_SQL + "SELECT round(avg(s), 6) AS mean_std, round(avg(s), 6) >= 0.1 AS passed FROM (SELECT stddev_pop(reward) AS s FROM r GROUP BY user_id)")
+def group_std_gate(spark, sf_dir):
+    return stats.spread_gate(_rewards(spark, sf_dir), "user_id")
+
+
+@_query(_REWARDS_SQL + """, e AS (SELECT [0.0, 0.1, 0.2, CAST(0.30000000000000004 AS DOUBLE), 0.4, 0.5, CAST(0.6000000000000001 AS DOUBLE), CAST(0.7000000000000001 AS DOUBLE), 0.8, 0.9, 1.0]::DOUBLE[] AS edges),
+h AS (SELECT least(len(list_filter(edges, lambda x: x <= reward)) - 1, 9) AS bin, count(*) AS n FROM r, e GROUP BY 1)
+SELECT CAST(i AS INT) AS bin, coalesce(n, 0) AS n FROM range(10) g(i) LEFT JOIN h ON h.bin = i""")
+def reward_histogram(spark, sf_dir):
+    return stats.histogram(_rewards(spark, sf_dir), "reward")
+
+
+@_query(_REWARDS_SQL + """SELECT round(quantile_cont(reward, 0.25) FILTER (WHERE reward >= 1e-9), 6) AS p25, round(quantile_cont(reward, 0.33) FILTER (WHERE reward >= 1e-9), 6) AS p33,
+  round(quantile_cont(reward, 0.5) FILTER (WHERE reward >= 1e-9), 6) AS p50, count(*) FILTER (WHERE reward < 1e-9) AS n_zero FROM r""")
+def reward_percentiles(spark, sf_dir):
+    r = F.when(F.col("reward") >= 1e-9, F.col("reward"))
+    at = lambda q: F.round(F.percentile(r, F.lit(q)), 6)
+    return _rewards(spark, sf_dir).agg(at(0.25).alias("p25"), at(0.33).alias("p33"), at(0.5).alias("p50"), F.count_if(F.col("reward") < 1e-9).alias("n_zero"))
+
+
+_VOTES_SQL = """WITH v AS (SELECT user_id, event_id, substr('ABT', CAST(event_id % 3 AS INT) + 1, 1) AS v, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events),
+m AS (SELECT user_id, CASE WHEN count(*) FILTER (WHERE v = 'A') >= 2 THEN 'A' WHEN count(*) FILTER (WHERE v = 'B') >= 2 THEN 'B' ELSE 'TIE' END AS verdict FROM v WHERE k <= 3 GROUP BY user_id) """
+
+
+def _verdicts(spark, sf_dir):
+    e = _table(spark, sf_dir, "events").select("user_id", "event_id", F.expr("substr('ABT', cast(event_id % 3 as int) + 1, 1)").alias("v"))
+    votes = curate.cap_per_group(e, "user_id", "event_id", 3).groupBy("user_id").agg(F.collect_list("v").alias("votes"))
+    return votes.select("user_id", stats.majority(F.col("votes")).alias("verdict"))
+
+
+@_query(_VOTES_SQL + "SELECT user_id, verdict FROM m")
+def majority_vote(spark, sf_dir):
+    return _verdicts(spark, sf_dir)
+
+
+@_query(_VOTES_SQL + "SELECT count(*) AS n, round(avg(CAST(verdict = 'A' AS INT)), 6) AS win_rate, round(avg(CAST(verdict = 'TIE' AS INT)), 6) AS tie_rate, CAST(count(*) FILTER (WHERE verdict = 'A') AS BIGINT) AS wins FROM m")
+def win_rates(spark, sf_dir):
+    v = F.col("verdict")
+    return _verdicts(spark, sf_dir).agg(
+        F.count("*").alias("n"), F.round(F.avg((v == "A").cast("int")), 6).alias("win_rate"), F.round(F.avg((v == "TIE").cast("int")), 6).alias("tie_rate"), F.count_if(v == "A").alias("wins")
+    )
+
+
+@_query()
+def win_rate_interval(spark, sf_dir):
+    return stats.win_rate(_verdicts(spark, sf_dir))
+
+
+# --- reviews and diffs derived from words ------------------------------------------------------
+_PIECES = [f"coalesce({{at}}(w, {i}), 'none')" for i in range(1, 9)]
+
+
+def _derived_sql(at: str) -> str:
+    w = [p.format(at=at) for p in _PIECES]
+    return f"""SELECT doc_id, lang, n_chars, source, text,
+  concat('Check `', {w[0]}, '` in `src/', {w[1]}, '.py:', CAST(doc_id % 40 AS VARCHAR(20)), '` and `', {w[2]}, '`; the `', {w[3]}, '` function looks good.') AS review,
+  concat('--- a/src/', {w[1]}, '.py', chr(10), '+++ b/src/', {w[1]}, '.py', chr(10), '@@ -1,3 +1,3 @@ def ', {w[0]}, chr(10), '-', {w[3]}, ' ', {w[4]}, chr(10), '+', {w[5]}, ' = ', {w[4]}, chr(10), ' ', {w[6]}) AS diff,
+  concat('src/', {w[1]}, '.py') AS path, CAST(doc_id % 37 AS INT) AS line, concat('see ', {w[2]}) AS note"""
+
+
+_DERIVED = "WITH t AS (SELECT *, regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]{2,20}') AS w FROM documents), d AS (" + _derived_sql("list_extract") + " FROM t) "
+
+
+def _derived(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").withColumn("w", F.regexp_extract_all("text", F.lit("[A-Za-z_][A-Za-z0-9_]{2,20}"), F.lit(0)))
+    df = spark.sql(_derived_sql("get").replace("get(w, ", "try_element_at(w, ") + " FROM {docs}", docs=docs)
+    label = F.struct(F.col("path"), F.col("line"), F.col("note").alias("text"))
+    return df.withColumn("labels", F.array(label)).withColumn("locs", text.locations(F.col("review")))
+
+
+@_query(_DERIVED + """SELECT doc_id, path AS file, CAST(doc_id % 40 AS INT) AS line, NULL AS identifier FROM d UNION
+SELECT doc_id, NULL, NULL, unnest(list_filter(list_distinct(regexp_extract_all(review, '`([A-Za-z_][A-Za-z0-9_]{1,40})`', 1)), lambda x: length(x) >= 3)) FROM d""")
+def extract_locations(spark, sf_dir):
+    return _derived(spark, sf_dir).select("doc_id", F.explode("locs").alias("x")).select("doc_id", "x.file", "x.line", "x.identifier")
+
+
+@_query(_DERIVED + """SELECT doc_id, CAST(CASE WHEN doc_id % 40 = 0 AND line = 0 THEN 1.0 WHEN doc_id % 40 <> 0 AND line <> 0 AND doc_id % 40 = line THEN 1.0 ELSE 0.0 END AS DOUBLE) AS iou,
+  CAST(CASE WHEN doc_id % 40 <> 0 AND doc_id % 40 = line THEN 1.0 ELSE 0.0 END AS DOUBLE) AS hit FROM d""")
+def iou_and_hits_strict(spark, sf_dir):
+    return _derived(spark, sf_dir).select("doc_id", overlap.iou_strict(F.col("locs"), F.col("labels")).alias("iou"), overlap.hit_rate_strict(F.col("locs"), F.col("labels")).alias("hit"))
+
+
+@_query()
+def iou_lenient_greedy(spark, sf_dir):
+    return _derived(spark, sf_dir).select("doc_id", F.round(overlap.iou_lenient(F.col("locs"), F.col("labels")), 6).alias("iou"))
+
+
+@_query(_DERIVED + """SELECT doc_id, CAST(1.0 AS DOUBLE) AS hit FROM d""")
+def hit_rate_lenient(spark, sf_dir):
+    return _derived(spark, sf_dir).select("doc_id", overlap.hit_rate(F.col("locs"), F.col("labels")).alias("hit"))
+
+
+_CHANGED = """list_distinct(list_filter(flatten([regexp_extract_all(x, '[a-zA-Z_][a-zA-Z0-9_]{2,}') FOR x IN string_split(diff, chr(10)) IF x[1] IN ('+', '-') AND NOT starts_with(x, '+++') AND NOT starts_with(x, '---')]),
+  lambda y: y NOT IN ('self', 'return', 'import', 'class', 'True', 'False', 'None', 'with', 'from', 'def', 'the', 'and', 'for', 'not', 'this', 'that', 'list', 'dict', 'str', 'int')))"""
+
+
+@_query(_DERIVED + f"SELECT doc_id, array_to_string(list_sort({_CHANGED}), ' ') AS names FROM d")
+def diff_identifiers_changed(spark, sf_dir):
+    return _derived(spark, sf_dir).select("doc_id", F.array_join(F.array_sort(text.names_changed(F.col("diff"), text.SMALL_STOP)), " ").alias("names"))
+
+
+@_query(_DERIVED + "SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(substr(diff, strpos(diff, '@@')), '[A-Za-z_][A-Za-z0-9_]{1,40}'))), ' ') AS names FROM d")
+def diff_identifiers_in_hunks(spark, sf_dir):
+    return _derived(spark, sf_dir).select("doc_id", F.array_join(F.array_sort(text.names_in_hunks(F.col("diff"))), " ").alias("names"))
+
+
+@_query(_DERIVED + """, n AS (SELECT doc_id, list_filter(list_distinct(regexp_extract_all(review, '`([A-Za-z_][A-Za-z0-9_]{1,40})`', 1)), lambda y: y NOT IN ('self', 'return', 'import', 'class', 'True', 'False', 'None', 'with', 'from', 'def', 'the', 'and', 'for', 'not', 'this', 'that', 'list', 'dict', 'str', 'int')) AS names,
+  regexp_extract_all(substr(diff, strpos(diff, '@@')), '[A-Za-z_][A-Za-z0-9_]{1,40}') AS known, diff FROM d)
+SELECT doc_id, CASE WHEN len(names) > 0 THEN round(len(list_filter(names, lambda x: NOT list_contains(known, x))) / len(names), 6) ELSE 0.0 END AS ratio,
+  len(list_filter(names, lambda x: NOT contains(diff, x))) > 0 AS flag FROM n""")
+def unknown_names(spark, sf_dir):
+    r, d = F.col("review"), F.col("diff")
+    return _derived(spark, sf_dir).select("doc_id", F.round(text.unknown_name_ratio(r, d, text.SMALL_STOP), 6).alias("ratio"), text.unknown_name_flag(r, d, text.SMALL_STOP).alias("flag"))
+
+
+@_query(_DERIVED + f"""SELECT doc_id, CASE WHEN length(text) < 40 THEN 'drop' WHEN length(text) < 300 AND len(list_filter({_CHANGED}, lambda x: contains(text, x))) <= 1 THEN 'weak' ELSE 'keep' END AS tier FROM d""")
+def tiering(spark, sf_dir):
+    names = text.names_changed(F.col("diff"), text.SMALL_STOP)
+    return _derived(spark, sf_dir).select("doc_id", curate.tier(F.col("text"), text.known_names(F.col("text"), names)).alias("tier"))
+
+
+@_query(_DERIVED + f"""SELECT coalesce(reason, 'rewritten') AS family, count(*) AS n, round(count(*) * 100.0 / sum(count(*)) OVER (), 4) AS pct FROM (SELECT CASE
+  WHEN len(list_filter({_CHANGED}, lambda x: contains(review, x))) < 1 THEN 'no_diff_identifier'
+  WHEN length(review) < greatest(20, floor(0.3 * n_chars)) OR length(review) > least(1500, greatest(600, floor(3.0 * n_chars))) THEN 'length'
+  WHEN len(list_filter(regexp_extract_all(review, '(?i)the `([a-zA-Z_][a-zA-Z0-9_]{{2,}})` (?:is|was|should|has|does|needs)', 1) || regexp_extract_all(review, '(?i)`([a-zA-Z_][a-zA-Z0-9_]{{2,}})` (?:function|method|variable|class|field|attribute)', 1), lambda x: NOT contains(diff, x))) > 0 THEN 'false_reference' END AS reason FROM d) GROUP BY 1""")
+def safety_filter_reasons(spark, sf_dir):
+    names = text.names_changed(F.col("diff"), text.SMALL_STOP)
+    df = _derived(spark, sf_dir).select(F.coalesce(curate.rewrite_reason(F.col("review"), F.col("text"), F.col("diff"), names), F.lit("rewritten")).alias("family"))
+    counts = df.groupBy("family").agg(F.count("*").alias("n"))
+    total = counts.agg(F.sum("n").alias("total"))
+    return counts.crossJoin(F.broadcast(total)).select("family", "n", F.round(F.col("n") * 100.0 / F.col("total"), 4).alias("pct"))
+
+
+@_query(_DERIVED + "SELECT doc_id, path FROM d")
+def diff_paths(spark, sf_dir):
+    return _derived(spark, sf_dir).select("doc_id", F.explode(text.diff_paths(F.col("diff"))).alias("path"))
+
+
+@_query(_DERIVED + "SELECT doc_id, CAST(1 AS INT) AS n_grounded, CAST(0 AS INT) AS n_ungrounded FROM d")
+def grounded_comments(spark, sf_dir):
+    out = curate.grounded(_derived(spark, sf_dir).withColumnRenamed("labels", "reference_comments"))
+    return out.select("doc_id", F.size("grounded").alias("n_grounded"), "n_ungrounded")
+
+
+_both("clean_verdict_rate", """SELECT lang, round(avg(CAST(lower(text) LIKE '%looks good%' OR lower(text) LIKE '%no issue%' OR lower(text) LIKE '%the the%' AS INT)), 6) AS clean_rate, round(avg(length(text)), 4) AS mean_length, round(median(length(text)), 4) AS median_length
+FROM {documents} GROUP BY lang""", "documents")
+
+
+@_query("SELECT round(avg(length(text)), 4) AS mean_length, round(quantile_cont(length(text), 0.5), 4) AS median_length, round(quantile_cont(length(text), 0.95), 4) AS p95_length FROM documents")
+def length_stats(spark, sf_dir):
+    n = F.length("text")
+    return _table(spark, sf_dir, "documents").agg(F.round(F.avg(n), 4).alias("mean_length"), F.round(F.percentile(n, F.lit(0.5)), 4).alias("median_length"), F.round(F.percentile(n, F.lit(0.95)), 4).alias("p95_length"))
+
+
+@_query()
+def loop_detect(spark, sf_dir):
+    return _table(spark, sf_dir, "documents").select("doc_id", F.rlike("text", F.lit(text.LOOP)).alias("loops"))
+
+
+@_query("SELECT page_id, trim(regexp_extract(html, '(?s)<p>(.*?)</p>', 1), ' ' || chr(9) || chr(10) || chr(13)) AS block FROM pages")
+def extract_first_block(spark, sf_dir):
+    return _table(spark, sf_dir, "pages").select("page_id", text.strip(F.regexp_extract("html", "(?s)<p>(.*?)</p>", 1)).alias("block"))
+
+
+_RAW = [(1, "<think>a <review>...</review></think>\n<review>Fix `x`</review>"), (2, "plain text "), (3, "<review>one</review><review>...</review>"), (4, "<think>no end"), (5, "")]
+
+
+@_query("SELECT * FROM (VALUES (1, 'Fix `x`', false), (2, 'plain text', false), (3, 'one', false), (4, '<think>no end', true), (5, '', false)) v(id, review, unfinished)")
+def extract_review(spark, sf_dir):
+    df = spark.createDataFrame(_RAW, "id int, raw string")
+    return df.select("id", text.review_block(F.col("raw")).alias("review"), reward.unfinished(F.col("raw")).alias("unfinished"))
+
+
+_ANSWERS = [(1, "A", False), (2, "A", True), (3, "???", False), (4, "tie, A", False), (5, "b wins", False)]
+
+
+@_query("SELECT * FROM (VALUES (1, 'A', 5), (2, 'B', 5), (3, 'TIE', 5), (4, 'TIE', 5), (5, 'B', 5)) v(id, verdict, score)")
+def parse_answers(spark, sf_dir):
+    df = spark.createDataFrame(_ANSWERS, "id int, raw string, swapped boolean")
+    return df.select("id", text.pairwise_verdict(F.col("raw"), F.col("swapped")).alias("verdict"), text.judge_score(F.col("raw")).alias("score"))
+
+
+_GATES = [(1, False, True, 60.0, 55.0, 5.0, 5.0, 1.0, 2.0), (2, True, True, 60.0, 55.0, 5.0, 5.0, 1.0, 2.0), (3, True, False, 60.0, 55.0, 5.0, 5.0, -1.0, 2.0), (4, True, False, 60.0, 55.0, 5.0, 6.01, 1.0, 2.0),
+          (5, True, False, 60.0, 55.0, 5.0, 6.0, 1.0, 12.0), (6, True, False, 60.0, 55.0, 5.0, 6.0, 1.0, 2.0), (7, True, False, 60.0, 49.0, 5.0, 5.0, 1.0, 2.0), (8, True, False, 50.5, 51.0, 5.0, 5.0, 1.0, 2.0)]
+
+
+@_query("SELECT * FROM (VALUES (1, 'ABORTED'), (2, 'FAILED'), (3, 'DO_NOT_SHIP'), (4, 'FAILED'), (5, 'SUSPICIOUS'), (6, 'SHIP'), (7, 'INCONCLUSIVE'), (8, 'FAILED')) v(id, verdict)")
+def decision_gate(spark, sf_dir):
+    df = spark.createDataFrame(_GATES, "id int, variance_gate_passed boolean, training_diverged boolean, wins_pct double, ci_lo double, halluc_a double, halluc_b double, cross_check_lift double, per_domain_spread double")
+    return df.select("id", stats.decide({c: F.col(c) for c in df.columns}).alias("verdict"))
+
+
+@_query("SELECT event_id, user_id, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1")
+def last_wins_dedup(spark, sf_dir):
+    return curate.last_wins(_table(spark, sf_dir, "events").select("event_id", "user_id", "value"), "user_id", "event_id")
+
+
+@_query("SELECT l_orderkey, l_linenumber FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) <= 2")
+def cap_n_per_group(spark, sf_dir):
+    return curate.cap_per_group(_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber"), "l_orderkey", "l_linenumber", 2)
+
+
+@_query("SELECT doc_id, CASE WHEN CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT) % 1000 < 200 THEN 'eval' ELSE 'train' END AS split FROM documents")
+def hash_split(spark, sf_dir):
+    return curate.hash_split(_table(spark, sf_dir, "documents").select("doc_id"), "doc_id")
+
+
+@_query()
+def seeded_split(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").select("doc_id")
+    return curate.seeded_split(docs, "doc_id", docs.count())
+
+
+@_query("SELECT doc_id FROM documents WHERE lower(split_part(source, '/', 1)) NOT IN (SELECT DISTINCT lower(source) FROM documents WHERE doc_id % 10 = 0)")
+def leakage_antijoin(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("repo"))
+    return curate.without_repos(docs, docs.where("doc_id % 10 = 0")).select("doc_id")
+
+
+@_query()
+def near_dup_antijoin(spark, sf_dir):
+    return rouge.without_near(_table(spark, sf_dir, "documents").select("doc_id", "text"), "text", _table(spark, sf_dir, "benchmark")).select("doc_id")
+
+
+@_query()
+def text_overlap_scores(spark, sf_dir):
+    df = _derived(spark, sf_dir).withColumn("s", rouge.text_scores(F.col("review"), F.col("note")))
+    return df.agg(*(F.round(F.avg(f"s.{c}"), 6).alias(c) for c in ("bleu4", "rouge1", "rouge2", "rougel")))
+
+
+@_query("""SELECT conv_id, string_agg('<|im_start|>' || role || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10), '' ORDER BY turn) AS prompt FROM conversations GROUP BY conv_id""")
+def chat_prompt(spark, sf_dir):
+    turns = _table(spark, sf_dir, "conversations")
+    piece = F.concat(F.lit("<|im_start|>"), "role", F.lit("\n"), F.coalesce("text", F.lit("")), F.lit("<|im_end|>\n"))
+    return turns.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", piece.alias("p")))), lambda x: x["p"]), "").alias("prompt"))
+
+
+@_query("SELECT doc_id, length(text) AS n, CASE WHEN length(text) <= 400 THEN length(text) ELSE 337 END AS kept FROM documents WHERE length(text) <= 337 OR length(text) > 482")
+def prompt_budget(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").where((F.length("text") <= 337) | (F.length("text") > 482))
+    return docs.select("doc_id", F.length("text").alias("n"), F.length(curate.budgeted(F.col("text"), lambda x: F.length(x), 400)).alias("kept"))
+
+
+@_query("""SELECT doc_id, issue_type FROM (SELECT doc_id, 'correctness' AS issue_type FROM labels WHERE quality = 0 UNION ALL SELECT doc_id, 'style' FROM labels WHERE toxic = 1) WHERE issue_type <> 'style'""")
+def style_filter(spark, sf_dir):
+    kinds = F.array_compact(F.array(F.when(F.col("quality") == 0, "correctness"), F.when(F.col("toxic") == 1, "style")))
+    labels = _table(spark, sf_dir, "labels").select("doc_id", F.transform(kinds, lambda k: F.struct(k.alias("issue_type"))).alias("defects"))
+    return curate.without_style(labels).select("doc_id", F.explode("defects").alias("d")).select("doc_id", "d.issue_type")
+
+
+@_query(_SCORED_SQL + "SELECT doc_id FROM c WHERE n_defects = 0 AND claims > 0 AND lower(text) NOT LIKE '%lgtm%'")
+def disagreement_candidates(spark, sf_dir):
+    return _scored(spark, sf_dir).where((F.col("n_defects") == 0) & (F.col("claims") > 0) & ~F.contains(F.lower("text"), F.lit("lgtm"))).select("doc_id")
