@@ -2,7 +2,7 @@
 
 The test items are taken in blocks of a fixed number, so that what is broadcast has a bound; each
 block is run against all documents. A first pass counts the items' n-grams over all documents. Each
-item keeps the rarest share of its n-grams as seeds. A second pass finds the seeds in each whole
+item keeps as seeds the n-grams that are rare by its own measure. A second pass finds the seeds in each whole
 text, cuts out the stretches where an item's seeds lie close together, and aligns item and stretch
 word by word. The score is the alignment's share of the item's own score (1.0: an exact copy).
 """
@@ -79,14 +79,18 @@ class _Items:
         self.bits = np.zeros(1 << FILTER_BITS, bool)
         self.bits[(self.keys >> text.U(64 - FILTER_BITS)).astype(np.int64)] = True
 
-    def keep_rare(self, counts: np.ndarray, share: float):
-        """Of each item the rarest share of its n-grams stays, ties by hash."""
+    def keep_rare(self, counts: np.ndarray, factor: float):
+        """Of each item the n-grams stay that aren't far more frequent than its rarest quarter.
+
+        The limit follows the item's own counts, so an item that leaked often keeps its seeds, and
+        so do the parts of it that edited copies share.
+        """
         c = counts[np.searchsorted(self.keys, self.gram)]
-        order = np.lexsort((self.gram, c, self.of))
-        of = self.of[order]
-        rank = np.arange(len(of)) - np.searchsorted(of, of)
-        size = np.bincount(of, minlength=len(self.ids))
-        stay = order[rank < np.ceil(size[of] * share)]
+        order = np.lexsort((c, self.of))
+        of, c = self.of[order], c[order]
+        first, size = np.searchsorted(of, np.arange(len(self.ids))), np.bincount(of, minlength=len(self.ids))
+        quarter = c[np.minimum(first + size // 4, len(c) - 1)]
+        stay = order[c <= factor * (quarter[of] + 1)]
         self.gram, self.of = self.gram[stay], self.of[stay]
         self._index()
 
@@ -157,7 +161,7 @@ def _search(shared_items, threshold: float):
 
 
 def contaminated(
-    docs: DataFrame, benchmark: DataFrame, n: int = 3, rare_share: float = 0.5, threshold: float = 0.45, least_words: int = 5, block_items: int = BLOCK_ITEMS
+    docs: DataFrame, benchmark: DataFrame, n: int = 3, rare_factor: float = 10.0, threshold: float = 0.45, least_words: int = 5, block_items: int = BLOCK_ITEMS
 ) -> DataFrame:
     """Pairs (doc_id, item_id) whose best alignment scores threshold or more, with its words in the text.
 
@@ -177,7 +181,7 @@ def contaminated(
         seen = docs.select("text").mapInArrow(_count(spark.sparkContext.broadcast(items)), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
         for row in seen.collect():  # at most the n-grams of one block
             counts[row.key] = row.n
-        items.keep_rare(counts, rare_share)
+        items.keep_rare(counts, rare_factor)
         found.append(docs.mapInArrow(_search(spark.sparkContext.broadcast(items), threshold), RESULT))
     return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], RESULT)
 

@@ -180,8 +180,9 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
         return pd.DataFrame([m.decode(grams(x)) for x in bodies], columns=["lang_pred", "score", "ambiguous"])
 
     names = ("lang_pred", "score", "ambiguous")
-    out = docs.drop(*names).withColumn("_found", decide(F.col("text").cast("string")))
-    return out.select(*docs.drop(*names).columns, *(F.col(f"_found.{c}").alias(c) for c in names))
+    docs = docs.drop(*names)
+    out = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), decide(F.col("text").cast("string")).alias("found"))
+    return out.select("row.*", "found.*")
 
 
 def held_out():

@@ -119,6 +119,7 @@ def without_repeats(docs: DataFrame, least_words: int = 10, long_line: int = 50)
     gone = later.select("doc_id", F.struct("chunk_no", "h1", "h2").alias("c")).distinct().groupBy("doc_id").agg(F.collect_list("c").alias("_gone"))
     gone = shared.written(gone, folder, "gone").withColumnRenamed("doc_id", "_id")
     few = gone.limit(shared.BROADCAST_ROWS // 5 + 1).count() <= shared.BROADCAST_ROWS // 5
-    df = docs.join(F.broadcast(gone) if few else gone, F.col("doc_id") == F.col("_id"), "left")
-    df = df.withColumn("_cut", _cut(least_words, long_line)(F.col("text").cast("string"), F.col("_gone")))
-    return df.select(*docs.columns, *(F.col(f"_cut.{c}").alias(c) for c in made))
+    df = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    df = df.join(F.broadcast(gone) if few else gone, F.col("row.doc_id") == F.col("_id"), "left")
+    df = df.select("row", _cut(least_words, long_line)(F.col("row.text").cast("string"), F.col("_gone")).alias("cut"))
+    return df.select("row.*", *(F.col(f"cut.{c}").alias(c) for c in made))

@@ -101,6 +101,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST, seed: int = 3, group
 
 def mixed(docs: DataFrame, **how) -> DataFrame:
     """The rows of docs, each as often as the mix takes it. Rows that repeat a doc_id get the copies of the first."""
-    copies = mix(docs, **how).where("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("_copies"))
-    out = docs.join(copies, docs["doc_id"].eqNullSafe(copies["doc_id"])).drop(copies["doc_id"])
-    return out.withColumn("_copies", F.explode(F.expr("sequence(1, _copies)"))).select(docs.columns)
+    copies = mix(docs, **how).where("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("copies"))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    out = rows.join(copies, rows["row.doc_id"].eqNullSafe(copies["doc_id"]))
+    return out.select("row", F.explode(F.expr("sequence(1, copies)")).alias("copy")).select("row.*")

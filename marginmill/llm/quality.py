@@ -42,9 +42,9 @@ def clean(docs: DataFrame, min_words: int = MIN_WORDS, max_repeat: int = MAX_REP
     """
     made = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lost_words", "base_failed", "kept", "clean_text"]
     docs = docs.drop(*made)
-    keep = [F.col(f"`{c}`") for c in docs.columns]
+    keep = [F.col("row")]
     body = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    df = docs.select(*keep, body.alias("_t"), F.split(body, "\n").alias("_l"), F.regexp_extract_all(body, F.lit(WORD), F.lit(0)).alias("_w"))
+    df = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), body.alias("_t"), F.split(body, "\n").alias("_l"), F.regexp_extract_all(body, F.lit(WORD), F.lit(0)).alias("_w"))
     lines = F.filter("_l", lambda x: F.length(F.translate(x, SPACES, "")) > 0)
     df = df.select(
         *keep,
@@ -84,4 +84,4 @@ def clean(docs: DataFrame, min_words: int = MIN_WORDS, max_repeat: int = MAX_REP
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat * F.col("n_words"))
     df = df.withColumn("base_failed", failed)
     df = df.withColumn("kept", ~F.col("base_failed") & (100 * F.col("n_lost_words") <= max_lost * F.col("n_words")))
-    return df.select(*keep, *made)
+    return df.select("row.*", *made)

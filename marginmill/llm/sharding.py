@@ -62,8 +62,8 @@ def shard_rows(df: DataFrame, shards: int = 40, seed: int = 1, local_rows: int =
     are replaced. Wide columns are moved twice; to shard wide rows, shard their keys.
     """
     df = df.drop("shard", "slot")
-    cols = df.columns
-    plain = [F.col(f"`{c}`") for c in cols]
+    plain = [F.col(f"row.`{c}`") for c in df.columns]
+    df = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"))
     n = df.count()
     parts = int(min(PARTITIONS, max(1, -(-n // local_rows), min(256, n // 100))))
     rows = df.withColumn("_h", F.xxhash64(F.lit(seed), *plain)).withColumn("_g", F.xxhash64(F.lit(seed + 1), "_h", *plain))
@@ -84,4 +84,4 @@ def shard_rows(df: DataFrame, shards: int = 40, seed: int = 1, local_rows: int =
     offsets = rows.groupBy("shard", "_b").count().select("shard", "_b", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_o"))
     within = Window.partitionBy("shard", "_b").orderBy("_g", *plain)
     rows = rows.withColumn("_s", F.row_number().over(within) - 1).join(offsets, ["shard", "_b"])
-    return rows.select(*plain, "shard", (F.col("_o") + F.col("_s")).cast("long").alias("slot"))
+    return rows.select("row.*", "shard", (F.col("_o") + F.col("_s")).cast("long").alias("slot"))
