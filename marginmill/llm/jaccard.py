@@ -227,7 +227,8 @@ class JaccardJoin:
         self.folder = shared.work_folder(self.spark)
         scan = shared.written(self.docs.mapInArrow(_scan(k), SET_SCHEMA), self.folder, "sets")
         self.rows = scan.where("n is not null").select("doc_id", "s1", "s2", "n", *PARITY)
-        self.classes = self.rows.where("n > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("least"), F.min("n").alias("n"), *(F.min(p).alias(p) for p in PARITY))
+        classes = self.rows.where("n > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("least"), F.min("n").alias("n"), F.count("*").alias("copies"), *(F.min(p).alias(p) for p in PARITY))
+        self.classes = shared.written(classes, self.folder, "classes")
         pieces = scan.where("piece is not null").select("piece", "counts")
         sums = pieces.repartition(COUNTERS // PIECE, "piece").mapInArrow(_add_pieces, "piece int, counts binary")
         counts = np.zeros(COUNTERS, np.int64)
@@ -247,9 +248,13 @@ class JaccardJoin:
         fit = pairs.join(a, "a").join(b, "b").where(_suffix("a", "b", self.num, self.den)).select("a", "b")
         fit = shared.written(fit, self.folder, f"{name}-fit")
         need = fit.select(F.col("a").alias("s1")).unionByName(fit.select(F.col("b").alias("s1"))).distinct()
-        ids = self.rows.where("n > 0").join(need, "s1", "left_semi").groupBy("s1", "s2").agg(F.min("doc_id").alias("doc_id"))
-        ids = shared.written(ids.select("doc_id").where("doc_id is not null").distinct(), self.folder, f"{name}-ids")
+        ids = self.classes.join(need, "s1", "left_semi").select(F.col("least").alias("doc_id"))
+        ids = shared.written(ids.where("doc_id is not null").distinct(), self.folder, f"{name}-ids")
         grams = shared.semi_by_size(self.docs, ids, "doc_id").select("text").mapInArrow(_whole_sets(self.k), "s1 long, grams binary")
+        # sets of which no document has an id
+        unnamed = self.docs.where("doc_id is null").select("text").distinct().mapInArrow(_whole_sets(self.k), "s1 long, grams binary")
+        unnamed = unnamed.join(self.classes.where("least is null").select("s1"), "s1", "left_semi").dropDuplicates(["s1"])
+        grams = grams.unionByName(unnamed)
         grams = shared.written(grams, self.folder, f"{name}-grams")
         pair = fit.join(grams.select(F.col("s1").alias("a"), F.col("grams").alias("ga")), "a")
         pair = pair.join(grams.select(F.col("s1").alias("b"), F.col("grams").alias("gb")), "b")
@@ -286,13 +291,16 @@ class JaccardJoin:
         near = near.unionByName(self._checked(shared.written(rest, self.folder, "rest"), "rest"))
         # a doc_id that several rows have is one node: its classes belong together
         twice = self.rows.where("n > 0").groupBy("doc_id").agg(F.min("s1").alias("a"), F.max("s1").alias("b")).where("doc_id is not null and a <> b")
-        same = self.rows.where("n > 0").join(twice.select("doc_id", "a"), "doc_id").select("a", F.col("s1").alias("b"))
+        same = self.rows.where("n > 0").select("doc_id", "s1").join(twice.select("doc_id", "a"), "doc_id").select("a", F.col("s1").alias("b"))
         root = shared.written(shared.components(near.unionByName(same), self.folder, "last"), self.folder, "last")
-        known = self.classes.select("s1", "s2", "least").join(root.select(F.col("node").alias("s1"), "root"), "s1", "left")
-        known = known.select("s1", "s2", "least", F.coalesce("root", "s1").alias("root"))
-        least = known.groupBy("root").agg(F.min("least").alias("component_id"))
-        known = known.join(least, "root").select("s1", "s2", "component_id")
-        full = self.rows.where("n > 0").join(known, ["s1", "s2"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+        known = self.classes.select("s1", "s2", "least", "copies").join(root.select(F.col("node").alias("s1"), "root"), "s1", "left")
+        known = known.select("s1", "s2", "least", "copies", F.coalesce("root", "s1").alias("root"))
+        total = self.classes.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]
+        least = known.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("members"))
+        known = shared.join_counted(known, least, ["root"], "members", total).select("s1", "s2", "copies", "component_id")
+        known = shared.written(known, self.folder, "known")
+        full = shared.join_counted(self.rows.where("n > 0").select("doc_id", "s1", "s2", "n"), known, ["s1", "s2"], "copies", total)
+        full = full.select("doc_id", F.col("n").alias("n_shingles"), "component_id")
         none = self.rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
         return full.unionByName(none).withColumn("n_shingles", F.col("n_shingles").cast("long"))
 

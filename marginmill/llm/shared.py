@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: A side is broadcast only if it has been counted and has at most this many narrow rows.
 BROADCAST_ROWS = 1_000_000
+#: At most so many keys are hot, at any size: a hot key has more than this share of the rows.
+HOT_KEYS = 100_000
 
 
 def work_folder(spark: SparkSession) -> str:
@@ -39,6 +41,22 @@ def semi_by_size(df: DataFrame, ids: DataFrame, key: str, limit: int = BROADCAST
     return df.join(F.broadcast(ids) if few else ids, key, "left_semi")
 
 
+def hot_limit(total: int) -> int:
+    """Rows from which a key counts as hot: so that at most HOT_KEYS keys can be."""
+    return max(1000, -(-total // HOT_KEYS))
+
+
+def join_counted(rows: DataFrame, table: DataFrame, keys: list[str], n: str, total: int) -> DataFrame:
+    """rows joined with table, which has one row a key and in n how many of the total rows have it.
+
+    Hot keys are joined by broadcast (at most HOT_KEYS narrow rows, by their counts), wherever their
+    rows lie; the others shuffle, with a bounded number of rows a key. Key columns hold no nulls.
+    """
+    hot = F.broadcast(table.where(F.col(n) > hot_limit(total)))
+    cold = table.where(F.col(n) <= hot_limit(total))
+    return rows.join(hot, keys).unionByName(rows.join(hot.select(*keys), keys, "left_anti").join(cold, keys))
+
+
 def components(edges: DataFrame, folder: str, name: str) -> DataFrame:
     """Connected components of undirected edges (a, b) of longs: (node, root), root the least node.
 

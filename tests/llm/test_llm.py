@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from marginmill.llm import chat, decontaminate, jaccard, langid, linededup, mixing, quality, queries, sharding, urlfilter, warc
+from marginmill.llm import chat, decontaminate, jaccard, langid, linededup, mixing, quality, queries, sharding, shared, urlfilter, warc
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -84,6 +84,23 @@ def test_jaccard_odd(spark, odd):
     assert sorted(r.doc_id or 0 for r in jaccard.one_of_each(odd).collect()) == [0, 1, 2, 3, 4, 4, 6, 8, 9]
 
 
+def test_jaccard_bridge_without_id(spark):
+    """Two documents that link only to one without doc_id are one component."""
+    words = [f"w{i}" for i in range(10)]
+    rows = [(1, " ".join(words[:9])), (None, " ".join(words)), (None, " ".join(words)), (2, " ".join(words[1:]))]
+    got = jaccard.JaccardJoin(spark.createDataFrame(rows, "doc_id long, text string"), 1, 85).components().collect()
+    assert len(got) == 4 and {r.component_id for r in got} == {1}
+
+
+def test_join_counted(spark):
+    """Keys on both sides of the limit, and one that the table lacks."""
+    rows = spark.range(3000).select(F.when(F.col("id") < 1500, 0).when(F.col("id") < 2999, F.col("id") % 7 + 1).otherwise(99).alias("k"), "id")
+    table = rows.where("k <> 99").groupBy("k").agg(F.count("*").alias("n"), F.max("id").alias("top"))
+    got = shared.join_counted(rows, table, ["k"], "n", 3000)
+    want = rows.join(table, "k")
+    assert sorted(map(tuple, got.select(want.columns).collect())) == sorted(map(tuple, want.collect()))
+
+
 def test_language(spark, odd):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     out = queries.op1_language_id(spark, "/root/testdata/sf0.01").join(d.select("doc_id", "lang"), "doc_id").where("held_out").collect()
