@@ -88,7 +88,8 @@ def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST, seed: int = 3, group
     sorted_cells = cells.join(goals, "key").select("key", "size", "n", "rate").repartition("key").sortWithinPartitions("key", F.desc("size"))
     quotas = shared.written(sorted_cells.mapInArrow(_quotas, "key string, size long, n long, base int, more long"), folder, "quotas")
     quotas = quotas.join(goals.select("key", "source_size", "target"), "key")
-    df = rows.withColumn("_h", F.xxhash64(F.lit(seed), "doc_id")).join(quotas, ["key", "size"])
+    total = cells.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    df = shared.join_counted(rows.withColumn("_h", F.xxhash64(F.lit(seed), "doc_id")), quotas, ["key", "size"], "n", total)
     df = df.withColumn("_b", F.when(F.col("n") > group, F.pmod(F.xxhash64(F.lit(seed + 1), "_h"), F.ceil(F.col("n") / group))).otherwise(F.lit(0)).cast("int"))
     # large cells are ranked bucket by bucket
     before = Window.partitionBy("key", "size").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
