@@ -21,7 +21,6 @@ from . import shared
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS, MOST = (5, 2, 1), 3
 NEWTON_STEPS = 64
-GROUP = 10_000
 
 
 def targets(sources: DataFrame, weights=WEIGHTS, most: int = MOST) -> DataFrame:
@@ -71,7 +70,7 @@ def _quotas(batches):
             yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["key", "size", "n", "base", "more"])
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST, seed: int = 3, group: int = GROUP) -> DataFrame:
+def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST, seed: int = 3, group: int | None = None) -> DataFrame:
     """Per row of docs (doc_id, source, text): doc_id, source, size, source_size, target, copies, taken.
 
     size counts words (null text: 0); documents without words have no copies. A null source is a
@@ -89,6 +88,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST, seed: int = 3, group
     quotas = shared.written(sorted_cells.mapInArrow(_quotas, "key string, size long, n long, base int, more long"), folder, "quotas")
     quotas = quotas.join(goals.select("key", "source_size", "target"), "key")
     total = cells.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    group = group or shared.hot_limit(total) // 2  # rows that are ranked together
     df = shared.join_counted(rows.withColumn("_h", F.xxhash64(F.lit(seed), "doc_id")), quotas, ["key", "size"], "n", total)
     df = df.withColumn("_b", F.when(F.col("n") > group, F.pmod(F.xxhash64(F.lit(seed + 1), "_h"), F.ceil(F.col("n") / group))).otherwise(F.lit(0)).cast("int"))
     # large cells are ranked bucket by bucket
