@@ -288,6 +288,8 @@ class JaccardJoin:
         members = members.join(open_, "token", "left_semi").join(self.classes.select("s1", *PARITY), "s1")
         members = shared.written(members, self.folder, "open")
         rest = self._pairs(members, members, "s1_x < s1_y AND root_x <> root_y").join(star, ["a", "b"], "left_anti")
+        # what is connected so far goes on as one edge a set
+        near = root.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
         near = near.unionByName(self._checked(shared.written(rest, self.folder, "rest"), "rest"))
         # a doc_id that several rows have is one node: its classes belong together
         twice = self.rows.where("n > 0").groupBy("doc_id").agg(F.min("s1").alias("a"), F.max("s1").alias("b")).where("doc_id is not null and a <> b")
