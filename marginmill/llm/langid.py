@@ -8,14 +8,13 @@ much as the bit was right in calibration.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import text
+from . import shared, text
 
 BUCKETS = 1 << 13
 ORDERS = (1, 2, 3)
@@ -111,6 +110,17 @@ def _sample(rows: DataFrame):
     return rows.mapInArrow(run, "lang string, sums binary")
 
 
+def _add(batches):
+    """One row per language of the task: the sums of its rows."""
+    sums: dict[str, np.ndarray] = {}
+    for batch in batches:
+        for lang, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            x = np.frombuffer(x.as_buffer())
+            sums[lang] = sums[lang] + x if lang in sums else x
+    if sums:
+        yield pa.record_batch([pa.array(list(sums)), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["lang", "sums"])
+
+
 def _scores(rows: DataFrame, weight):
     def run(batches):
         w = weight.value
@@ -137,10 +147,14 @@ def train(rows: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
     code = codewords(len(languages))
     rate = F.create_map(*(x for r in sizes for x in (F.lit(r.lang), F.lit(min(1.0, train_rows / r["count"])))))
     draw = F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(1_000_000)) / F.lit(1_000_000.0)
+    # written once: the corpus is read for it one time, and both passes over it are one job each
     sample = rows.where(draw < F.element_at(rate, F.col("lang"))).repartition(8, "doc_id").sortWithinPartitions("doc_id", "text").select("text", "lang", (F.pmod(F.xxhash64(F.lit(12), "doc_id"), F.lit(4)) == 0).alias("calibrates"))
+    sample = shared.written(sample, shared.work_folder(spark), "sample")
     bound = 2 * train_rows * len(languages) + 1000
     sums = {x: np.zeros(BUCKETS) for x in languages}
-    for row in _sample(sample.where("not calibrates").select("text", "lang")).toLocalIterator():
+    parts = _sample(sample.where("not calibrates").select("text", "lang"))
+    parts = parts.repartition("lang").sortWithinPartitions("lang", F.xxhash64("sums"))  # sums add up in the same order in every run
+    for row in parts.mapInArrow(_add, parts.schema).collect():  # at most LANGUAGES rows of BUCKETS numbers
         sums[row.lang] += np.frombuffer(row.sums)
     share = np.stack([sums[x] for x in languages])
     share = share / np.maximum(share.sum(1, keepdims=True), 1e-9)
@@ -150,7 +164,7 @@ def train(rows: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
         one, two = share[code[:, b] > 0], share[code[:, b] < 0]
         if len(one) and len(two):
             weight[:, b] = np.log(one.mean(0) + smooth) - np.log(two.mean(0) + smooth)
-    got = list(islice(_scores(sample.where("calibrates").select("text", "lang"), spark.sparkContext.broadcast(weight)).toLocalIterator(), bound))
+    got = _scores(sample.where("calibrates").select("text", "lang"), spark.sparkContext.broadcast(weight)).limit(bound).collect()
     shift, scale, trust = np.zeros(code.shape[1]), np.full(code.shape[1], 4.0), np.ones(code.shape[1])
     if got:
         z = np.stack([np.frombuffer(r.z) for r in got])
