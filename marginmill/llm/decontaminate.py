@@ -1,10 +1,17 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: rare word pairs as seeds, then Smith-Waterman alignment.
 
 The test items are taken in blocks of a fixed number, so that what is broadcast has a bound; each
-block is run against all documents. A first pass counts the items' n-grams over all documents. Each
-item keeps as seeds the n-grams that are rare by its own measure. A second pass finds the seeds in each whole
-text, cuts out the stretches where an item's seeds lie close together, and aligns item and stretch
-word by word. The score is the alignment's share of the item's own score (1.0: an exact copy).
+block is run against all documents. A first pass counts the items' seeds over all documents, a second
+finds the rarest of them in each whole text and aligns item and stretch word by word. The score is
+the alignment's share of the item's own score (1.0: an exact copy).
+
+A seed is a pair of words at most n - 1 words apart (n >= 3), in the item and in the text. No
+alignment that reaches the threshold t is missed. Let an item have L words and an alignment m matches
+and penalties P: 2m - P >= 2tL. Two matches in a row cost at least n - 1 unless both their words lie
+within n, in item and text, so of the m - 1 links at least m - 1 - P / (n - 1) >= tL - 1 are seeds;
+each starts at another word of the item and of the text, and all lie within m + P <= (3 - 2t)L words
+of the text. So the links of the item's tL - 2 most frequent starts can be left unsearched, however
+often the item leaked, and a stretch with fewer than tL - 1 starts needs no alignment.
 """
 
 from __future__ import annotations
@@ -52,11 +59,23 @@ def align(item: np.ndarray, part: np.ndarray) -> tuple[int, int, int, int]:
     return best, matched, int(b), end
 
 
+def pairs(h: np.ndarray, wo: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of each word and the one 1 to n - 1 words on in its row; 0 where the row ends before."""
+    out = np.zeros((n - 1, len(h)), text.U)
+    end, first = np.repeat(wo[1:], np.diff(wo)), text.mix(h, 1)
+    for d in range(1, min(n, len(h))):
+        with np.errstate(over="ignore"):
+            key = text.mix(first[:-d] + h[d:], 2)
+        out[d - 1, :-d] = np.where(np.arange(d, len(h)) < end[:-d], key, text.U(0))
+    return out
+
+
 class _Items:
     """Word hashes and seeds of one block of test items."""
 
-    def __init__(self, rows, n: int, least: int):
-        self.n, self.ids, self.words, grams = n, [], [], []
+    def __init__(self, rows, n: int, least: int, threshold: float):
+        self.n, self.ids, self.words, self.pairs = n, [], [], []
+        of, start, gram = [], [], []
         for item_id, body in rows:
             if item_id is None or not body:
                 continue
@@ -64,34 +83,40 @@ class _Items:
             h, _, wo = text.words(raw, np.array([0, len(raw)]))
             if len(h) < least:
                 continue
+            p = pairs(h, wo, n)
+            d, at = np.nonzero(p)
+            of.append(np.full(len(at), len(self.ids)))
+            start.append(at)
+            gram.append(p[d, at])
             self.ids.append(item_id)
             self.words.append(h)
-            grams.append(np.unique(text.shingles(h, wo, n)[0]))
-        self.of = np.repeat(np.arange(len(grams)), [len(g) for g in grams]) if grams else np.zeros(0, np.int64)
-        self.gram = np.concatenate(grams) if grams else np.zeros(0, text.U)
+            self.pairs.append(np.unique(gram[-1]))
+        self.of, self.at, self.gram = (np.concatenate(x) if x else np.zeros(0, t) for x, t in ((of, np.int64), (start, np.int64), (gram, text.U)))
+        size = np.array([len(x) for x in self.words], np.int64)
+        self.links = np.ceil(threshold * size - 1 - 1e-9).astype(np.int64)
+        self.span = np.floor((3 - 2 * threshold) * size + 1e-9).astype(np.int64)
         self._index()
 
     def _index(self):
         order = np.argsort(self.gram, kind="stable")
-        self.gram, self.of = self.gram[order], self.of[order]
+        self.gram, self.of, self.at = self.gram[order], self.of[order], self.at[order]
         self.keys, self.start = np.unique(self.gram, return_index=True)
         self.start = np.append(self.start, len(self.gram))
         self.bits = np.zeros(1 << FILTER_BITS, bool)
         self.bits[(self.keys >> text.U(64 - FILTER_BITS)).astype(np.int64)] = True
 
-    def keep_rare(self, counts: np.ndarray, factor: float):
-        """Of each item the n-grams stay that aren't far more frequent than its rarest quarter.
-
-        The limit follows the item's own counts, so an item that leaked often keeps its seeds, and
-        so do the parts of it that edited copies share.
-        """
-        c = counts[np.searchsorted(self.keys, self.gram)]
-        order = np.lexsort((c, self.of))
-        of, c = self.of[order], c[order]
-        first, size = np.searchsorted(of, np.arange(len(self.ids))), np.bincount(of, minlength=len(self.ids))
-        quarter = c[np.minimum(first + size // 4, len(c) - 1)]
-        stay = order[c <= factor * (quarter[of] + 1)]
-        self.gram, self.of = self.gram[stay], self.of[stay]
+    def keep_rare(self, counts: np.ndarray):
+        """Of each item all but its ``links - 1`` most frequent starts stay: every alignment has one of them."""
+        size = np.array([len(x) for x in self.words])
+        first = np.cumsum(size) - size
+        cost = np.bincount(first[self.of] + self.at, counts[np.searchsorted(self.keys, self.gram)], size.sum())
+        item = np.repeat(np.arange(len(size)), size)
+        last = np.arange(len(item)) == (first + size - 1)[item]  # begins no pair
+        order = np.lexsort((cost, last, item))
+        rank = np.empty(len(item), np.int64)
+        rank[order] = np.arange(len(item)) - first[item[order]]
+        stay = (rank < (size - self.links)[item])[first[self.of] + self.at]
+        self.gram, self.of, self.at = self.gram[stay], self.of[stay], self.at[stay]
         self._index()
 
     def find(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -111,7 +136,8 @@ def _count(shared_items):
         for batch in batches:
             for _, raw, off in text.chunks(batch.column(0)):
                 h, _, wo = text.words(raw, off)
-                total += np.bincount(items.find(text.shingles(h, wo, items.n)[0])[1], minlength=len(total))
+                for s in pairs(h, wo, items.n):
+                    total += np.bincount(items.find(s)[1], minlength=len(total))
         at = np.flatnonzero(total)
         yield pa.record_batch([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], names=["key", "n"])
 
@@ -125,33 +151,29 @@ def _search(shared_items, threshold: float):
             ids, out = batch.column(0), []
             for lo, raw, off in text.chunks(batch.column(1)):
                 h, _, wo = text.words(raw, off)
-                s, so = text.shingles(h, wo, items.n)
-                at, key = items.find(s)
+                near = pairs(h, wo, items.n)
+                at, key = (np.concatenate(x) for x in zip(*map(items.find, near), strict=True))
                 if not len(at):
                     continue
                 reps = items.start[key + 1] - items.start[key]
-                item = items.of[np.concatenate([np.arange(items.start[k], items.start[k + 1]) for k in key])]
+                item = items.of[np.repeat(items.start[key] - np.cumsum(reps) + reps, reps) + np.arange(reps.sum())]
                 at = np.repeat(at, reps)
-                row = np.searchsorted(so, at, "right") - 1
-                at = at - so[row]
+                row = np.searchsorted(wo, at, "right") - 1
                 order = np.lexsort((at, item, row))
                 row, item, at = row[order], item[order], at[order]
-                size = np.array([len(x) for x in items.words])[item]
-                cut = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (item[1:] != item[:-1]) | (at[1:] - at[:-1] > size[1:])]))
+                cut = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (item[1:] != item[:-1]) | (at[1:] - at[:-1] > items.span[item[1:]])]))
                 best: dict[tuple[int, int], tuple] = {}
                 for a, b in zip(cut, np.append(cut[1:], len(at)), strict=True):
                     r, i = int(row[a]), int(item[a])
-                    words = items.words[i]
+                    words, span = items.words[i], int(items.span[i])
                     if b - a < 2 and len(words) > 2 * items.n:
                         continue
-                    whole = h[wo[r] : wo[r + 1]]
-                    first = max(0, int(at[a]) - len(words))
-                    last = min(len(whole), int(at[b - 1]) + items.n + len(words))
+                    first, last = max(int(wo[r]), int(at[a]) - span), min(int(wo[r + 1]), int(at[b - 1]) + span)
                     for x in range(first, last, 64 * len(words)):  # many copies in a row
-                        points, matched, p, q = align(words, whole[x : min(last, x + 66 * len(words))])
+                        points, matched, p, q = align(words, h[x : min(last, x + 64 * len(words) + span)])
                         score = points / (MATCH * len(words))
                         if score >= threshold and score > best.get((r, i), (0,))[0]:
-                            best[r, i] = (score, matched, x + p, x + q)
+                            best[r, i] = (score, matched, x - int(wo[r]) + p, x - int(wo[r]) + q)
                 out += [(ids[lo + r].as_py(), items.ids[i], *v) for (r, i), v in best.items()]
             if out:
                 kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64())
@@ -161,27 +183,30 @@ def _search(shared_items, threshold: float):
 
 
 def contaminated(
-    docs: DataFrame, benchmark: DataFrame, n: int = 3, rare_factor: float = 10.0, threshold: float = 0.45, least_words: int = 5, block_items: int = BLOCK_ITEMS
+    docs: DataFrame, benchmark: DataFrame, n: int = 3, threshold: float = 0.45, least_words: int = 5, block_items: int = BLOCK_ITEMS
 ) -> DataFrame:
     """Pairs (doc_id, item_id) whose best alignment scores threshold or more, with its words in the text.
 
     docs needs ``doc_id`` and ``text``, benchmark ``item_id`` and ``text``; further columns are
     ignored. Null and empty texts match nothing; items without an id, or of fewer than least_words
-    words, are not searched for. Repeated rows give a result each. Empty tables give no rows.
+    words, are not searched for. Repeated rows give a result each. Empty tables give no rows. Seeds
+    can't promise all pairs for n below 3 or items of up to 1 / threshold words: these are refused.
     """
+    if n < 3 or least_words * threshold <= 1:
+        raise ValueError("n must be 3 or more and least_words above 1 / threshold")
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     rows = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).distinct().orderBy("item_id", "text").toLocalIterator()
     found = []
     while block := list(islice(rows, block_items)):
-        items = _Items(block, n, least_words)
+        items = _Items(block, n, least_words, threshold)
         if not items.ids:
             continue
         counts = np.zeros(len(items.keys), np.int64)
         seen = docs.select("text").mapInArrow(_count(spark.sparkContext.broadcast(items)), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-        for row in seen.collect():  # at most the n-grams of one block
-            counts[row.key] = row.n
-        items.keep_rare(counts, rare_factor)
+        seen = seen.toArrow()  # at most the seeds of one block
+        counts[seen["key"].to_numpy()] = seen["n"].to_numpy()
+        items.keep_rare(counts)
         found.append(docs.mapInArrow(_search(spark.sparkContext.broadcast(items), threshold), RESULT))
     return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], RESULT)
 

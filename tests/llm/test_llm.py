@@ -182,6 +182,18 @@ def test_decontaminate(spark, odd):
         assert decontaminate.align(a, b)[0] == h.max()
 
 
+@pytest.mark.parametrize("times", [11, 1000])
+def test_decontaminate_leaked_often(spark, times):
+    """An edited and a half copy are found however many documents hold them."""
+    item = [f"item{i}" for i in range(40)]
+    half, edited = item[:20] + [f"rest{i}" for i in range(20)], [w if i % 4 else "changed" for i, w in enumerate(item)]
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    for copy in (half, edited):
+        rows = [(i, " ".join([f"own{i}", *copy, f"end{i}"])) for i in range(times)] + [(times, "clean words only")]
+        got = decontaminate.contaminated(frame(rows), frame([(1, " ".join(item))]).withColumnRenamed("doc_id", "item_id")).collect()
+        assert {r.doc_id for r in got} == set(range(times)) and len(got) == times
+
+
 def test_mixing(spark, odd):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     out = mixing.mix(d, group=5).collect()
