@@ -93,7 +93,7 @@ class _Items:
             self.pairs.append(np.unique(gram[-1]))
         self.of, self.at, self.gram = (np.concatenate(x) if x else np.zeros(0, t) for x, t in ((of, np.int64), (start, np.int64), (gram, text.U)))
         size = np.array([len(x) for x in self.words], np.int64)
-        self.links = np.ceil(threshold * size - 1 - 1e-9).astype(np.int64)
+        self.links = np.maximum(np.ceil(threshold * size - 1 - 1e-9), 1).astype(np.int64)
         self.span = np.floor((3 - 2 * threshold) * size + 1e-9).astype(np.int64)
         self._index()
 
@@ -119,6 +119,11 @@ class _Items:
         self.gram, self.of, self.at = self.gram[stay], self.of[stay], self.at[stay]
         self._index()
 
+    def holds(self, i: int, s: np.ndarray) -> np.ndarray:
+        """Which of s are pairs of item i, rare or not."""
+        own = self.pairs[i]
+        return own[np.minimum(np.searchsorted(own, s), len(own) - 1)] == s
+
     def find(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Positions in s that hold a key, and the keys' numbers."""
         at = np.flatnonzero(self.bits[(s >> text.U(64 - FILTER_BITS)).astype(np.int64)])
@@ -165,10 +170,13 @@ def _search(shared_items, threshold: float):
                 best: dict[tuple[int, int], tuple] = {}
                 for a, b in zip(cut, np.append(cut[1:], len(at)), strict=True):
                     r, i = int(row[a]), int(item[a])
-                    words, span = items.words[i], int(items.span[i])
-                    if b - a < 2 and len(words) > 2 * items.n:
-                        continue
+                    words, span, links = items.words[i], int(items.span[i]), int(items.links[i])
                     first, last = max(int(wo[r]), int(at[a]) - span), min(int(wo[r + 1]), int(at[b - 1]) + span)
+                    starts = first + np.flatnonzero(items.holds(i, near[:, first:last]).any(0))
+                    fits = np.flatnonzero(starts[links - 1 :] - starts[: max(len(starts) - links + 1, 0)] < span)
+                    if not len(fits):
+                        continue
+                    first, last = max(first, int(starts[fits[0]]) - span), min(last, int(starts[fits[-1] + links - 1]) + span)
                     for x in range(first, last, 64 * len(words)):  # many copies in a row
                         points, matched, p, q = align(words, h[x : min(last, x + 64 * len(words) + span)])
                         score = points / (MATCH * len(words))

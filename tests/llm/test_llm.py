@@ -194,6 +194,29 @@ def test_decontaminate_leaked_often(spark, times):
         assert {r.doc_id for r in got} == set(range(times)) and len(got) == times
 
 
+def test_decontaminate_by_force(spark):
+    """Items of 8 to 40 words with spread edits, among others' words: every pair that a whole alignment finds."""
+    rng = np.random.default_rng(5)
+    items = {i: [f"i{i}w{j}" if rng.random() < 0.8 else f"the{rng.integers(3)}" for j in range(int(rng.choice([8, 11, 12, 15, 40])))] for i in range(30)}
+    items[30] = [f"k{j}" for j in range(11)]
+    items[31] = [f"q{j}" for j in range(8)]
+    docs = {2000 + d: ["more", *items[31][:3], f"m{d}"] for d in range(12)}
+    docs |= {1002: ["one", *items[31][:4], "seed"]}  # the rare part is a single pair
+    docs |= {1000: ["a", *("x" if j in (2, 6, 9) else w for j, w in enumerate(items[30])), "b"], 1001: [x for w in items[30] for x in (w, "y")]}
+    for d in range(300):
+        body = [f"the{rng.integers(3)}" if rng.random() < 0.3 else f"v{rng.integers(999)}" for _ in range(60)]
+        part = []
+        for w in items[d % 30]:
+            part += [] if (u := rng.random()) < 0.08 else [w, "plus"] if u < 0.16 else [w] if u < 0.7 else ["new"]
+        docs[d] = body[:30] + part + body[30:]
+    number = {w: k for k, w in enumerate({w for x in (*items.values(), *docs.values()) for w in x})}
+    coded = lambda x: np.array([number[w] for w in x])
+    want = {(d, i): s for d, x in docs.items() for i, y in items.items() if (s := decontaminate.align(coded(y), coded(x))[0] / (2 * len(y))) >= 0.45}
+    frame = lambda x, key: spark.createDataFrame([(k, " ".join(v)) for k, v in x.items()], f"{key} long, text string")
+    got = {(r.doc_id, r.item_id): r.score for r in decontaminate.contaminated(frame(docs, "doc_id"), frame(items, "item_id")).collect()}
+    assert got == want and {(1000, 30), (1001, 30), (1002, 31)} <= set(got) and len(want) > 100
+
+
 def test_mixing(spark, odd):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     out = mixing.mix(d, group=5).collect()
