@@ -1,9 +1,11 @@
-"""Line deduplication by content-defined chunks of lines.
-
-A rolling hash over the hashes of the last two lines chooses the boundaries, so the same passage is
-cut alike wherever it stands. Chunks of two lines or more (and single lines of ``long_line`` words)
-that occur anywhere before, in order of doc_id and place, are removed; equal hashes only nominate
-them, their bytes decide.
+"""Line deduplication by content-defined spans of lines.
+
+A rolling hash over the hashes of the last two lines chooses the boundaries of chunks, so the same
+passage is cut alike wherever it stands. Besides these, each line begins and ends a window: the
+fewest lines from it on, and up to it, that have ``long_line`` words. A repeated passage of so many
+words is the union of windows that lie in it, so it goes whole, whatever its neighbours. Chunks of
+two lines or more (and single lines of ``long_line`` words) and windows that occur anywhere before,
+in order of doc_id and place, are removed; equal hashes only nominate them, their bytes decide.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from pyspark.sql import functions as F
 from . import shared
 
 MODULUS, WINDOW = 3, 2
-CHUNK = "doc_id long, chunk_no int, h1 long, h2 long, lines int"
+SPAN = "doc_id long, at int, lines int, h1 long, h2 long"
 
 
 def chunks(body: str, least_words: int = 10, long_line: int = 50) -> Iterator[tuple[int, list[str], bool]]:
@@ -46,14 +48,50 @@ def chunks(body: str, least_words: int = 10, long_line: int = 50) -> Iterator[tu
         yield number, out, done(out)
 
 
-def _hash(lines: list[str]) -> tuple[int, int]:
-    d = hashlib.blake2b("\n".join(lines).encode("utf-8", "surrogatepass"), digest_size=16).digest()
+def windows(words: list[int], least: int) -> Iterator[tuple[int, int]]:
+    """First line and end of the fewest lines of least words from each line on, and up to each line."""
+    lo = hi = total = 0
+    for lo in range(len(words)):
+        while total < least and hi < len(words):
+            total += words[hi]
+            hi += 1
+        if total < least:
+            break
+        yield lo, hi
+        total -= words[lo]
+    lo = total = 0
+    for hi, n in enumerate(words, 1):
+        total += n
+        while total - words[lo] >= least:
+            total -= words[lo]
+            lo += 1
+        if total >= least:
+            yield lo, hi
+
+
+def spans(body: str, least_words: int, long_line: int) -> tuple[list[str], Iterator[tuple[int, int]]]:
+    """The lines of a text, and (first line, end) of what may be removed."""
+    all_lines, at, found = body.split("\n"), 0, set()
+    for _, lines, may in chunks(body, least_words, long_line):
+        if may:
+            found.add((at, at + len(lines)))
+        at += len(lines)
+    found.update(windows([len(x.split()) for x in all_lines], long_line))
+    return all_lines, sorted(found)
+
+
+def _digests(lines: list[str]) -> bytes:
+    return b"".join(hashlib.blake2b(x.encode("utf-8", "surrogatepass"), digest_size=16).digest() for x in lines)
+
+
+def _hash(digests: bytes, at: int, end: int) -> tuple[int, int]:
+    d = hashlib.blake2b(digests[16 * at : 16 * end], digest_size=16).digest()
     return int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True)
 
 
 def _emit(with_text: bool, least_words: int, long_line: int):
-    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), *((pa.string(),) if with_text else ()))
-    names = [x.split()[0] for x in CHUNK.split(", ")] + ["body"] * with_text
+    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), *((pa.string(),) if with_text else ()))
+    names = [x.split()[0] for x in SPAN.split(", ")] + ["body"] * with_text
 
     def run(batches):
         for batch in batches:
@@ -61,16 +99,20 @@ def _emit(with_text: bool, least_words: int, long_line: int):
             for lo in range(0, len(ids), 500):
                 rows = []
                 for doc_id, body in zip(ids[lo : lo + 500], texts.slice(lo, 500).to_pylist(), strict=True):
-                    for number, lines, may in chunks(body or "", least_words, long_line):
-                        if may:
-                            rows.append((doc_id, number, *_hash(lines), len(lines), *(("\n".join(lines),) if with_text else ())))
+                    lines, found = spans(body or "", least_words, long_line)
+                    digests = _digests(lines) if found else b""
+                    for at, end in found:
+                        rows.append((doc_id, at, end - at, *_hash(digests, at, end), *(("\n".join(lines[at:end]),) if with_text else ())))
+                    if len(rows) > 20_000:
+                        yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+                        rows = []
                 if rows:
                     yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
     return run
 
 
-def _cut(least_words: int, long_line: int):
+def _cut():
     @F.pandas_udf("struct<clean_text: string, n_lines: long, n_removed_lines: long>")
     def cut(text, gone):
         import pandas as pd
@@ -80,18 +122,16 @@ def _cut(least_words: int, long_line: int):
             if body is None:
                 out.append((None, 0, 0))
                 continue
-            removed = {(r["chunk_no"], r["h1"], r["h2"]) for r in removed} if removed is not None and len(removed) else ()
-            total = body.count("\n") + 1
-            if not removed:
-                out.append((body, total, 0))
+            lines = body.split("\n")
+            if removed is None or not len(removed):
+                out.append((body, len(lines), 0))
                 continue
-            kept, lost = [], 0
-            for number, lines, may in chunks(body, least_words, long_line):
-                if may and (number, *_hash(lines)) in removed:
-                    lost += len(lines)
-                else:
-                    kept += lines
-            out.append(("\n".join(kept), total, lost))
+            digests, drop = _digests(lines), set()
+            for r in removed:
+                at, end = r["at"], r["at"] + r["lines"]
+                if end <= len(lines) and _hash(digests, at, end) == (r["h1"], r["h2"]):
+                    drop.update(range(at, end))
+            out.append(("\n".join(x for i, x in enumerate(lines) if i not in drop), len(lines), len(drop)))
         return pd.DataFrame(out, columns=["clean_text", "n_lines", "n_removed_lines"])
 
     return cut
@@ -100,7 +140,8 @@ def _cut(least_words: int, long_line: int):
 def without_repeats(docs: DataFrame, least_words: int = 10, long_line: int = 50) -> DataFrame:
     """docs with clean_text, n_lines and n_removed_lines.
 
-    The first occurrence of a chunk, by least doc_id and then place, stays. A null text stays null
+    The first occurrence of a span, by least doc_id and then place, stays, and so do those in the
+    same document that overlap it. A null text stays null
     and has no lines; an empty one has one. Rows without doc_id come first and are left whole; rows
     that repeat a doc_id are taken for one document. Columns with the added names are replaced. An
     empty table gives no rows.
@@ -109,17 +150,17 @@ def without_repeats(docs: DataFrame, least_words: int = 10, long_line: int = 50)
     docs = docs.drop(*made)
     folder = shared.work_folder(docs.sparkSession)
     pair = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    places = pair.mapInArrow(_emit(False, least_words, long_line), CHUNK)
+    places = pair.mapInArrow(_emit(False, least_words, long_line), SPAN)
     many = shared.written(places.groupBy("h1", "h2").count().where("count > 1").select("h1", "h2"), folder, "many")
     few = many.limit(shared.BROADCAST_ROWS + 1).count() <= shared.BROADCAST_ROWS
-    bodies = pair.mapInArrow(_emit(True, least_words, long_line), CHUNK + ", body string").join(F.broadcast(many) if few else many, ["h1", "h2"], "left_semi")
+    bodies = pair.mapInArrow(_emit(True, least_words, long_line), SPAN + ", body string").join(F.broadcast(many) if few else many, ["h1", "h2"], "left_semi")
     bodies = shared.written(bodies, folder, "bodies")
-    first = bodies.groupBy("h1", "h2", "body").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "chunk_no")).alias("first")).where("n > 1")
-    later = bodies.join(first, ["h1", "h2", "body"]).where(~F.struct("doc_id", "chunk_no").eqNullSafe(F.col("first")) & F.col("doc_id").isNotNull())
-    gone = later.select("doc_id", F.struct("chunk_no", "h1", "h2").alias("c")).distinct().groupBy("doc_id").agg(F.collect_list("c").alias("_gone"))
+    first = bodies.groupBy("h1", "h2", "body").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "at")).alias("first")).where("n > 1")
+    later = bodies.join(first, ["h1", "h2", "body"]).where("doc_id is not null and not (doc_id <=> first.doc_id and at < first.at + lines)")
+    gone = later.select("doc_id", F.struct("at", "lines", "h1", "h2").alias("c")).distinct().groupBy("doc_id").agg(F.collect_list("c").alias("_gone"))
     gone = shared.written(gone, folder, "gone").withColumnRenamed("doc_id", "_id")
     few = gone.limit(shared.BROADCAST_ROWS // 5 + 1).count() <= shared.BROADCAST_ROWS // 5
     df = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
     df = df.join(F.broadcast(gone) if few else gone, F.col("row.doc_id") == F.col("_id"), "left")
-    df = df.select("row", _cut(least_words, long_line)(F.col("row.text").cast("string"), F.col("_gone")).alias("cut"))
+    df = df.select("row", _cut()(F.col("row.text").cast("string"), F.col("_gone")).alias("cut"))
     return df.select("row.*", *(F.col(f"cut.{c}").alias(c) for c in made))

@@ -182,6 +182,21 @@ def test_decontaminate(spark, odd):
         assert decontaminate.align(a, b)[0] == h.max()
 
 
+@pytest.mark.parametrize("n,words", [(2, 30), (3, 20), (5, 12), (6, 10), (10, 10)])
+def test_lines_short_passages(spark, n, words):
+    """Passages of over 50 words in a few lines go whole between any neighbours, and nothing else does."""
+    line = lambda key: " ".join(f"{key}x{k}" for k in range(words))
+    rows, passages = [], 25
+    for i in range(2 * passages):
+        passage = [line(f"p{i % passages}l{j}") for j in range(n)]
+        rows.append((i, "\n".join([*(f"own {i} {j}" for j in range(i % 4 + 1)), *passage, *(f"end {i} {j}" for j in range(3))])))
+    for r in linededup.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        assert r.n_removed_lines == (n if r.doc_id >= passages else 0)
+        assert r.clean_text.split("\n") == [x for x in r.text.split("\n") if r.doc_id < passages or x[0] != "p"]
+    same = linededup.without_repeats(spark.createDataFrame([(1, "\n".join([line("a")] * 4 * n))], "doc_id long, text string")).first()
+    assert same.n_lines - same.n_removed_lines >= 2  # of windows that overlap the first stays
+
+
 @pytest.mark.parametrize("times", [11, 1000])
 def test_decontaminate_leaked_often(spark, times):
     """An edited and a half copy are found however many documents hold them."""
