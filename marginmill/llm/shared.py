@@ -1,7 +1,10 @@
-"""Shared storage, size-checked broadcasts and components for the corpus operators."""
+"""Shared storage, bounded batches, size-checked joins and components for the corpus operators."""
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,18 +14,51 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 1_000_000
 #: At most so many keys are hot, at any size: a hot key has more than this share of the rows.
 HOT_KEYS = 100_000
+#: Rows that the Parquet reader and Arrow hold at once. Spark's defaults are for narrow rows; texts
+#: of megabytes would make a batch of gigabytes. Settings that the session has changed stay.
+BATCHES = {"spark.sql.parquet.columnarReaderBatchSize": ("4096", "512"), "spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000")}
+
+_folders: list[tuple[SparkSession, str]] = []
+
+
+def bound_batches(spark: SparkSession) -> SparkSession:
+    """Sets BATCHES in the session, where it still has Spark's defaults."""
+    for key, (default, ours) in BATCHES.items():
+        if spark.conf.get(key) == default:
+            spark.conf.set(key, ours)
+    return spark
 
 
 def work_folder(spark: SparkSession) -> str:
-    """A fresh folder under the shared checkpoint folder.
+    """A fresh folder under the shared checkpoint folder, removed when Python ends.
 
-    The folder is the one that the cluster names in ``spark.checkpoint.dir``. Only where that is
-    unset (local tests) a folder under the warehouse takes its place.
+    The folder is the one that the cluster names in ``spark.checkpoint.dir``. Only in a local session
+    without it (tests) a folder under the warehouse takes its place.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_marginmill"
-    return f"{base.rstrip('/')}/marginmill-{uuid.uuid4().hex}"
+    folder = f"{base.rstrip('/')}/marginmill-{uuid.uuid4().hex}"
+    _folders.append((spark, folder))
+    return folder
+
+
+def drop(spark: SparkSession, *paths: str) -> None:
+    """Deletes tables of a work folder that nothing reads any more."""
+    for path in paths:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+@atexit.register
+def clean() -> None:
+    """Deletes all work folders that this process has made."""
+    while _folders:
+        spark, folder = _folders.pop()
+        with contextlib.suppress(Exception):  # the session may have ended before
+            drop(spark, folder)
 
 
 def written(df: DataFrame, folder: str, name: str) -> DataFrame:
@@ -32,13 +68,17 @@ def written(df: DataFrame, folder: str, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def is_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
+    """Whether df, a table of narrow rows, has at most limit rows; counts no further."""
+    return df.limit(limit + 1).count() <= limit
+
+
 def semi_by_size(df: DataFrame, ids: DataFrame, key: str, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Rows of df whose key is in ids (distinct, one narrow column).
 
     ids is counted first: up to ``limit`` rows it is broadcast, beyond that both sides shuffle.
     """
-    few = ids.limit(limit + 1).count() <= limit
-    return df.join(F.broadcast(ids) if few else ids, key, "left_semi")
+    return df.join(F.broadcast(ids) if is_small(ids, limit) else ids, key, "left_semi")
 
 
 def hot_limit(total: int) -> int:
@@ -46,15 +86,15 @@ def hot_limit(total: int) -> int:
     return max(1000, -(-total // HOT_KEYS))
 
 
-def join_counted(rows: DataFrame, table: DataFrame, keys: list[str], n: str, total: int) -> DataFrame:
-    """rows joined with table, which has one row a key and in n how many of the total rows have it.
+def join_counted(rows: DataFrame, table: DataFrame, keys: list[str], n: str, total: int, how: str = "inner") -> DataFrame:
+    """rows joined (inner or left) with table, which has one row a key and in n how many of the total rows have it.
 
     Hot keys are joined by broadcast (at most HOT_KEYS narrow rows, by their counts), wherever their
-    rows lie; the others shuffle, with a bounded number of rows a key. Key columns hold no nulls.
+    rows lie; the others shuffle, with a bounded number of rows a key. Key columns of table hold no nulls.
     """
     hot = F.broadcast(table.where(F.col(n) > hot_limit(total)))
     cold = table.where(F.col(n) <= hot_limit(total))
-    return rows.join(hot, keys).unionByName(rows.join(hot.select(*keys), keys, "left_anti").join(cold, keys))
+    return rows.join(hot, keys).unionByName(rows.join(hot.select(*keys), keys, "left_anti").join(cold, keys, how))
 
 
 def _are_stars(edges: DataFrame) -> bool:
@@ -67,26 +107,25 @@ def _are_stars(edges: DataFrame) -> bool:
 def components(edges: DataFrame, folder: str, name: str) -> DataFrame:
     """Connected components of undirected edges (a, b) of longs: (node, root), root the least node.
 
-    Alternating large-star and small-star steps; each step is a pre-aggregated group-by and a
-    join, written to the shared folder, so that nothing is collected and lineage stays short. Ends
-    when all edges form stars around their least nodes.
+    Alternating large-star and small-star steps; each step is a pre-aggregated group-by and a join
+    in which hubs, by their counts, are broadcast. Steps are written to the shared folder, so that
+    nothing is collected and lineage stays short. Ends when all edges are stars around least nodes.
     """
-    now = written(
-        edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(),
-        folder, f"{name}-0",
-    )
-    step = 0
+    spark, step, path = edges.sparkSession, 0, f"{folder}/{name}-0"
+    now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), folder, f"{name}-0")
     while not _are_stars(now):
         step += 1
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n")
         # large-star: every larger neighbour of a node is tied to the node's least neighbour
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = join_counted(both.where("b > a"), least, ["a"], "n", 2 * now.count()).select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = written(large.where("a <> b").distinct(), folder, f"{name}-{step}a")
         # small-star: the node itself and its smaller neighbours are tied to the least of them
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        least = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        small = join_counted(large, least, ["a"], "n", large.count()).select(F.col("b").alias("a"), F.col("m").alias("b"))
         small = small.unionByName(least.select("a", F.col("m").alias("b")))
         now = written(small.where("a <> b").distinct(), folder, f"{name}-{step}b")
+        drop(spark, path, f"{folder}/{name}-{step}a")
+        path = f"{folder}/{name}-{step}b"
     roots = now.groupBy("a").agg(F.min("b").alias("root")).select(F.col("a").alias("node"), "root")
     return roots.unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
