@@ -96,8 +96,10 @@ cov AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM rep, (SELECT unnest([0, 1
 l AS (SELECT doc_id, unnest(string_split(body, chr(10))) AS line FROM t),
 full_ AS (SELECT doc_id, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
 per AS (SELECT doc_id, count(*) - count(DISTINCT line) AS dups, coalesce(sum(n) FILTER (WHERE NOT regexp_matches(line, '[.!?;:…。！？](["'')\]”’»]*[\x20\x09-\x0D]|["'')\]”’»]*$)')
-  OR regexp_matches(line, '([|»›•·][\x20\x09-\x0D]+[^|»›•·]{1,40}){3,}')
-  OR regexp_matches(line, '(?i)(all rights reserved|terms of (use|service)|privacy policy|cookie policy|use(s)? cookies|enable javascript|click here|sign up|log in to|subscribe to|skip to content|back to top|lorem ipsum|licensed under|released under the|copyright \(c\))')), 0) AS lost
+  OR regexp_matches(line, '([|»›•·→][\x20\x09-\x0D]+[^|»›•·→]{1,40}){3,}')
+  OR regexp_matches(line, '^[\x20\x09-\x0D]*([^>/|]{1,30}[\x20\x09-\x0D](>|/|::)[\x20\x09-\x0D]){2,}[^>/|]{1,40}$')
+  OR regexp_matches(line, '(?i)^[\x20\x09-\x0D]*(page|seite|página) [0-9]+ (of|de|von|sur) [0-9]+')
+  OR length(line) <= 240 AND len(list_filter([PHRASES], lambda p: contains(lower(line), p))) > 0), 0) AS lost
   FROM full_ GROUP BY doc_id),
 m AS (SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(length(regexp_replace(body, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
   CAST(length(body) - length(translate(body, '#*$%&|<>', '')) AS BIGINT) AS n_symbols, CAST(coalesce(dups, 0) AS BIGINT) AS n_dup_lines,
@@ -105,7 +107,7 @@ m AS (SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(length(regexp
   FROM w LEFT JOIN cov USING (doc_id) LEFT JOIN per USING (doc_id))
 SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
   NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 100 * n_lost_words <= 50 * n_words AS kept FROM m
-"""
+""".replace("PHRASES", ", ".join("'" + p + "'" for p in quality.BOILERPLATE))
 
 _OP10 = r"""
 WITH t AS (SELECT conv_id, turn, role, coalesce(text, '') AS body FROM conversations
