@@ -27,8 +27,8 @@ from . import shared
 FILE_BYTES = 1 << 30
 BLOCK_LINES = 512
 LEVEL = 1
-#: Repeated payloads are joined by broadcast up to so many rows (counted), else by a shuffle.
-HEADS = 200_000
+#: Archive bytes that one task reads back.
+READ_BYTES = 16 << 20
 RECORD = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
@@ -72,7 +72,7 @@ def parse(data: bytes) -> dict:
     return out
 
 
-def _write(folder: str):
+def _write(folder: str, file_bytes: int):
     def run(batches):
         system, path = _open(f"{folder}/archives")
         system.create_dir(path, recursive=True)
@@ -80,7 +80,7 @@ def _write(folder: str):
         for batch in batches:
             rows = []
             for page_id, url, html, sha, head in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                if out is None or at >= FILE_BYTES:
+                if out is None or at >= file_bytes:
                     if out:
                         out.close()
                     name, at = f"{uuid.uuid4().hex}.warc.gz", 0
@@ -99,7 +99,7 @@ def _write(folder: str):
     return run
 
 
-def write_archives(pages: DataFrame, folder: str, least_revisit: int = 0) -> DataFrame:
+def write_archives(pages: DataFrame, folder: str, least_revisit: int = 0, file_bytes: int = FILE_BYTES) -> DataFrame:
     """Writes a record per row of pages (page_id, url, html); returns captures (key, page_id, archive, start, length).
 
     Of rows with equal payloads of least_revisit bytes or more, the one with the least page_id is the
@@ -110,11 +110,13 @@ def write_archives(pages: DataFrame, folder: str, least_revisit: int = 0) -> Dat
     df = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), body.alias("html"))
     df = df.withColumn("sha", F.sha1(F.col("html").cast("binary")))
     many = df.where(F.octet_length("html") >= least_revisit).groupBy("sha").agg(F.count("*").alias("n"), F.min("page_id").alias("head")).where("n > 1 and head is not null")
-    many = shared.written(many.select("sha", "head"), folder, "heads")
-    few = many.limit(HEADS + 1).count() <= HEADS
-    df = df.join(F.broadcast(many) if few else many, "sha", "left")
+    many = shared.written(many, folder, "heads")
+    if shared.is_small(many):
+        df = df.join(F.broadcast(many.drop("n")), "sha", "left")
+    else:  # payloads that repeat most (the empty one, say) don't meet in one task
+        df = shared.join_counted(df, many, ["sha"], "n", many.agg(F.sum("n")).first()[0], "left")
     df = df.select("page_id", "url", "html", "sha", F.when(~F.col("head").eqNullSafe(F.col("page_id")), F.col("head")).alias("head"))
-    return shared.written(df.mapInArrow(_write(folder), "key string, page_id long, archive string, start long, length long"), folder, "captures")
+    return shared.written(df.mapInArrow(_write(folder, file_bytes), "key string, page_id long, archive string, start long, length long"), folder, "captures")
 
 
 def _text(x) -> tuple[str, int]:
@@ -223,18 +225,28 @@ def _read(folder: str, manifest: list):
     return run
 
 
-def lookup(captures_wanted: DataFrame, folder: str, manifest: DataFrame) -> DataFrame:
-    """Records of the distinct (key, page_id) wanted, read through the index."""
+def lookup(captures_wanted: DataFrame, folder: str, manifest: DataFrame, read_bytes: int = READ_BYTES) -> DataFrame:
+    """Records of the distinct (key, page_id) wanted, read through the index.
+
+    Wanted captures that come with a length are dealt to one task per read_bytes of them, as every
+    one costs a read of that length; keys alone are small and say nothing about it.
+    """
     rows = [tuple(r) for r in manifest.collect()]  # a row per index file
-    wanted = captures_wanted.select("key", "page_id").distinct().repartitionByRange("key", "page_id").sortWithinPartitions("key", "page_id")
-    return wanted.mapInArrow(_read(folder, rows), RECORD)
+    wanted = captures_wanted.select("key", "page_id").distinct()
+    if "length" in captures_wanted.columns:
+        total = captures_wanted.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+        wanted = wanted.repartitionByRange(max(1, -(-total // read_bytes)), "key", "page_id")
+    else:
+        wanted = wanted.repartitionByRange("key", "page_id")
+    return wanted.sortWithinPartitions("key", "page_id").mapInArrow(_read(folder, rows), RECORD)
 
 
-def archive_and_read(pages: DataFrame, folder: str | None = None, least_revisit: int = 0) -> DataFrame:
+def archive_and_read(pages: DataFrame, folder: str | None = None, least_revisit: int = 0, block_lines: int = BLOCK_LINES) -> DataFrame:
     """Archives pages, indexes the captures, and reads every record back through the index.
 
-    An empty table gives no rows. Columns besides page_id, url and html are ignored.
+    An empty table gives no rows. Columns besides page_id, url and html are ignored. Rows that repeat
+    a page_id are records of their own: a capture is (key, page_id), and all records of it are read.
     """
     folder = folder or shared.work_folder(pages.sparkSession)
     captures = write_archives(pages, folder, least_revisit)
-    return lookup(captures, folder, build_index(captures, folder))
+    return lookup(captures, folder, build_index(captures, folder, block_lines))
