@@ -11,6 +11,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -33,27 +34,30 @@ READ = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_s
 _MARK = "\\"
 
 
-def _between(template: dict, least: int) -> re.Pattern:
-    """A control string with least or more marks after its first character."""
-    return re.compile("|".join(f"({re.escape(c[0])})(\\\\{{{least},}})({re.escape(c[1:])})" for c in sorted(template["controls"], key=len, reverse=True)))
+@cache
+def _between(controls: tuple[str, ...], least: int) -> tuple[str, re.Pattern]:
+    """The first characters of the control strings, and a pattern for one with least or more marks after its first character."""
+    by: dict[str, list[str]] = {}
+    for c in sorted(controls, key=len, reverse=True):
+        by.setdefault(c[0], []).append(re.escape(c[1:]))
+    alternatives = "|".join(f"(?<={re.escape(first)})(\\\\{{{least},}})(?={'|'.join(rests)})" for first, rests in by.items())
+    return "".join(by), re.compile(alternatives)
 
 
-def escape(body: str, template: dict = TEMPLATE) -> str:
-    """Control strings get one mark more after their first character; all else stays."""
+def _marked(body: str, template: dict, least: int, change) -> str:
+    firsts, pattern = _between(tuple(template["controls"]), least)
+    if not any(c in body for c in firsts):
+        return body
+    return pattern.sub(lambda m: change(next(x for x in m.groups() if x is not None)), body)
 
-    def more(m):
-        first, marks, rest = (x for x in m.groups() if x is not None)
-        return f"{first}{marks}{_MARK}{rest}"
 
-    return _between(template, 0).sub(more, body)
+def escape(body: str, template: dict = TEMPLATE) -> str:
+    """Control strings get one mark more after their first character; all else stays."""
+    return _marked(body, template, 0, lambda marks: marks + _MARK)
 
 
 def unescape(body: str, template: dict = TEMPLATE) -> str:
-    def less(m):
-        first, marks, rest = (x for x in m.groups() if x is not None)
-        return f"{first}{marks[1:]}{rest}"
-
-    return _between(template, 1).sub(less, body)
+    return _marked(body, template, 1, lambda marks: marks[1:])
 
 
 def _format(template: dict):
