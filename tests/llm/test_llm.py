@@ -114,14 +114,43 @@ def test_language(spark, odd):
     assert min(int((code[a] != code[b]).sum()) for a in range(20) for b in range(a)) >= 8
 
 
+def rule_by_force(url, rules):
+    at = (url or "").find("://")
+    rest = url[at + 3 :] if at >= 0 else ""
+    host, path = re.match(r"[^/?#]*", rest)[0], re.match(r"[^/?#]*([^?#]*)", rest)[1]
+    host = lower(host)
+    fit = [(len(h + p), len(p), h + p, v) for h, p, v in rules if host and (host == h or host.endswith("." + h)) and path.startswith(p)]
+    return (host, path, *(max(fit)[2:] if fit else (None, "allow")))
+
+
 def test_urls(spark):
-    pages = [(1, "http://A.Example.com/en/7x?q"), (2, None), (3, "no scheme"), (4, "x://example.net/de/8"), (4, "x://example.net/de/8"), (5, "https://notcom/en/1"), (None, "s://com/en/"), (6, "a://b.org#f"), (7, "a://b.org/es/" + "p" * 5000)]
-    df = spark.createDataFrame([(*p, "clash", "c") for p in pages], "page_id long, url string, rule string, salt string")
+    pages = [(1, "http://A.Example.com/en/7x?q"), (2, None), (3, "no scheme"), (4, "x://example.net/de/8"), (4, "x://example.net/de/8"), (5, "https://notcom/en/1"), (None, "s://com/en/"), (6, "a://b.org#f"), (7, "a://b.org/es/" + "p" * 5000), (8, "a://..com/en/1"), (9, "")]
+    df = spark.createDataFrame([(*p, "clash", "c", "k") for p in pages], "page_id long, url string, rule string, salt string, key string")
     rules = spark.createDataFrame(queries.URL_RULES + [(None, "/", "block"), ("com", "/en/", "allow")], "host string, path string, verdict string")
-    got = sorted((r.page_id or 0, r.host, r.rule, r.verdict) for r in urlfilter.judge(df, rules, group_rows=1).collect())
-    assert got[0] == (0, "com", "com/en/", "block") and got[1] == (1, "a.example.com", "example.com/en/7", "allow") and got[2] == (2, "", None, "allow")
-    assert got[4] == got[5] == (4, "example.net", "example.net/de/8", "block") and got[6][2] is None and got[8][2] == "org/es/" and len(got) == 9
-    assert urlfilter.judge(df.limit(0), rules).count() == 0 and urlfilter.judge(df, rules.limit(0)).count() == 9
+    got = sorted((r.page_id or 0, r.host, r.path, r.rule, r.verdict) for r in urlfilter.judge(df, rules).collect())
+    assert got == sorted((i or 0, *rule_by_force(u, queries.URL_RULES)) for i, u in pages)
+    assert urlfilter.judge(df.limit(0), rules).count() == 0 and urlfilter.judge(df, rules.limit(0)).count() == len(pages)
+    assert {r.verdict for r in urlfilter.judge(df, rules.limit(0), "block").collect()} == {"block"}
+
+
+@pytest.mark.parametrize("host_rules", [64, 2])
+def test_urls_by_force(spark, host_rules):
+    """Nested hosts and paths, a hot host and a hot url, hosts with many rules, over many ranges."""
+    rng = np.random.default_rng(3)
+    names, parts = ["a", "b", "ab", "c-d", "com"], ["", "/", "/x", "/x/y", "/x/yz", "/z?q", "/x/y/z#f"]
+    word = lambda: ".".join(rng.choice(names, rng.integers(1, 4)))
+    rules = {(word(), str(rng.choice(["", "/", "/x", "/x/", "/x/y", "/z"]))): str(rng.choice(["allow", "block"])) for _ in range(60)}
+    rules |= {("a.com", f"/x/y{i}"): "block" for i in range(90)}
+    rules = [(*k, v) for k, v in rules.items()]
+    pages = [(i, f"http://{word()}{rng.choice(parts)}{i % 97 if i % 3 else ''}") for i in range(1500)] + [(5000 + i, "h://b.a.com/x/y7/deep") for i in range(400)] + [(None, "h://b.a.com/x/y7/deep")] * 3
+    old = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # so that there are several ranges
+    try:
+        out = urlfilter.judge(spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(rules, "host string, path string, verdict string"), host_rules=host_rules).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old)
+    key = lambda r: repr(tuple(r))
+    assert sorted(map(key, out)) == sorted(key((i, *rule_by_force(u, rules))) for i, u in pages)
 
 
 def test_warc(spark):
@@ -134,6 +163,20 @@ def test_warc(spark):
     assert warc.url_key("http://WWW.Ex.com/A?b#c") == "com,ex,www)/A?b"
 
 
+def test_warc_blocks_and_files(spark):
+    """Many blocks and files, one url with many pages, repeated and null page_ids: each record once."""
+    rows = [(i, f"http://h{i % 7}.org/{i % 90}" if i % 3 else "http://hot.org/", f"page {i % 50}") for i in range(600)] + [(7, "http://hot.org/", "again")] * 2 + [(None, "http://hot.org/", f"n{i}") for i in range(5)]
+    df, folder = spark.createDataFrame(rows, "page_id long, url string, html string"), shared.work_folder(spark)
+    captures = warc.write_archives(df.repartition(3), folder, file_bytes=5_000)
+    assert captures.select("archive").distinct().count() > 10
+    got = warc.lookup(captures, folder, warc.build_index(captures, folder, block_lines=8), read_bytes=20_000)
+    assert got.rdd.getNumPartitions() > 3
+    digest = lambda x: __import__("base64").b32encode(hashlib.sha1(x.encode()).digest()).decode()
+    assert Counter((r.page_id, r.payload_digest) for r in got.collect()) == Counter((i, digest(h)) for i, _, h in rows)
+    one = warc.lookup(captures.where("page_id = 7").select("key", "page_id"), folder, warc.build_index(captures, folder, block_lines=3))
+    assert one.count() == 3
+
+
 def test_sharding(spark, odd):
     out = sharding.shard_rows(odd, 4).collect()
     slots = defaultdict(list)
@@ -151,6 +194,31 @@ def test_sharding(spark, odd):
     assert sharding.shard_rows(odd.limit(0), 4).count() == 0
 
 
+def test_sharding_parts_equal_rows(spark):
+    """Three copies of 2000 ids over 40 shards: all three in one shard as seldom as by chance, and a row repeated 120000 times."""
+    ids = spark.range(2000).select(F.col("id").alias("row"), F.explode(F.sequence(F.lit(1), F.lit(3))).alias("_c")).select("row")
+    where = defaultdict(list)
+    for r in sharding.shard_rows(ids, 40).collect():
+        where[r.row].append(r.shard)
+    apart = Counter(len(set(v)) for v in where.values())
+    assert len(where) == 2000 and apart[1] <= 8 and 1780 < apart[3] < 1920  # expected: 1.25 and 1852.5
+    same = spark.range(120_000).select(F.lit("x").alias("text"))
+    got = sharding.shard_rows(same, 7).groupBy("shard").agg(F.count("*").alias("n"), F.min("slot").alias("a"), F.max("slot").alias("b"), F.countDistinct("slot").alias("d")).collect()
+    assert sum(r.n for r in got) == 120_000 and all(r.a == 0 and r.b == r.n - 1 and r.d == r.n and r.n in (17142, 17143) for r in got)
+
+
+def test_op4_by_force(spark, docs):
+    import zlib
+
+    out = queries.op4_shard(spark, SF).collect()
+    want = Counter((r.doc_id, len((r.text or "").encode()) + 16, zlib.crc32((r.text or "").encode())) for r in docs.collect())
+    assert Counter((r.doc_id, r.size, r.text_crc32) for r in out) == want and {r.law for r in out} == {"rows"} and {r.grown_shard for r in out} == {None}
+    slots = defaultdict(list)
+    for r in out:
+        slots[r.shard].append(r.slot)
+    assert set(slots) == set(range(40)) and all(sorted(x) == list(range(len(x))) for x in slots.values()) and max(map(len, slots.values())) - min(map(len, slots.values())) <= 1
+
+
 def test_lines(spark, odd):
     block = "\n".join(f"this is the shared line number {i} of a long passage." for i in range(14))
     rows = [(1, "own start here.\n" + block + "\nown end of one."), (2, block), (3, "something else.\nand nothing more."), (4, None), (None, block), (5, "x " * 60), (6, "y\n" + "x " * 60)]
