@@ -12,12 +12,15 @@ within n, in item and text, so of the m - 1 links at least m - 1 - P / (n - 1) >
 each starts at another word of the item and of the text, and all lie within m + P <= (3 - 2t)L words
 of the text. So the links of the item's tL - 2 most frequent starts can be left unsearched, however
 often the item leaked, and a stretch with fewer than tL - 1 starts needs no alignment.
+
+The bound needs tL > 1. Shorter items, and those under least_words words, are found where all their
+words stand together in the text: fewer words that agree tell nothing of a copy.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -26,37 +29,42 @@ from pyspark.sql import functions as F
 
 from . import shared, text
 
-BLOCK_ITEMS = 20_000
+#: Test items of a block, and words of its items together (one longer item is a block of its own).
+BLOCK_ITEMS, BLOCK_WORDS = 20_000, 1_000_000
 MATCH, MISMATCH, GAP = 2, -1, -1
 FILTER_BITS = 22
 RESULT = "doc_id long, item_id long, score double, matched_words long, first_word long, last_word long"
 
 
 def align(item: np.ndarray, part: np.ndarray) -> tuple[int, int, int, int]:
-    """Smith-Waterman with linear gaps: (score, matched words, first and last word of the part)."""
+    """Smith-Waterman with linear gaps: (score, matched words, first and last word of the part).
+
+    Row by row, in memory of a few rows: each cell carries where its best alignment starts and how many
+    words match, so nothing is traced back. Ties go to a pair of words, then to a gap in the part.
+    """
     n = len(part)
     j = np.arange(n + 1)
-    above = np.zeros(n + 1, np.int64)
-    rows = [above]
+    score, start, matched = np.zeros(n + 1, np.int64), j.copy(), np.zeros(n + 1, np.int64)
+    best = (0, 0, 0, -1)
     for word in item:
-        row = np.zeros(n + 1, np.int64)
-        row[1:] = np.maximum(above[:-1] + np.where(part == word, MATCH, MISMATCH), above[1:] + GAP)
-        row = np.maximum(row, 0)
-        row = np.maximum.accumulate(row - GAP * j) + GAP * j  # gaps along the part
-        rows.append(row)
-        above = row
-    table = np.stack(rows)
-    a, b = np.unravel_index(int(table.argmax()), table.shape)
-    best, matched, end = int(table[a, b]), 0, int(b) - 1
-    while table[a, b] > 0:
-        same = part[b - 1] == item[a - 1]
-        if table[a, b] == table[a - 1, b - 1] + (MATCH if same else MISMATCH):
-            a, b, matched = a - 1, b - 1, matched + bool(same)
-        elif table[a, b] == table[a - 1, b] + GAP:
-            a -= 1
-        else:
-            b -= 1
-    return best, matched, int(b), end
+        same = part == word
+        pair, up = score[:-1] + np.where(same, MATCH, MISMATCH), score[1:] + GAP
+        by_pair = pair >= up
+        row, first, hits = np.zeros(n + 1, np.int64), j.copy(), np.zeros(n + 1, np.int64)
+        row[1:] = np.where(by_pair, pair, up)
+        first[1:] = np.where(by_pair, start[:-1], start[1:])
+        hits[1:] = np.where(by_pair, matched[:-1] + same, matched[1:])
+        empty = row <= 0
+        row[empty], first[empty], hits[empty] = 0, j[empty], 0
+        # gaps along the part: each cell comes from the last one before it that gives the most
+        level = row - GAP * j
+        most = np.maximum.accumulate(level)
+        source = np.maximum.accumulate(np.where(level == most, j, 0))
+        score, start, matched = most + GAP * j, first[source], hits[source]
+        at = int(score.argmax())
+        if score[at] > best[0]:
+            best = (int(score[at]), int(matched[at]), int(start[at]), at - 1)
+    return best
 
 
 def pairs(h: np.ndarray, wo: np.ndarray, n: int) -> np.ndarray:
@@ -70,18 +78,44 @@ def pairs(h: np.ndarray, wo: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+def _runs(h: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of all runs of n words."""
+    out = text.mix(h[: max(len(h) - n + 1, 0)], n)
+    for d in range(1, n):
+        with np.errstate(over="ignore"):
+            out = text.mix(out + h[d : len(h) - n + 1 + d], d)
+    return out
+
+
+def _blocks(rows: Iterator, items: int, words: int) -> Iterator[list]:
+    block, size = [], 0
+    for row in rows:
+        n = len((row[1] or "").split())
+        if block and (len(block) >= items or size + n > words):
+            yield block
+            block, size = [], 0
+        block.append(row)
+        size += n
+    if block:
+        yield block
+
+
 class _Items:
     """Word hashes and seeds of one block of test items."""
 
     def __init__(self, rows, n: int, least: int, threshold: float):
         self.n, self.ids, self.words, self.pairs = n, [], [], []
+        self.short: dict[int, dict[int, list]] = {}  # by number of words and hash of all of them: items
         of, start, gram = [], [], []
         for item_id, body in rows:
             if item_id is None or not body:
                 continue
             raw = np.frombuffer(body.encode(), np.uint8)
             h, _, wo = text.words(raw, np.array([0, len(raw)]))
-            if len(h) < least:
+            if not len(h):
+                continue
+            if len(h) < least or threshold * len(h) <= 1:
+                self.short.setdefault(len(h), {}).setdefault(int(_runs(h, len(h))[0]), []).append(item_id)
                 continue
             p = pairs(h, wo, n)
             d, at = np.nonzero(p)
@@ -119,6 +153,21 @@ class _Items:
         self.gram, self.of, self.at = self.gram[stay], self.of[stay], self.at[stay]
         self._index()
 
+    def find_short(self, h: np.ndarray, wo: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        """(row, item_id, first word, words) of the first place in each row where a short item stands whole."""
+        for n, known in self.short.items():
+            runs = _runs(h, n)
+            keys = np.array(list(known), text.U)
+            at = np.flatnonzero(np.isin(runs, keys))
+            row = np.searchsorted(wo, at, "right") - 1
+            inside = at + n <= wo[row + 1]
+            seen = set()
+            for r, x in zip(row[inside].tolist(), at[inside].tolist(), strict=True):
+                for item_id in known[int(runs[x])]:
+                    if (r, item_id) not in seen:
+                        seen.add((r, item_id))
+                        yield r, item_id, x - int(wo[r]), n
+
     def holds(self, i: int, s: np.ndarray) -> np.ndarray:
         """Which of s are pairs of item i, rare or not."""
         own = self.pairs[i]
@@ -156,6 +205,7 @@ def _search(shared_items, threshold: float):
             ids, out = batch.column(0), []
             for lo, raw, off in text.chunks(batch.column(1)):
                 h, _, wo = text.words(raw, off)
+                out += [(ids[lo + r].as_py(), item, 1.0, n, x, x + n - 1) for r, item, x, n in items.find_short(h, wo)]
                 near = pairs(h, wo, items.n)
                 at, key = (np.concatenate(x) for x in zip(*map(items.find, near), strict=True))
                 if not len(at):
@@ -191,31 +241,36 @@ def _search(shared_items, threshold: float):
 
 
 def contaminated(
-    docs: DataFrame, benchmark: DataFrame, n: int = 3, threshold: float = 0.45, least_words: int = 5, block_items: int = BLOCK_ITEMS
+    docs: DataFrame, benchmark: DataFrame, n: int = 3, threshold: float = 0.45, least_words: int = 5, block_items: int = BLOCK_ITEMS, block_words: int = BLOCK_WORDS
 ) -> DataFrame:
     """Pairs (doc_id, item_id) whose best alignment scores threshold or more, with its words in the text.
 
     docs needs ``doc_id`` and ``text``, benchmark ``item_id`` and ``text``; further columns are
-    ignored. Null and empty texts match nothing; items without an id, or of fewer than least_words
-    words, are not searched for. Repeated rows give a result each. Empty tables give no rows. Seeds
-    can't promise all pairs for n below 3 or items of up to 1 / threshold words: these are refused.
+    ignored. Null and empty texts match nothing, and items without an id are not searched for. Items
+    of fewer than least_words words, or of up to 1 / threshold, count as found where they stand whole.
+    Repeated rows of docs give a result each, repeated items one. Of alignments with the same score
+    the first counts. Very long texts are searched in blocks, very long items aligned in memory of a
+    few rows. Empty tables give no rows.
     """
-    if n < 3 or least_words * threshold <= 1:
-        raise ValueError("n must be 3 or more and least_words above 1 / threshold")
+    if n < 3:
+        raise ValueError("n must be 3 or more")
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     rows = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).distinct().orderBy("item_id", "text").toLocalIterator()
     found = []
-    while block := list(islice(rows, block_items)):
+    for block in _blocks(rows, block_items, block_words):
         items = _Items(block, n, least_words, threshold)
-        if not items.ids:
+        if not items.ids and not items.short:
             continue
-        counts = np.zeros(len(items.keys), np.int64)
-        seen = docs.select("text").mapInArrow(_count(spark.sparkContext.broadcast(items)), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-        seen = seen.toArrow()  # at most the seeds of one block
-        counts[seen["key"].to_numpy()] = seen["n"].to_numpy()
-        items.keep_rare(counts)
-        found.append(docs.mapInArrow(_search(spark.sparkContext.broadcast(items), threshold), RESULT))
+        held = spark.sparkContext.broadcast(items)  # bounded by block_items and block_words
+        if items.ids:
+            counts = np.zeros(len(items.keys), np.int64)
+            seen = docs.select("text").mapInArrow(_count(held), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+            seen = seen.toArrow()  # at most the seeds of one block
+            counts[seen["key"].to_numpy()] = seen["n"].to_numpy()
+            items.keep_rare(counts)
+            held = spark.sparkContext.broadcast(items)
+        found.append(docs.mapInArrow(_search(held, threshold), RESULT))
     return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], RESULT)
 
 
