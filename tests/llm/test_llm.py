@@ -223,11 +223,55 @@ def test_lines(spark, odd):
     block = "\n".join(f"this is the shared line number {i} of a long passage." for i in range(14))
     rows = [(1, "own start here.\n" + block + "\nown end of one."), (2, block), (3, "something else.\nand nothing more."), (4, None), (None, block), (5, "x " * 60), (6, "y\n" + "x " * 60)]
     got = {r.doc_id: r for r in linededup.without_repeats(spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, n_lines int")).collect()}
-    assert got[None].n_removed_lines == 0 and got[1].n_removed_lines >= 8 and got[2].n_removed_lines == 14 and got[3].clean_text == rows[2][1] and got[4].clean_text is None
+    assert got[1].n_removed_lines == 0 and got[2].n_removed_lines == 14 and got[None].n_removed_lines == 14 and got[3].clean_text == rows[2][1] and got[4].clean_text is None
     assert got[5].n_removed_lines == 0 and got[6].clean_text == "y"
     assert linededup.without_repeats(odd).count() == 11 and linededup.without_repeats(odd.limit(0)).count() == 0
     for body in ("", "a", "a\n", block + "\n\n" + block):
-        assert "\n".join(x for _, lines, _ in linededup.chunks(body) for x in lines) == body
+        assert "\n".join(x for lines, _ in linededup.chunks(body) for x in lines) == body
+
+
+def repeats_by_force(rows):
+    """Clean texts of (doc_id, text) rows: every span's text in a dictionary, in order."""
+    order = sorted(set(rows), key=lambda r: (r[0] is None, r[0] or 0, linededup_hash(r[1])))
+    first, out = {}, {}
+    for k, (_, body) in enumerate(order):
+        lines, found = linededup.spans(body or "", 50)
+        for at, end in sorted(found):
+            first.setdefault("\n".join(lines[at:end]), (k, at))
+    for k, (doc_id, body) in enumerate(order):
+        lines, found = linededup.spans(body or "", 50)
+        gone = set()
+        for at, end in found:
+            d, place = first["\n".join(lines[at:end])]
+            if not (d == k and at < place + end - at):
+                gone.update(range(at, end))
+        out[doc_id, body] = None if body is None else ("\n".join(x for i, x in enumerate(lines) if i not in gone), len(lines), len(gone))
+    return out
+
+
+def linededup_hash(body):
+    """Spark's xxhash64 of a text, the order of documents that share a doc_id."""
+    return hashes[body]
+
+
+hashes = {}
+
+
+@pytest.mark.parametrize("bits", [128, 3])
+def test_lines_by_force(spark, docs, odd, bits):
+    rng = np.random.default_rng(9)
+    line = lambda: " ".join(f"w{x}" for x in rng.integers(0, 4, rng.integers(0, 30)))
+    pool = [line() for _ in range(12)]
+    rows = [(r.doc_id, r.text) for r in docs.collect()] + [(r.doc_id, r.text) for r in odd.collect()]
+    rows += [(int(rng.integers(3000, 3040)) if k % 5 else None, "\n".join(rng.choice(pool, rng.integers(1, 9)))) for k in range(120)]
+    rows += [(i, "\n".join(f"passage {j} of the shared text." for j in range(12))) for i in range(4000, 4300)]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, t string")
+    hashes.update({r.text: r.h for r in df.select("text", F.xxhash64("text").alias("h")).distinct().collect()})
+    want = repeats_by_force(rows)
+    got = linededup.without_repeats(df, bits=bits).collect()
+    assert Counter((r.doc_id, r.text) for r in got) == Counter(rows)
+    for r in got:
+        assert want[r.doc_id, r.text] == (None if r.text is None else (r.clean_text, r.n_lines, r.n_removed_lines))
 
 
 def test_decontaminate(spark, odd):
@@ -237,7 +281,7 @@ def test_decontaminate(spark, odd):
     bench = spark.createDataFrame([(1, item, 0), (2, None, 0), (None, item, 0), (3, "", 0), (4, "item1 item2", 0)], "item_id long, text string, score int")
     rows = [(1, other + " " + item), (2, other + " " + edited + " " + other), (3, other), (4, " ".join(f"item{i}" for i in range(6)) + " " + other)]
     got = {(r.doc_id, r.item_id): r.score for r in decontaminate.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
-    assert set(got) == {(1, 1), (2, 1)} and got[1, 1] == 1.0 and 0.6 < got[2, 1] < 0.95
+    assert set(got) == {(1, 1), (2, 1), (1, 4), (2, 4), (4, 4)} and got[1, 1] == got[4, 4] == 1.0 and 0.6 < got[2, 1] < 0.95  # a short item counts where it stands whole
     assert decontaminate.contaminated(odd, bench).count() == 0 and decontaminate.contaminated(odd, bench.limit(0)).count() == 0
     assert decontaminate.without_benchmark(odd, bench).count() == 11
     rng = np.random.default_rng(0)
@@ -247,7 +291,27 @@ def test_decontaminate(spark, odd):
         for i in range(9):
             for j in range(14):
                 h[i + 1, j + 1] = max(0, h[i, j] + (2 if a[i] == b[j] else -1), h[i, j + 1] - 1, h[i + 1, j] - 1)
-        assert decontaminate.align(a, b)[0] == h.max()
+        score, matched, first, last = decontaminate.align(a, b)
+        assert score == h.max() and (not score or 2 * matched - score >= 0 and first <= last and score == decontaminate.align(a, b[first : last + 1])[0])
+
+
+def test_decontaminate_long(spark):
+    """An item of 10,000 words, edited and after 40,000 others, within bounded memory; short items; very long texts."""
+    import tracemalloc
+
+    rng = np.random.default_rng(2)
+    item = rng.integers(0, 2**60, 10_000).astype(np.uint64)
+    part = np.concatenate([rng.integers(0, 2**60, 20_000).astype(np.uint64), np.delete(item, np.arange(7, 10_000, 50))])
+    tracemalloc.start()
+    points, matched, first, last = decontaminate.align(item[:3000], part)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20e6 and matched > 2900 and first == 20_000 and points > 0.9 * 6000
+    words = [f"i{k}" for k in range(2_500)]
+    bench = spark.createDataFrame([(1, " ".join(words)), (2, "one"), (3, "two words"), (4, "a b c d"), (5, "a b c d")], "item_id long, text string")
+    rows = [(1, " ".join([*(f"x{k}" for k in range(30_000)), *(w if k % 9 else "edit" for k, w in enumerate(words))])), (2, "only one here and two  Words\na b c"), (3, "a b c\nd one one"), (4, "nothing")]
+    got = {(r.doc_id, r.item_id, r.score == 1, r.first_word) for r in decontaminate.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), bench, block_items=2).collect()}
+    assert got == {(1, 1, False, 30_001), (2, 2, True, 1), (2, 3, True, 4), (3, 2, True, 4), (3, 4, True, 0), (3, 5, True, 0)}
 
 
 @pytest.mark.parametrize("n,words", [(2, 30), (3, 20), (5, 12), (6, 10), (10, 10)])
