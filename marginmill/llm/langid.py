@@ -2,7 +2,12 @@
 
 Every language has a codeword of bits. One binary classifier per bit, over hashed character
 n-grams, scores a text; loss-weighted decoding picks the nearest codeword. Each bit's loss weighs as
-much as the bit was right in calibration.
+much as the bit was right in calibration. A text whose best language isn't ``margin`` times as likely
+as the second is ambiguous; the margin is lowered until few calibration texts that are decoded right
+are.
+
+Training sums up n-grams by language, then by bit; what comes to the driver is a vector a bit and a
+few numbers a bit and task of the sample, and the languages with their numbers of documents.
 """
 
 from __future__ import annotations
@@ -18,8 +23,12 @@ from . import shared, text
 
 BUCKETS = 1 << 13
 ORDERS = (1, 2, 3)
-#: Bound of the training sample: about so many documents of a language (drawn by hash), and languages.
-TRAIN_ROWS, LANGUAGES = 2_000, 500
+#: Bound of the training sample: about so many documents of a language, drawn by hash.
+TRAIN_ROWS = 2_000
+#: Documents of the sample in a task.
+TASK_ROWS = 1_000
+#: How much likelier the best language must be than the second, and the share of right decisions that it may flag.
+MARGIN, MOST_FLAGGED, LEVELS = 10.0, 0.005, 64
 _letter: list[np.ndarray] = []
 
 
@@ -29,32 +38,35 @@ def _letters() -> np.ndarray:
     return _letter[0]
 
 
-def grams(body: str | None) -> np.ndarray | None:
-    """Counts of the hashed n-grams of a whole text; None if it has no letter."""
+def grams(body: str | None, block: int = 1 << 20) -> np.ndarray | None:
+    """Counts of the hashed n-grams of a whole text, block by block; None if it has no letter."""
     if not body:
         return None
-    total, letters, tail = np.zeros(BUCKETS), _letters(), np.zeros(0, np.uint32)
+    total, letters = np.zeros(BUCKETS), _letters()
+    tail, carried = np.array([32], np.uint64), 0  # the characters before the block, and how many of them have been counted
     any_letter = False
-    for at in range(0, len(body), 1 << 20):
-        part = body[at : at + (1 << 20)].lower().encode("utf-32-le", "surrogatepass")
+    for at in range(0, len(body), block):
+        part = body[at : at + block].lower().encode("utf-32-le", "surrogatepass")
         a = np.frombuffer(part, np.uint32)
         ok = letters[a]
         any_letter |= bool(ok.any())
         a = np.where(ok, a, 32)
-        a = np.concatenate([tail if at else np.array([32], np.uint32), a] + ([np.array([32], np.uint32)] if at + (1 << 20) >= len(body) else []))
+        a = np.concatenate([tail, a.astype(np.uint64)] + ([np.array([32], np.uint64)] if at + block >= len(body) else []))
         keep = np.ones(len(a), bool)
         keep[1:] = (a[1:] != 32) | (a[:-1] != 32)
-        a = a[keep].astype(np.uint64)
-        tail = a[-2:].astype(np.uint32)
+        a = a[keep]
         for n in ORDERS:
-            if len(a) < n:
+            x = a[max(0, carried - n + 1) :]  # n-grams that lie in what was counted are done
+            if len(x) < n:
                 continue
             with np.errstate(over="ignore"):
-                h = a[: len(a) - n + 1] * text.U(n)
+                h = x[: len(x) - n + 1] * text.U(n)
                 for j in range(1, n):
-                    h = h * text.U(0x9E3779B97F4A7C15) + a[j : len(a) - n + 1 + j]
+                    h = h * text.U(0x9E3779B97F4A7C15) + x[j : len(x) - n + 1 + j]
                 h = (h * text.U(0xBF58476D1CE4E5B9)) >> text.U(64 - 13)
             total += np.bincount(h.astype(np.int64), minlength=BUCKETS)
+        tail = a[-(max(ORDERS) - 1) :]
+        carried = len(tail)
     return total if any_letter else None
 
 
@@ -66,6 +78,8 @@ def codewords(n: int) -> np.ndarray:
         cols = [[1, *(1 if i >> j & 1 else -1 for j in range(n - 1))] for i in range(2 ** (n - 1) - 1)]
         return np.array(cols, float).T
     bits, rng = int(np.ceil(10 * np.log2(n))), np.random.default_rng(7)
+    if n > 1000:  # too many pairs to compare: random words of so many bits lie far apart all the same
+        return np.where(rng.random((n, 2 * bits)) < 0.5, -1.0, 1.0)
     tries = [np.where(rng.random((n, bits)) < 0.5, -1.0, 1.0) for _ in range(50)]
     return max(tries, key=lambda m: ((m @ m.T) - 2 * bits * np.eye(n)).max() * -1)
 
@@ -79,15 +93,18 @@ class Model:
     scale: np.ndarray
     trust: np.ndarray
     #: A text is ambiguous if the best language's probability is not so many times the second's.
-    margin: float = 2.0
+    margin: float = MARGIN
+
+    def raw(self, counts: np.ndarray) -> np.ndarray:
+        return counts @ self.weight / max(counts.sum(), 1)
 
-    def bits(self, counts: np.ndarray) -> np.ndarray:
-        return (counts @ self.weight / max(counts.sum(), 1) - self.shift) * self.scale
+    def losses(self, raw: np.ndarray) -> np.ndarray:
+        return (np.logaddexp(0, -self.code * ((raw - self.shift) * self.scale)) * self.trust).sum(1)
 
     def decode(self, counts: np.ndarray | None) -> tuple[str, float, bool]:
         if counts is None or not self.languages:
             return "und", 0.0, counts is not None
-        loss = (np.logaddexp(0, -self.code * self.bits(counts)) * self.trust).sum(1)
+        loss = self.losses(self.raw(counts))
         p = np.exp(loss.min() - loss)
         p /= p.sum()
         best = int(p.argmax())
@@ -121,68 +138,114 @@ def _add(batches):
         yield pa.record_batch([pa.array(list(sums)), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["lang", "sums"])
 
 
-def _scores(rows: DataFrame, weight):
+def _by_bit(number: dict[str, int], code: np.ndarray):
+    """Per bit the sums of the shares of the languages on either side, of the task's languages."""
+
+    def run(batches):
+        sides = np.zeros((code.shape[1], 2, BUCKETS))
+        for batch in batches:
+            for lang, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                x = np.frombuffer(x.as_buffer())
+                for b, side in enumerate(code[number[lang]]):
+                    sides[b, int(side < 0)] += x / max(x.sum(), 1e-9)
+        if sides.any():
+            yield pa.record_batch([pa.array(range(len(sides)), pa.int32()), pa.array([x.tobytes() for x in sides], pa.binary())], names=["bit", "sums"])
+
+    return run
+
+
+def _raw(model):
     def run(batches):
-        w = weight.value
+        m = model.value
         for batch in batches:
-            got = [(lang, (c @ w / c.sum()).tobytes()) for body, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if (c := grams(body)) is not None]
+            got = [(lang, m.raw(c).tobytes()) for body, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if (c := grams(body)) is not None]
             if got:
                 yield pa.record_batch([pa.array([x for x, _ in got]), pa.array([x for _, x in got], pa.binary())], names=["lang", "z"])
 
-    return rows.mapInArrow(run, "lang string, z binary")
+    return run
+
+
+def _summed(raw: DataFrame, number: dict[str, int], measure) -> np.ndarray | None:
+    """Sum of measure(language's number, raw scores) over the calibration rows: a vector a task comes to the driver."""
+
+    def run(batches):
+        total = None
+        for batch in batches:
+            for lang, z in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                x = measure(number[lang], np.frombuffer(z.as_buffer()))
+                total = x if total is None else total + x
+        if total is not None:
+            yield pa.record_batch([pa.array([total.tobytes()], pa.binary())], names=["sums"])
+
+    rows = raw.mapInArrow(run, "sums binary").collect()
+    return sum(np.frombuffer(r.sums) for r in sorted(rows, key=lambda r: bytes(r.sums))) if rows else None
 
 
 def train(rows: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
     """A model from labelled rows (doc_id, text, lang); rows without lang or text are left out.
 
-    Each language's sample has about train_rows documents, drawn by a hash of doc_id; of languages,
-    the LANGUAGES most frequent are learned. A quarter of the sample calibrates.
+    Each language's sample has about train_rows documents, drawn by a hash of doc_id; a quarter of
+    the sample calibrates. All languages that have a row are learned. Repeated rows are drawn alike.
     """
     spark = rows.sparkSession
     rows = rows.where("lang is not null and text is not null")
-    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
-    languages = sorted(r.lang for r in sizes)
+    sizes = sorted(rows.groupBy("lang").count().collect(), key=lambda r: r["lang"])  # a row a language
+    languages = [r["lang"] for r in sizes]
     if not languages:
         return Model([], np.zeros((0, 1)), np.zeros((BUCKETS, 1)), np.zeros(1), np.ones(1), np.ones(1))
-    code = codewords(len(languages))
-    rate = F.create_map(*(x for r in sizes for x in (F.lit(r.lang), F.lit(min(1.0, train_rows / r["count"])))))
+    code, number = codewords(len(languages)), {x: i for i, x in enumerate(languages)}
+    rates = spark.createDataFrame([(r["lang"], min(1.0, train_rows / r["count"])) for r in sizes], "lang string, rate double")
     draw = F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(1_000_000)) / F.lit(1_000_000.0)
-    # written once: the corpus is read for it one time, and both passes over it are one job each
-    sample = rows.where(draw < F.element_at(rate, F.col("lang"))).repartition(8, "doc_id").sortWithinPartitions("doc_id", "text").select("text", "lang", (F.pmod(F.xxhash64(F.lit(12), "doc_id"), F.lit(4)) == 0).alias("calibrates"))
-    sample = shared.written(sample, shared.work_folder(spark), "sample")
-    bound = 2 * train_rows * len(languages) + 1000
-    sums = {x: np.zeros(BUCKETS) for x in languages}
-    parts = _sample(sample.where("not calibrates").select("text", "lang"))
-    parts = parts.repartition("lang").sortWithinPartitions("lang", F.xxhash64("sums"))  # sums add up in the same order in every run
-    for row in parts.mapInArrow(_add, parts.schema).collect():  # at most LANGUAGES rows of BUCKETS numbers
-        sums[row.lang] += np.frombuffer(row.sums)
-    share = np.stack([sums[x] for x in languages])
-    share = share / np.maximum(share.sum(1, keepdims=True), 1e-9)
+    # written once: the corpus is read for it one time, and all passes over it are small jobs
+    tasks = max(1, -(-sum(min(train_rows, r["count"]) for r in sizes) // TASK_ROWS))
+    calibrates = F.pmod(F.xxhash64(F.lit(12), "doc_id"), F.lit(4)) == 0
+    drawn = rows.join(F.broadcast(rates) if len(sizes) <= shared.BROADCAST_ROWS else rates, "lang").where(draw < F.col("rate"))
+    sample = drawn.repartition(tasks, "doc_id").sortWithinPartitions("doc_id", "text").select("text", "lang", calibrates.alias("calibrates"))
+    folder = shared.work_folder(spark)
+    sample = shared.written(sample, folder, "sample")
+    sums = _sample(sample.where("not calibrates").select("text", "lang"))
+    sums = sums.repartition("lang").sortWithinPartitions("lang", F.xxhash64("sums")).mapInArrow(_add, sums.schema)  # in the same order in every run
+    sides = sums.sortWithinPartitions("lang").mapInArrow(_by_bit(number, code), "bit int, sums binary")
+    total = np.zeros((code.shape[1], 2, BUCKETS))
+    sides = sides.withColumn("lang", F.col("bit").cast("string")).select("lang", "sums").repartition("lang").sortWithinPartitions("lang", F.xxhash64("sums")).mapInArrow(_add, "lang string, sums binary")
+    for row in sides.collect():  # a row a bit
+        total[int(row["lang"])] = np.frombuffer(row["sums"]).reshape(2, BUCKETS)
+    n_sides = np.stack([(code > 0).sum(0), (code < 0).sum(0)], 1)
     weight = np.zeros((BUCKETS, code.shape[1]))
     smooth = 1e-6
-    for b in range(code.shape[1]):
-        one, two = share[code[:, b] > 0], share[code[:, b] < 0]
-        if len(one) and len(two):
-            weight[:, b] = np.log(one.mean(0) + smooth) - np.log(two.mean(0) + smooth)
-    got = _scores(sample.where("calibrates").select("text", "lang"), spark.sparkContext.broadcast(weight)).limit(bound).collect()
-    shift, scale, trust = np.zeros(code.shape[1]), np.full(code.shape[1], 4.0), np.ones(code.shape[1])
-    if got:
-        z = np.stack([np.frombuffer(r.z) for r in got])
-        sign = code[[languages.index(r.lang) for r in got]]
-        for b in range(code.shape[1]):
-            one, two = z[sign[:, b] > 0, b], z[sign[:, b] < 0, b]
-            if len(one) and len(two):
-                shift[b] = (one.mean() + two.mean()) / 2
-                scale[b] = 6 / max(one.mean() - two.mean(), 1e-6)
-                trust[b] = max(0.05, 2 * (np.mean((z[:, b] > shift[b]) == (sign[:, b] > 0)) - 0.5))
-    return Model(languages, code, weight, shift, scale, trust)
+    for b, (one, two) in enumerate(n_sides):
+        if one and two:
+            weight[:, b] = np.log(total[b, 0] / one + smooth) - np.log(total[b, 1] / two + smooth)
+    bits = code.shape[1]
+    model = Model(languages, code, weight, np.zeros(bits), np.full(bits, 4.0), np.ones(bits))
+    raw = shared.written(sample.where("calibrates").select("text", "lang").mapInArrow(_raw(spark.sparkContext.broadcast(model)), "lang string, z binary"), folder, "raw")
+    up = code > 0
+    got = _summed(raw, number, lambda i, z: np.concatenate([z * up[i], up[i] * 1.0, z * ~up[i], ~up[i] * 1.0]))
+    if got is None:
+        return model
+    one, n_one, two, n_two = got.reshape(4, bits)
+    both = (n_one > 0) & (n_two > 0)
+    one, two = one / np.maximum(n_one, 1), two / np.maximum(n_two, 1)
+    shift = np.where(both, (one + two) / 2, 0.0)
+    scale = np.where(both, 6 / np.maximum(one - two, 1e-6), 4.0)
+    right = _summed(raw, number, lambda i, z: ((z > shift) == up[i]) * 1.0) / np.maximum(n_one + n_two, 1)
+    model = Model(languages, code, weight, shift, scale, np.where(both, np.maximum(0.05, 2 * (right - 0.5)), 1.0))
+    if len(languages) > 1:
+        levels = np.linspace(0, np.log(MARGIN), LEVELS)
+        odds = lambda loss: float(np.diff(np.sort(loss)[:2])[0])
+        below = _summed(raw, number, lambda i, z: np.append(levels > odds(model.losses(z)), 1.0) * (model.losses(z).argmin() == i))
+        fits = levels[below[:-1] <= MOST_FLAGGED * below[-1]]
+        model.margin = min(MARGIN, float(np.exp(fits[-1] if len(fits) else 0.0)))
+    return model
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """docs with lang_pred, score (0 to 1) and ambiguous; only the text is looked at.
 
-    Null texts and texts without a letter are ``und`` with score 0. Columns of docs that have these
-    names are replaced. Empty tables give no rows.
+    Null texts and texts without a letter are ``und`` with score 0. Very long texts are counted in
+    blocks. Of languages that are equally near the first by name is taken, and the text is ambiguous.
+    Repeated rows get the same result. Columns of docs that have these names are replaced. Empty
+    tables give no rows.
     """
     shared_model = docs.sparkSession.sparkContext.broadcast(model)
 
