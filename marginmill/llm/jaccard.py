@@ -6,12 +6,15 @@ shingles are shuffled, once, and sorted; a sorted pass keeps those that two diff
 common. Pairs that survive the length, positional and suffix filters are verified once on their
 whole sets.
 
-Components need fewer pairs than all links. Of the sets that share a prefix shingle a few,
-drawn by a hash of both, are pivots, and first every set is verified against its pivots. Sets that are then in the same
-component need no further pair; every other pair that shares a prefix shingle is verified in a
-second round. So a group of thousands of near copies costs pairs in proportion to its size, and no
-link that could change a component is left untested. ``all_links`` skips the shortcut and lists
-every link between different sets.
+Components need fewer pairs than all links. Of the sets that share a prefix shingle the few with the
+least hashes are pivots (so the shingles of one group of near copies have the same ones), and first
+every set is verified against its pivots. Sets that are then in the same component need no further
+pair; every other pair that shares a prefix shingle is verified in a second round. So a group of
+thousands of near copies costs pairs in proportion to its size, and no link that could change a
+component is left untested. ``links`` skips the shortcut and lists every link between different sets.
+
+A shingle that many unconnected sets share is paired block by block: its sets are dealt by bands of
+size, of which only neighbours can link, and by salts, so that no task compares all of them.
 """
 
 from __future__ import annotations
@@ -28,7 +31,8 @@ from . import shared, text
 
 COUNTERS = 1 << 19  # of the frequency sketch; fixed, whatever the corpus size
 PIECE = 1 << 14
-PIVOTS = 16  # sets per shingle that all others of the shingle are first verified against
+PIVOTS = 8  # sets per shingle that all others of the shingle are first verified against
+HOT_TOKEN = 500  # sets of a shingle from which it is paired block by block
 SEEN = 200_000  # sets that a task remembers so as to emit the prefix of copies once
 WORDS = 8  # of 64 bits, for the suffix filter
 PARITY = [f"p{i}" for i in range(WORDS)]
@@ -216,8 +220,9 @@ class JaccardJoin:
     docs needs ``doc_id`` (whole numbers) and ``text``; further columns are ignored. Null or empty
     texts have an empty set and no links. Equal sets are one class. Rows that repeat a doc_id are
     one node. A document without doc_id takes part, but is never a component's id. An empty table
-    gives empty results. Sets are told apart by 128-bit signatures; shingles, and the classes in
-    pairs, by 64-bit hashes.
+    gives empty results. Very long texts are hashed in blocks. Ties in the order of shingles go by
+    their hashes. Sets are told apart by 128-bit signatures; shingles, and the classes in pairs, by
+    64-bit hashes. After ``components`` the postings are gone: call ``links`` on an object of its own.
     """
 
     def __init__(self, docs: DataFrame, k: int = 5, num: int = 80, den: int = 100):
@@ -236,7 +241,7 @@ class JaccardJoin:
             counts[row.piece * PIECE : (row.piece + 1) * PIECE] = np.frombuffer(zlib.decompress(row.counts), np.int64)
         sketch = self.spark.sparkContext.broadcast(counts)
         postings = self.docs.select("text").mapInArrow(_prefixes(k, num, den, sketch), "token long, s1 long, n int, pos int")
-        sort = postings.repartition("token").sortWithinPartitions("token", F.xxhash64("token", "s1"), "s1")
+        sort = postings.repartition("token").sortWithinPartitions("token", "s1")
         self.common = shared.written(
             sort.mapInArrow(_shared_tokens, "token long, s1 long, n int, pos int, r long"), self.folder, "common"
         )
@@ -253,25 +258,45 @@ class JaccardJoin:
         grams = shared.semi_by_size(self.docs, ids, "doc_id").select("text").mapInArrow(_whole_sets(self.k), "s1 long, grams binary")
         # sets of which no document has an id
         unnamed = self.docs.where("doc_id is null").select("text").distinct().mapInArrow(_whole_sets(self.k), "s1 long, grams binary")
-        unnamed = unnamed.join(self.classes.where("least is null").select("s1"), "s1", "left_semi").dropDuplicates(["s1"])
-        grams = grams.unionByName(unnamed)
+        unnamed = unnamed.join(self.classes.where("least is null").select("s1"), "s1", "left_semi")
+        grams = grams.unionByName(unnamed).dropDuplicates(["s1"])  # rows that repeat a doc_id give a set each
         grams = shared.written(grams, self.folder, f"{name}-grams")
         pair = fit.join(grams.select(F.col("s1").alias("a"), F.col("grams").alias("ga")), "a")
         pair = pair.join(grams.select(F.col("s1").alias("b"), F.col("grams").alias("gb")), "b")
         good = pair.select("a", "b", "ga", "gb").mapInArrow(_verify(self.num, self.den), "a long, b long")
-        return shared.written(good.distinct(), self.folder, f"{name}-links")
+        good = shared.written(good.distinct(), self.folder, f"{name}-links")
+        shared.drop(self.spark, *(f"{self.folder}/{name}-{x}" for x in ("fit", "ids", "grams")))
+        return good
 
-    def _pairs(self, some: DataFrame, others: DataFrame, which: str) -> DataFrame:
-        """Distinct pairs of sets with the same token that the length, positional and (if they have it) suffix filters let pass."""
+    def _pairs(self, some: DataFrame, others: DataFrame, which: str, blocks: str = "") -> DataFrame:
+        """Distinct pairs of sets with the same token that the length, positional and (if they have it) suffix filters let pass.
+
+        blocks, a name for a table: many of others may have the same token.
+        """
         x, y = (df.select("token", *(F.col(c).alias(f"{c}_{side}") for c in df.columns if c != "token")) for df, side in ((some, "x"), (others, "y")))
         ok = F.expr(f"{which} AND " + _bound("n_x", "pos_x", "n_y", "pos_y", self.num, self.den))
         if PARITY[0] in some.columns:
             ok = ok & F.expr(_suffix("x", "y", self.num, self.den))
-        return x.join(y, "token").where(ok).select(F.least("s1_x", "s1_y").alias("a"), F.greatest("s1_x", "s1_y").alias("b")).distinct()
+        pair = (F.least("s1_x", "s1_y").alias("a"), F.greatest("s1_x", "s1_y").alias("b"))
+        if not blocks:
+            return x.join(y, "token").where(ok).select(*pair).distinct()
+        # sets that link lie in the same band of size or in neighbours; of a hot token one side goes to all three, salted by the other
+        size = F.floor(F.log(F.col("n_y").cast("double")) / F.log(F.lit(self.den / self.num)))
+        counts = y.groupBy("token", size.alias("band")).agg(F.count("*").alias("m"))
+        counts = shared.written(counts, self.folder, f"{blocks}-counts")
+        hot = counts.groupBy("token").agg(F.sum("m").alias("m")).where(F.col("m") > HOT_TOKEN).select("token")
+        hint = F.broadcast if shared.is_small(hot) else (lambda z: z)
+        cold = x.join(hint(hot), "token", "left_anti").join(y, "token").where(ok).select(*pair)
+        salts = counts.join(hint(hot), "token").select("token", "band", F.ceil(F.col("m") / HOT_TOKEN).cast("int").alias("salts"))
+        band_x = F.floor(F.log(F.col("n_x").cast("double")) / F.log(F.lit(self.den / self.num)))
+        to = F.explode(F.array(band_x - 1, band_x, band_x + 1)).alias("band")
+        hot_x = x.join(hint(hot), "token").select("*", to).join(hint(salts), ["token", "band"]).withColumn("salt", F.explode(F.expr("sequence(0, salts - 1)"))).drop("salts")
+        hot_y = y.join(hint(hot), "token").withColumn("band", size).join(hint(salts), ["token", "band"]).withColumn("salt", F.expr("cast(pmod(s1_y, salts) as int)")).drop("salts")
+        return cold.unionByName(hot_x.join(hot_y, ["token", "band", "salt"]).where(ok).select(*pair)).distinct()
 
     def links(self) -> DataFrame:
         """All links (a, b) between different sets, as the least doc_ids of each (a < b)."""
-        good = self._checked(self._pairs(self.common, self.common, "s1_x < s1_y"), "all")
+        good = self._checked(self._pairs(self.common, self.common, "s1_x < s1_y", "all"), "all")
         ids = self.classes.select("s1", "least")
         good = good.join(ids.select(F.col("s1").alias("a"), F.col("least").alias("x")), "a").join(ids.select(F.col("s1").alias("b"), F.col("least").alias("y")), "b")
         return good.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
@@ -287,10 +312,11 @@ class JaccardJoin:
         open_ = members.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("token")
         members = members.join(open_, "token", "left_semi").join(self.classes.select("s1", *PARITY), "s1")
         members = shared.written(members, self.folder, "open")
-        rest = self._pairs(members, members, "s1_x < s1_y AND root_x <> root_y").join(star, ["a", "b"], "left_anti")
+        rest = self._pairs(members, members, "s1_x < s1_y AND root_x <> root_y", "open").join(star, ["a", "b"], "left_anti")
         # what is connected so far goes on as one edge a set
         near = root.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
         near = near.unionByName(self._checked(shared.written(rest, self.folder, "rest"), "rest"))
+        shared.drop(self.spark, *(f"{self.folder}/{x}" for x in ("common", "star", "open", "open-counts", "rest")))
         # a doc_id that several rows have is one node: its classes belong together
         twice = self.rows.where("n > 0").groupBy("doc_id").agg(F.min("s1").alias("a"), F.max("s1").alias("b")).where("doc_id is not null and a <> b")
         same = self.rows.where("n > 0").select("doc_id", "s1").join(twice.select("doc_id", "a"), "doc_id").select("a", F.col("s1").alias("b"))
@@ -299,15 +325,39 @@ class JaccardJoin:
         known = known.select("s1", "s2", "least", "copies", F.coalesce("root", "s1").alias("root"))
         total = self.classes.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]
         least = known.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("members"))
-        known = shared.join_counted(known, least, ["root"], "members", total).select("s1", "s2", "copies", "component_id")
-        known = shared.written(known, self.folder, "known")
-        full = shared.join_counted(self.rows.where("n > 0").select("doc_id", "s1", "s2", "n"), known, ["s1", "s2"], "copies", total)
+        known = shared.join_counted(known, least, ["root"], "members", total).select("s1", "s2", "copies", "root", "component_id")
+        self.known = known = shared.written(known, self.folder, "known")
+        full = shared.join_counted(self.rows.where("n > 0").select("doc_id", "s1", "s2", "n"), known.drop("root"), ["s1", "s2"], "copies", total)
         full = full.select("doc_id", F.col("n").alias("n_shingles"), "component_id")
         none = self.rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
         return full.unionByName(none).withColumn("n_shingles", F.col("n_shingles").cast("long"))
 
 
+def _signatures(k: int):
+    def run(batches):
+        for batch in batches:
+            found = {i: _signature(s) for i, s in _sets(batch.column(0), k) if len(s)}
+            s1, s2 = ([found[i][j] if i in found else None for i in range(batch.num_rows)] for j in (0, 1))
+            yield pa.record_batch([batch.column(0), pa.array(s1, pa.int64()), pa.array(s2, pa.int64())], names=["text", "s1", "s2"])
+
+    return run
+
+
 def one_of_each(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """The rows of docs without near copies: of each component the least doc_id stays."""
-    gone = JaccardJoin(docs, k, num, den).components().where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """The rows of docs without near copies: of each component the least doc_id stays.
+
+    Of rows without doc_id one stays if its component has no row with one (that of the least signature
+    and text). Rows with the same doc_id are one document; documents without words all stay.
+    """
+    join = JaccardJoin(docs, k, num, den)
+    found = shared.written(join.components().where("component_id <> doc_id").select("doc_id").distinct(), join.folder, "gone")
+    out = docs.where("doc_id is not null").join(F.broadcast(found) if shared.is_small(found) else found, "doc_id", "left_anti").select(docs.columns)
+    unnamed = docs.where("doc_id is null")
+    if unnamed.limit(1).count():
+        bodies = unnamed.select(F.col("text").cast("string").alias("text")).distinct().mapInArrow(_signatures(k), "text string, s1 long, s2 long")
+        known = bodies.where("s1 is not null").join(join.known, ["s1", "s2"]).where("component_id is null and root = s1")
+        stays = known.groupBy("s1", "s2").agg(F.min("text").alias("_t")).select("_t")
+        full = unnamed.join(stays, unnamed["text"].cast("string") == F.col("_t")).select(unnamed.columns)
+        empty = unnamed.join(bodies.where("s1 is null").select(F.col("text").alias("_t")), unnamed["text"].cast("string").eqNullSafe(F.col("_t")), "left_semi")
+        out = out.unionByName(full.dropDuplicates(["text"])).unionByName(empty)
+    return out
