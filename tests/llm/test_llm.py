@@ -76,12 +76,50 @@ def test_jaccard_links(spark):
     assert got == {(a, b) for a in range(6) for b in range(a + 1, 6) if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])}
 
 
+@pytest.mark.parametrize("hot", [500, 3])
+def test_jaccard_hot_tokens(spark, hot, monkeypatch):
+    """Sets of many sizes that share frequent shingles, some linked, paired as one block or as many; a doc_id repeated 1000 times."""
+    monkeypatch.setattr(jaccard, "HOT_TOKEN", hot)
+    monkeypatch.setattr(jaccard, "PIVOTS", 1)
+    rng = np.random.default_rng(4)
+    common = [f"c{i}" for i in range(12)]
+    rows = [(i, " ".join([*common, *(f"x{rng.integers(8)}" for _ in range(rng.integers(0, 5)))])) for i in range(120)]
+    rows += [(500, " ".join(common)), (500, " ".join([*common, "z"]))] * 500
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = components_by_force(sorted(set(rows)), 2, 80)
+    got = jaccard.JaccardJoin(df, 2, 80).components().collect()
+    assert len(got) == len(rows) and all(r.component_id == want[r.doc_id] for r in got)
+    sets = {i: {tuple(t.split()[j : j + 2]) for j in range(len(t.split()) - 1)} for i, t in rows if i < 500}
+    assert all(r.n_shingles == len(sets[r.doc_id]) for r in got if r.doc_id < 500)
+    firsts = {}
+    for i, x in sorted(sets.items()):
+        firsts.setdefault(frozenset(x), i)
+    ids = sorted(firsts.values())
+    links = {(r.a, r.b) for r in jaccard.JaccardJoin(df.where("doc_id < 500"), 2, 80).links().collect()}
+    assert links == {(a, b) for a in ids for b in ids if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+
+
+def test_jaccard_one_of_each_without_ids(spark):
+    words = " ".join(f"w{i}" for i in range(30))
+    rows = [(None, words), (None, words), (3, words + " more"), (None, "other words stand here alone"), (None, "other words stand here alone"), (None, None), (None, "")]
+    got = jaccard.one_of_each(spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, root string")).collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in got) == [(0, ""), (0, ""), (0, "other words stand here alone"), (3, words + " more")]
+
+
+def test_op5_by_force(spark, docs):
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    want = components_by_force(rows, 3, 90)
+    for r in queries.op5_ngram_jaccard(spark, SF).collect():
+        w = WORD.findall(lower(dict(rows)[r.doc_id]))
+        assert r.component_id == want[r.doc_id] and r.n_shingles == (len({tuple(w[i : i + 3]) for i in range(len(w) - 2)}) if len(w) > 2 else min(len(w), 1))
+
+
 def test_jaccard_odd(spark, odd):
     got = [(r.doc_id, r.n_shingles, r.component_id) for r in jaccard.JaccardJoin(odd, 3, 90).components().collect()]
     by = dict((x[0], x[1:]) for x in got)
     assert len(got) == 11 and by[1] == (0, 1) and by[2] == (0, 2) and by[4] == by[5] == (1, 4) and by[7][1] == 6 and by[None][1] is None
     assert jaccard.JaccardJoin(odd.limit(0)).components().count() == 0
-    assert sorted(r.doc_id or 0 for r in jaccard.one_of_each(odd).collect()) == [0, 1, 2, 3, 4, 4, 6, 8, 9]
+    assert sorted(r.doc_id or 0 for r in jaccard.one_of_each(odd).collect()) == [0, 1, 2, 3, 4, 4, 6, 8, 9]  # rows that repeat a doc_id are one document
 
 
 def test_jaccard_bridge_without_id(spark):
@@ -110,6 +148,18 @@ def test_language(spark, odd):
     assert {by[i].lang_pred for i in (1, 2, 3, 8)} == {"und"} and by[4].lang_pred in model.languages
     empty = langid.train(odd.limit(0))
     assert langid.identify(odd.limit(0), empty).count() == 0 and langid.identify(odd, empty).where("lang_pred <> 'und'").count() == 0
+    # counts don't depend on the blocks; a mix of languages and a tie are ambiguous
+    body = next(r.text for r in d.select("text").collect() if len(r.text) > 3000)
+    assert all((langid.grams(body, n) == langid.grams(body)).all() for n in (1, 2, 7, 64, 1000))
+    of = {x: " ".join(r.text for r in d.where(F.col("lang") == x).orderBy("doc_id").limit(20).collect())[:4000] for x in model.languages}
+    plain = {x: model.decode(langid.grams(t)) for x, t in of.items()}
+    assert all(plain[x][0] == x and not plain[x][2] for x in of) and 1 < model.margin <= langid.MARGIN
+    mixed = [model.decode(langid.grams(of[a][:k] + " " + of[b][: 2000 - k])) for a in of for b in of if a < b for k in range(0, 2001, 25)]
+    assert any(x[2] for x in mixed)
+    tie = langid.Model(["a", "b"], langid.codewords(2), np.zeros((langid.BUCKETS, 1)), np.zeros(1), np.ones(1), np.ones(1))
+    assert tie.decode(langid.grams("some text")) == ("a", 0.5, True)
+    many = langid.train(spark.createDataFrame([(i, f"word{i % 600}x y{i}", f"l{i % 600}") for i in range(6000)], "doc_id long, text string, lang string"))
+    assert len(many.languages) == 600  # no language is left out
     code = langid.codewords(20)
     assert min(int((code[a] != code[b]).sum()) for a in range(20) for b in range(a)) >= 8
 
@@ -438,7 +488,10 @@ def test_pipeline(spark, docs):
         out = stage(spark, d, SF)
         rows, before = out.collect(), d.collect()
         if name == "language_id":
-            assert {r.doc_id for r in rows} == {r.doc_id for r in before if any(c.isalpha() for c in r.text or "")}
+            model = langid.train(d.where(~langid.held_out()).select("doc_id", "text", "lang"))
+            found = {r.doc_id: model.decode(langid.grams(r.text)) for r in before}
+            assert {r.doc_id for r in rows} == {i for i, (lang, _, ambiguous) in found.items() if lang != "und" and not ambiguous}
+            assert len(rows) > 0.98 * len(before) and all(r.lang for r in rows)
         if name == "near_copies":
             assert sorted(r.doc_id for r in rows) == sorted(i for i, c in components_by_force([(r.doc_id, r.text) for r in before], 5, 80).items() if i == c)
         if name == "benchmark_copies":
