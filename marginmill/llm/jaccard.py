@@ -2,13 +2,15 @@
 
 Shingles are ordered by a frequency sketch over all texts (rare first, ties by hash). Two sets with
 similarity t share a shingle among the first ``n - ceil(t n) + 1`` of each, so only these prefix
-shingles are shuffled, once, and sorted; a sorted pass keeps those that two different sets have in
-common. Pairs that survive the length, positional and suffix filters are verified once on their
-whole sets.
-
-Components need fewer pairs than all links. Of the sets that share a prefix shingle the few with the
-least hashes are pivots (so the shingles of one group of near copies have the same ones), and first
-every set is verified against its pivots. Sets that are then in the same component need no further
+shingles are shuffled, once, and sorted by size of set: the length filter is a cut of the sorted list into runs, within
+which each set has a neighbour of a size that can link, and runs of one set are dropped. Pairs that
+survive the length, positional and suffix filters (parities of bins of the whole sets, and for large
+sets the numbers in bins) are verified once on their whole sets: each set is
+sent to where the pair's busier set is.
+
+Components need fewer pairs than all links. Of the sets of a run the few with the least hashes
+are pivots (so the shingles of one group of near copies have the same ones), and first every set is
+verified against its pivots. Sets that are then in the same component need no further
 pair; every other pair that shares a prefix shingle is verified in a second round. So a group of
 thousands of near copies costs pairs in proportion to its size, and no link that could change a
 component is left untested. ``links`` skips the shortcut and lists every link between different sets.
@@ -32,10 +34,13 @@ from . import shared, text
 COUNTERS = 1 << 19  # of the frequency sketch; fixed, whatever the corpus size
 PIECE = 1 << 14
 PIVOTS = 8  # sets per shingle that all others of the shingle are first verified against
-HOT_TOKEN = 500  # sets of a shingle from which it is paired block by block
+HOT_TOKEN = 500  # sets of a run from which it is paired block by block; pairs of a set from which they are dealt out
+RUN = 100_000  # sets of a run of which the pivots are drawn; a longer run has those of its first part
 SEEN = 200_000  # sets that a task remembers so as to emit the prefix of copies once
 WORDS = 8  # of 64 bits, for the suffix filter
 PARITY = [f"p{i}" for i in range(WORDS)]
+#: From so many shingles a set also has the numbers of its shingles in so many bins: parities of random sets differ in half of the bits only.
+LARGE, BINS = 1000, 512
 
 
 def _signature(s: np.ndarray) -> tuple[int, int]:
@@ -55,7 +60,7 @@ def _sets(col: pa.Array, k: int) -> Iterator[tuple[int, np.ndarray]]:
             yield lo + i, np.unique(s[so[i] : so[i + 1]])
 
 
-SET_SCHEMA = "doc_id long, s1 long, s2 long, n int, " + "".join(f"{p} long, " for p in PARITY) + "piece int, counts binary"
+SET_SCHEMA = "doc_id long, s1 long, s2 long, n int, " + "".join(f"{p} long, " for p in PARITY) + "bins binary, piece int, counts binary"
 
 
 def _scan(k: int):
@@ -71,20 +76,21 @@ def _scan(k: int):
     def run(batches):
         total, wait, waiting = np.zeros(COUNTERS, np.int64), [], 0
         for batch in batches:
-            s1, s2, n, parity = [], [], [], np.zeros((batch.num_rows, 64 * WORDS), np.uint8)
+            s1, s2, n, bins, parity = [], [], [], [], np.zeros((batch.num_rows, 64 * WORDS), np.uint8)
             for i, s in _sets(batch.column(1), k):
                 one, two = _signature(s) if len(s) else (None, None)
                 s1.append(one)
                 s2.append(two)
                 n.append(len(s))
                 parity[i] = np.bincount((s & text.U(64 * WORDS - 1)).astype(np.int64), minlength=64 * WORDS) & 1
+                bins.append(np.minimum(np.bincount((s >> text.U(16) & text.U(BINS - 1)).astype(np.int64), minlength=BINS), 255).astype(np.uint8).tobytes() if len(s) >= LARGE else None)
                 wait.append((s >> text.U(64 - 19)).astype(np.int64))
                 waiting += len(s)
                 if waiting > 1 << 21:
                     total += np.bincount(np.concatenate(wait), minlength=COUNTERS)
                     wait, waiting = [], 0
             bits = np.packbits(parity, axis=1).view(np.int64).T
-            yield record(doc_id=batch.column(0).cast(pa.int64()), s1=pa.array(s1, pa.int64()), s2=pa.array(s2, pa.int64()), n=pa.array(n, pa.int32()), **{p: pa.array(x) for p, x in zip(PARITY, bits, strict=True)})
+            yield record(doc_id=batch.column(0).cast(pa.int64()), s1=pa.array(s1, pa.int64()), s2=pa.array(s2, pa.int64()), n=pa.array(n, pa.int32()), bins=pa.array(bins, pa.binary()), **{p: pa.array(x) for p, x in zip(PARITY, bits, strict=True)})
         if wait:
             total += np.bincount(np.concatenate(wait), minlength=COUNTERS)
         if total.any():
@@ -143,36 +149,66 @@ def _prefixes(k: int, num: int, den: int, sketch):
     return run
 
 
-def _shared_tokens(batches):
-    """Of postings sorted by token, equal sets together: those of tokens that two sets have, numbered from 0."""
-    last, count, head = None, 0, None  # (token, s1) of the row before; sets of its token; its first row while alone
-    for batch in batches:
-        cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
-        token, s1 = cols[:2]
-        if not len(token):
-            continue
-        again = np.concatenate([[last == (token[0], s1[0])], (token[1:] == token[:-1]) & (s1[1:] == s1[:-1])])
-        cols = [x[~again] for x in cols]  # the same set comes from several tasks
-        if not len(cols[0]):
-            continue
-        before = last[0] if last else None
-        if head is not None:
-            cols, count, before = [np.concatenate([[h], x]) for h, x in zip(head, cols, strict=True)], 0, None
-        token = cols[0]
-        new = np.concatenate([[before is None or token[0] != before], token[1:] != token[:-1]])
-        at = np.arange(len(token))
-        start = np.maximum.accumulate(np.where(new, at, -1))
-        r = np.where(start >= 0, at - start, at + count)
-        keep = (r > 0) | np.concatenate([~new[1:], [False]])
-        if keep.any():
-            yield _posting([x[keep] for x in (*cols, r)])
-        head = [x[-1] for x in cols] if r[-1] == 0 else None
-        last, count = (token[-1], cols[1][-1]), int(r[-1]) + 1
-
-
-def _posting(cols):
-    kinds = (np.int64, np.int64, np.int32, np.int32, np.int64)
-    return pa.record_batch([pa.array(np.asarray(c).astype(t)) for c, t in zip(cols, kinds, strict=True)], names=["token", "s1", "n", "pos", "r"])
+def _runs(num: int, den: int):
+    """Of postings sorted by token, size and set: those of runs of two different sets or more, ranked by hash from 0.
+
+    A run ends where the next size can't link with the last one; its number is its first size.
+    """
+
+    def finish(cols, start: int):
+        """Runs of whole cols; start: sets of the first run that have been given out before."""
+        token, s1, n = cols[:3]
+        again = np.concatenate([[False], (token[1:] == token[:-1]) & (s1[1:] == s1[:-1])])  # the same set comes from several tasks
+        token, s1, n, pos = (x[~again] for x in cols)
+        new = np.concatenate([[True], (token[1:] != token[:-1]) | (num * n[1:].astype(np.int64) > den * n[:-1].astype(np.int64))])
+        first = np.flatnonzero(new)
+        size = np.diff(np.append(first, len(token)))
+        of = np.repeat(np.arange(len(first)), size)
+        order = np.lexsort((s1, of))
+        rank = np.empty(len(token), np.int64)
+        rank[order] = np.arange(len(token)) - np.repeat(first, size)
+        keep = np.repeat(size, size) > 1
+        if start:
+            keep[: size[0]], rank[: size[0]] = True, rank[: size[0]] + start
+        kinds = (np.int64, np.int32, np.int64, np.int32, np.int32, np.int64)
+        out = (token, np.repeat(n[first], size), s1, n, pos, rank)
+        return pa.record_batch([pa.array(x[keep].astype(t)) for x, t in zip(out, kinds, strict=True)], names=["token", "run", "s1", "n", "pos", "r"])
+
+    def run(batches):
+        wait, start, number = None, 0, None  # postings of the last run; what of it is out, and its first size
+        for batch in batches:
+            cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
+            if not len(cols[0]):
+                continue
+            cols = cols if wait is None else [np.concatenate(x) for x in zip(wait, cols, strict=True)]
+            token, n = cols[0], cols[2].astype(np.int64)
+            breaks = np.flatnonzero((token[1:] != token[:-1]) | (num * n[1:] > den * n[:-1])) + 1
+            cut = int(breaks[-1]) if len(breaks) else 0
+            if cut:
+                yield numbered(finish([x[:cut] for x in cols], start), number, start)
+                start, number = 0, None
+            wait = [x[cut:] for x in cols]
+            if len(wait[0]) >= RUN:
+                number = int(wait[2][0]) if number is None else number
+                out = finish(wait, start or 0) if start else whole(wait)
+                yield numbered(out, number, 1)
+                start, wait = start + out.num_rows, [x[-1:] for x in wait]
+        if wait is not None:
+            yield numbered(finish(wait, start), number, start)
+
+    def whole(cols):
+        out = finish(cols, 1)
+        return out.set_column(5, "r", pa.array(out.column(5).to_numpy() - 1))
+
+    def numbered(out, number, start):
+        """The first run of out has gone on from before: it keeps its number."""
+        if number is None or not start or not out.num_rows:
+            return out
+        run_ = out.column(1).to_numpy().copy()
+        run_[(out.column(0).to_numpy() == out.column(0)[0].as_py()) & (run_ == run_[0])] = number
+        return out.set_column(1, "run", pa.array(run_))
+
+    return run
 
 
 def _bound(na: str, ia: str, nb: str, ib: str, num: int, den: int) -> str:
@@ -189,27 +225,68 @@ def _suffix(x: str, y: str, num: int, den: int) -> str:
     return f"(n_{x} + n_{y} - ({differ})) * {num + den}L >= {2 * num}L * (n_{x} + n_{y})"
 
 
-def _whole_sets(k: int):
+SENT = "hub long, salt int, role int, s1 long, grams binary"
+
+
+def _send(k: int):
+    """Of rows (text, wants) the set of the text to every place that wants it."""
+    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary())
+
     def run(batches):
         for batch in batches:
-            got = [(_signature(s)[0], s.tobytes()) for _, s in _sets(batch.column(0), k) if len(s)]
-            if got:
-                yield pa.record_batch([pa.array([x for x, _ in got], pa.int64()), pa.array([x for _, x in got], pa.binary())], names=["s1", "grams"])
+            out, size = [], 0
+            for i, s in _sets(batch.column(0), k):
+                if not len(s):
+                    continue
+                s1, grams = _signature(s)[0], None
+                for w in batch.column(1)[i].as_py():
+                    if w["s1"] == s1:  # rows that repeat a doc_id may hold another text
+                        grams = grams or s.tobytes()
+                        out.append((w["hub"], w["salt"], w["role"], s1, grams))
+                        size += len(grams)
+                if size > 8 << 20:
+                    yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], names=[x.split()[0] for x in SENT.split(", ")])
+                    out, size = [], 0
+            if out:
+                yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], names=[x.split()[0] for x in SENT.split(", ")])
+
+    return run
+
+
+def _bins_fit(num: int, den: int):
+    """Of pairs (a, b, sizes, bins): those whose bins don't differ by more shingles than linked sets may."""
+
+    def run(batches):
+        for batch in batches:
+            na, nb = (batch.column(i).to_numpy().astype(np.int64) for i in (2, 3))
+            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, BINS).astype(np.int16) for i in (4, 5))
+            ok = (na + nb - np.abs(x - y).sum(1)) * (num + den) >= 2 * num * (na + nb)
+            yield batch.select([0, 1]).filter(pa.array(ok))
 
     return run
 
 
 def _verify(num: int, den: int):
+    """Of sets sorted by hub, the hub's own first: the links (a, b) of the hub with the others."""
+
     def run(batches):
+        hub, own = None, None
         for batch in batches:
-            ok = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = (np.frombuffer(v.as_buffer(), text.U) for v in (x, y))
-                small, large = (x, y) if len(x) <= len(y) else (y, x)
-                at = np.searchsorted(large, small)
-                both = int((large[np.minimum(at, len(large) - 1)] == small).sum())
-                ok.append(den * both >= num * (len(x) + len(y) - both))
-            yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
+            out = []
+            for h, role, s1, grams in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4), strict=True):
+                x = np.frombuffer(grams.as_buffer(), text.U)
+                if role == 0:
+                    hub, own = h, x.copy()
+                elif h == hub:
+                    small, large = (x, own) if len(x) <= len(own) else (own, x)
+                    at = np.searchsorted(large, small)
+                    both = int((large[np.minimum(at, len(large) - 1)] == small).sum())
+                    if den * both >= num * (len(x) + len(own) - both):
+                        out.append((min(h, s1), max(h, s1)))
+                else:
+                    raise ValueError("a set without the hub it was sent to")
+            if out:
+                yield pa.record_batch([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=["a", "b"])
 
     return run
 
@@ -232,6 +309,7 @@ class JaccardJoin:
         self.folder = shared.work_folder(self.spark)
         scan = shared.written(self.docs.mapInArrow(_scan(k), SET_SCHEMA), self.folder, "sets")
         self.rows = scan.where("n is not null").select("doc_id", "s1", "s2", "n", *PARITY)
+        self.bins = scan.where("bins is not null").select("s1", "bins")
         classes = self.rows.where("n > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("least"), F.min("n").alias("n"), F.count("*").alias("copies"), *(F.min(p).alias(p) for p in PARITY))
         self.classes = shared.written(classes, self.folder, "classes")
         pieces = scan.where("piece is not null").select("piece", "counts")
@@ -241,58 +319,76 @@ class JaccardJoin:
             counts[row.piece * PIECE : (row.piece + 1) * PIECE] = np.frombuffer(zlib.decompress(row.counts), np.int64)
         sketch = self.spark.sparkContext.broadcast(counts)
         postings = self.docs.select("text").mapInArrow(_prefixes(k, num, den, sketch), "token long, s1 long, n int, pos int")
-        sort = postings.repartition("token").sortWithinPartitions("token", "s1")
-        self.common = shared.written(
-            sort.mapInArrow(_shared_tokens, "token long, s1 long, n int, pos int, r long"), self.folder, "common"
-        )
+        sort = postings.repartition("token").sortWithinPartitions("token", "n", "s1")
+        self.common = shared.written(sort.mapInArrow(_runs(num, den), "token long, run int, s1 long, n int, pos int, r long"), self.folder, "common")
 
     def _checked(self, pairs: DataFrame, name: str) -> DataFrame:
         """Of distinct pairs (a, b) of sets those that link."""
         sets = self.classes.select("s1", "n", *PARITY)
         a, b = (sets.select(F.col("s1").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in sets.columns[1:])) for side in "ab")
-        fit = pairs.join(a, "a").join(b, "b").where(_suffix("a", "b", self.num, self.den)).select("a", "b")
-        fit = shared.written(fit, self.folder, f"{name}-fit")
-        need = fit.select(F.col("a").alias("s1")).unionByName(fit.select(F.col("b").alias("s1"))).distinct()
-        ids = self.classes.join(need, "s1", "left_semi").select(F.col("least").alias("doc_id"))
-        ids = shared.written(ids.where("doc_id is not null").distinct(), self.folder, f"{name}-ids")
-        grams = shared.semi_by_size(self.docs, ids, "doc_id").select("text").mapInArrow(_whole_sets(self.k), "s1 long, grams binary")
+        fit = pairs.join(a, "a").join(b, "b").where(_suffix("a", "b", self.num, self.den)).select("a", "b", "n_a", "n_b")
+        fit = shared.written(fit, self.folder, f"{name}-sized")
+        large = f"n_a >= {LARGE} and n_b >= {LARGE}"
+        bins = self.bins.dropDuplicates(["s1"])
+        bins = [bins.select(F.col("s1").alias(side), F.col("bins").alias(f"bins_{side}")) for side in "ab"]
+        near = fit.where(large).join(bins[0], "a").join(bins[1], "b").select("a", "b", "n_a", "n_b", "bins_a", "bins_b")
+        near = near.mapInArrow(_bins_fit(self.num, self.den), "a long, b long")
+        fit = shared.written(fit.where(f"not ({large})").select("a", "b").unionByName(near), self.folder, f"{name}-fit")
+        # the busier set of a pair is its hub; hubs with many pairs are at several places
+        ends = fit.select(F.col("a").alias("v")).unionByName(fit.select(F.col("b").alias("v")))
+        busy, total = ends.groupBy("v").agg(F.count("*").alias("m")), 2 * fit.count()
+        edges = fit
+        for side in "ab":
+            edges = shared.join_counted(edges, busy.select(F.col("v").alias(side), F.col("m").alias(f"m_{side}")), [side], f"m_{side}", total)
+        first = (F.col("m_a") > F.col("m_b")) | ((F.col("m_a") == F.col("m_b")) & (F.col("a") < F.col("b")))
+        edges = edges.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("hub"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("mate"))
+        edges = shared.written(edges, self.folder, f"{name}-edges")
+        hubs = edges.groupBy("hub").agg(F.count("*").alias("m")).withColumn("salts", F.ceil(F.col("m") / HOT_TOKEN).cast("int"))
+        salted = shared.join_counted(edges, hubs, ["hub"], "m", total)
+        wants = salted.select(F.col("mate").alias("s1"), "hub", F.expr("cast(pmod(mate, salts) as int)").alias("salt"), F.lit(1).alias("role"))
+        wants = wants.unionByName(hubs.select(F.col("hub").alias("s1"), "hub", F.explode(F.expr("sequence(0, salts - 1)")).alias("salt"), F.lit(0).alias("role")))
+        wants = wants.join(self.classes.select("s1", "least"), "s1")
+        wants = wants.groupBy("s1", "least").agg(F.collect_list(F.struct("hub", "salt", "role", "s1")).alias("wants"))  # a set's own pairs
+        wants = shared.written(wants, self.folder, f"{name}-wants")
+        by_id = wants.where("least is not null").select(F.col("least").alias("doc_id"), "wants")
+        by_id = by_id.groupBy("doc_id").agg(F.flatten(F.collect_list("wants")).alias("wants"))
+        few = total <= shared.BROADCAST_ROWS  # every pair gives two wants
+        sent = self.docs.join(F.broadcast(by_id) if few else by_id, "doc_id").select("text", "wants").mapInArrow(_send(self.k), SENT)
         # sets of which no document has an id
-        unnamed = self.docs.where("doc_id is null").select("text").distinct().mapInArrow(_whole_sets(self.k), "s1 long, grams binary")
-        unnamed = unnamed.join(self.classes.where("least is null").select("s1"), "s1", "left_semi")
-        grams = grams.unionByName(unnamed).dropDuplicates(["s1"])  # rows that repeat a doc_id give a set each
-        grams = shared.written(grams, self.folder, f"{name}-grams")
-        pair = fit.join(grams.select(F.col("s1").alias("a"), F.col("grams").alias("ga")), "a")
-        pair = pair.join(grams.select(F.col("s1").alias("b"), F.col("grams").alias("gb")), "b")
-        good = pair.select("a", "b", "ga", "gb").mapInArrow(_verify(self.num, self.den), "a long, b long")
+        unnamed = self.docs.where("doc_id is null").select("text").distinct().mapInArrow(_signatures(self.k), "text string, s1 long, s2 long")
+        unnamed = unnamed.dropDuplicates(["s1"]).join(wants.where("least is null"), "s1").select("text", "wants")
+        sent = sent.unionByName(unnamed.mapInArrow(_send(self.k), SENT))
+        good = sent.repartition("hub", "salt").sortWithinPartitions("hub", "salt", "role").mapInArrow(_verify(self.num, self.den), "a long, b long")
         good = shared.written(good.distinct(), self.folder, f"{name}-links")
-        shared.drop(self.spark, *(f"{self.folder}/{name}-{x}" for x in ("fit", "ids", "grams")))
+        shared.drop(self.spark, *(f"{self.folder}/{name}-{x}" for x in ("sized", "fit", "edges", "wants")))
         return good
 
     def _pairs(self, some: DataFrame, others: DataFrame, which: str, blocks: str = "") -> DataFrame:
-        """Distinct pairs of sets with the same token that the length, positional and (if they have it) suffix filters let pass.
+        """Distinct pairs of sets of the same run that the length, positional and (if they have it) suffix filters let pass.
 
-        blocks, a name for a table: many of others may have the same token.
+        blocks, a name for a table: many of others may be of the same run.
         """
-        x, y = (df.select("token", *(F.col(c).alias(f"{c}_{side}") for c in df.columns if c != "token")) for df, side in ((some, "x"), (others, "y")))
+        key = ["token", "run"]
+        x, y = (df.select(*key, *(F.col(c).alias(f"{c}_{side}") for c in df.columns if c not in key)) for df, side in ((some, "x"), (others, "y")))
         ok = F.expr(f"{which} AND " + _bound("n_x", "pos_x", "n_y", "pos_y", self.num, self.den))
         if PARITY[0] in some.columns:
             ok = ok & F.expr(_suffix("x", "y", self.num, self.den))
         pair = (F.least("s1_x", "s1_y").alias("a"), F.greatest("s1_x", "s1_y").alias("b"))
         if not blocks:
-            return x.join(y, "token").where(ok).select(*pair).distinct()
-        # sets that link lie in the same band of size or in neighbours; of a hot token one side goes to all three, salted by the other
+            return x.join(y, key).where(ok).select(*pair).distinct()
+        # sets that link lie in the same band of size or in neighbours; of a hot run one side goes to all three, salted by the other
         size = F.floor(F.log(F.col("n_y").cast("double")) / F.log(F.lit(self.den / self.num)))
-        counts = y.groupBy("token", size.alias("band")).agg(F.count("*").alias("m"))
+        counts = y.groupBy(*key, size.alias("band")).agg(F.count("*").alias("m"))
         counts = shared.written(counts, self.folder, f"{blocks}-counts")
-        hot = counts.groupBy("token").agg(F.sum("m").alias("m")).where(F.col("m") > HOT_TOKEN).select("token")
+        hot = counts.groupBy(*key).agg(F.sum("m").alias("m")).where(F.col("m") > HOT_TOKEN).select(*key)
         hint = F.broadcast if shared.is_small(hot) else (lambda z: z)
-        cold = x.join(hint(hot), "token", "left_anti").join(y, "token").where(ok).select(*pair)
-        salts = counts.join(hint(hot), "token").select("token", "band", F.ceil(F.col("m") / HOT_TOKEN).cast("int").alias("salts"))
+        cold = x.join(hint(hot), key, "left_anti").join(y, key).where(ok).select(*pair)
+        salts = counts.join(hint(hot), key).select(*key, "band", F.ceil(F.col("m") / HOT_TOKEN).cast("int").alias("salts"))
         band_x = F.floor(F.log(F.col("n_x").cast("double")) / F.log(F.lit(self.den / self.num)))
         to = F.explode(F.array(band_x - 1, band_x, band_x + 1)).alias("band")
-        hot_x = x.join(hint(hot), "token").select("*", to).join(hint(salts), ["token", "band"]).withColumn("salt", F.explode(F.expr("sequence(0, salts - 1)"))).drop("salts")
-        hot_y = y.join(hint(hot), "token").withColumn("band", size).join(hint(salts), ["token", "band"]).withColumn("salt", F.expr("cast(pmod(s1_y, salts) as int)")).drop("salts")
-        return cold.unionByName(hot_x.join(hot_y, ["token", "band", "salt"]).where(ok).select(*pair)).distinct()
+        hot_x = x.join(hint(hot), key).select("*", to).join(hint(salts), [*key, "band"]).withColumn("salt", F.explode(F.expr("sequence(0, salts - 1)"))).drop("salts")
+        hot_y = y.join(hint(hot), key).withColumn("band", size).join(hint(salts), [*key, "band"]).withColumn("salt", F.expr("cast(pmod(s1_y, salts) as int)")).drop("salts")
+        return cold.unionByName(hot_x.join(hot_y, [*key, "band", "salt"]).where(ok).select(*pair)).distinct()
 
     def links(self) -> DataFrame:
         """All links (a, b) between different sets, as the least doc_ids of each (a < b)."""
@@ -307,10 +403,10 @@ class JaccardJoin:
         star = shared.written(self._pairs(self.common, pivots, "r_x > r_y AND s1_x <> s1_y"), self.folder, "star")
         near = self._checked(star, "star")
         root = shared.written(shared.components(near, self.folder, "first"), self.folder, "first")
-        members = self.common.select("token", "s1", "n", "pos").join(root.select(F.col("node").alias("s1"), "root"), "s1", "left")
+        members = self.common.select("token", "run", "s1", "n", "pos").join(root.select(F.col("node").alias("s1"), "root"), "s1", "left")
         members = members.withColumn("root", F.coalesce("root", "s1"))
-        open_ = members.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("token")
-        members = members.join(open_, "token", "left_semi").join(self.classes.select("s1", *PARITY), "s1")
+        open_ = members.groupBy("token", "run").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("token", "run")
+        members = members.join(open_, ["token", "run"], "left_semi").join(self.classes.select("s1", *PARITY), "s1")
         members = shared.written(members, self.folder, "open")
         rest = self._pairs(members, members, "s1_x < s1_y AND root_x <> root_y", "open").join(star, ["a", "b"], "left_anti")
         # what is connected so far goes on as one edge a set

@@ -61,6 +61,9 @@ def components_by_force(rows, k, num):
 @pytest.mark.parametrize("k,num", [(3, 90), (5, 80)])
 def test_jaccard_by_force(spark, docs, k, num):
     extra = [(10_000 + i, " ".join(f"v{j}" if j != i else "other" for j in range(60)), "en") for i in range(40)]  # near copies of one text
+    for i in range(12):  # large sets: near copies, and strangers that share a third
+        base = [f"{'s' if j < 700 else 'u' + str(i // 3)}{j}" for j in range(2000)]
+        extra.append((11_000 + i, " ".join("edit" if j % 90 == i % 3 else w for j, w in enumerate(base)), "en"))
     rows = [(r.doc_id, r.text) for r in docs.collect()] + [x[:2] for x in extra]
     all_docs = docs.select("doc_id", "text", "lang").unionByName(spark.createDataFrame(extra, "doc_id long, text string, lang string"))
     got = jaccard.JaccardJoin(all_docs, k, num).components().collect()
