@@ -86,7 +86,7 @@ def _scan(k: int):
                 bins.append(np.minimum(np.bincount((s >> text.U(16) & text.U(BINS - 1)).astype(np.int64), minlength=BINS), 255).astype(np.uint8).tobytes() if len(s) >= LARGE else None)
                 wait.append((s >> text.U(64 - 19)).astype(np.int64))
                 waiting += len(s)
-                if waiting > 1 << 21:
+                if waiting > 1 << 18:
                     total += np.bincount(np.concatenate(wait), minlength=COUNTERS)
                     wait, waiting = [], 0
             bits = np.packbits(parity, axis=1).view(np.int64).T
@@ -311,7 +311,8 @@ class JaccardJoin:
         self.rows = scan.where("n is not null").select("doc_id", "s1", "s2", "n", *PARITY)
         self.bins = scan.where("bins is not null").select("s1", "bins")
         classes = self.rows.where("n > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("least"), F.min("n").alias("n"), F.count("*").alias("copies"), *(F.min(p).alias(p) for p in PARITY))
-        self.classes = shared.written(classes, self.folder, "classes")
+        self.n_rows = self.rows.count()
+        self.classes = shared.written(classes, self.folder, "classes", self.n_rows)
         pieces = scan.where("piece is not null").select("piece", "counts")
         sums = pieces.repartition(COUNTERS // PIECE, "piece").mapInArrow(_add_pieces, "piece int, counts binary")
         counts = np.zeros(COUNTERS, np.int64)
@@ -328,12 +329,13 @@ class JaccardJoin:
         a, b = (sets.select(F.col("s1").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in sets.columns[1:])) for side in "ab")
         fit = pairs.join(a, "a").join(b, "b").where(_suffix("a", "b", self.num, self.den)).select("a", "b", "n_a", "n_b")
         fit = shared.written(fit, self.folder, f"{name}-sized")
+        n = fit.count()
         large = f"n_a >= {LARGE} and n_b >= {LARGE}"
         bins = self.bins.dropDuplicates(["s1"])
         bins = [bins.select(F.col("s1").alias(side), F.col("bins").alias(f"bins_{side}")) for side in "ab"]
         near = fit.where(large).join(bins[0], "a").join(bins[1], "b").select("a", "b", "n_a", "n_b", "bins_a", "bins_b")
         near = near.mapInArrow(_bins_fit(self.num, self.den), "a long, b long")
-        fit = shared.written(fit.where(f"not ({large})").select("a", "b").unionByName(near), self.folder, f"{name}-fit")
+        fit = shared.written(fit.where(f"not ({large})").select("a", "b").unionByName(near), self.folder, f"{name}-fit", n)
         # the busier set of a pair is its hub; hubs with many pairs are at several places
         ends = fit.select(F.col("a").alias("v")).unionByName(fit.select(F.col("b").alias("v")))
         busy, total = ends.groupBy("v").agg(F.count("*").alias("m")), 2 * fit.count()
@@ -342,14 +344,14 @@ class JaccardJoin:
             edges = shared.join_counted(edges, busy.select(F.col("v").alias(side), F.col("m").alias(f"m_{side}")), [side], f"m_{side}", total)
         first = (F.col("m_a") > F.col("m_b")) | ((F.col("m_a") == F.col("m_b")) & (F.col("a") < F.col("b")))
         edges = edges.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("hub"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("mate"))
-        edges = shared.written(edges, self.folder, f"{name}-edges")
+        edges = shared.written(edges, self.folder, f"{name}-edges", n)
         hubs = edges.groupBy("hub").agg(F.count("*").alias("m")).withColumn("salts", F.ceil(F.col("m") / HOT_TOKEN).cast("int"))
         salted = shared.join_counted(edges, hubs, ["hub"], "m", total)
         wants = salted.select(F.col("mate").alias("s1"), "hub", F.expr("cast(pmod(mate, salts) as int)").alias("salt"), F.lit(1).alias("role"))
         wants = wants.unionByName(hubs.select(F.col("hub").alias("s1"), "hub", F.explode(F.expr("sequence(0, salts - 1)")).alias("salt"), F.lit(0).alias("role")))
         wants = wants.join(self.classes.select("s1", "least"), "s1")
         wants = wants.groupBy("s1", "least").agg(F.collect_list(F.struct("hub", "salt", "role", "s1")).alias("wants"))  # a set's own pairs
-        wants = shared.written(wants, self.folder, f"{name}-wants")
+        wants = shared.written(wants, self.folder, f"{name}-wants", 2 * n)
         by_id = wants.where("least is not null").select(F.col("least").alias("doc_id"), "wants")
         by_id = by_id.groupBy("doc_id").agg(F.flatten(F.collect_list("wants")).alias("wants"))
         few = total <= shared.BROADCAST_ROWS  # every pair gives two wants
@@ -359,7 +361,7 @@ class JaccardJoin:
         unnamed = unnamed.dropDuplicates(["s1"]).join(wants.where("least is null"), "s1").select("text", "wants")
         sent = sent.unionByName(unnamed.mapInArrow(_send(self.k), SENT))
         good = sent.repartition("hub", "salt").sortWithinPartitions("hub", "salt", "role").mapInArrow(_verify(self.num, self.den), "a long, b long")
-        good = shared.written(good.distinct(), self.folder, f"{name}-links")
+        good = shared.written(good.distinct(), self.folder, f"{name}-links", n)
         shared.drop(self.spark, *(f"{self.folder}/{name}-{x}" for x in ("sized", "fit", "edges", "wants")))
         return good
 
@@ -379,7 +381,7 @@ class JaccardJoin:
         # sets that link lie in the same band of size or in neighbours; of a hot run one side goes to all three, salted by the other
         size = F.floor(F.log(F.col("n_y").cast("double")) / F.log(F.lit(self.den / self.num)))
         counts = y.groupBy(*key, size.alias("band")).agg(F.count("*").alias("m"))
-        counts = shared.written(counts, self.folder, f"{blocks}-counts")
+        counts = shared.written(counts, self.folder, f"{blocks}-counts", self.common.count())
         hot = counts.groupBy(*key).agg(F.sum("m").alias("m")).where(F.col("m") > HOT_TOKEN).select(*key)
         hint = F.broadcast if shared.is_small(hot) else (lambda z: z)
         cold = x.join(hint(hot), key, "left_anti").join(y, key).where(ok).select(*pair)
@@ -402,12 +404,12 @@ class JaccardJoin:
         pivots = self.common.where(F.col("r") < PIVOTS)
         star = shared.written(self._pairs(self.common, pivots, "r_x > r_y AND s1_x <> s1_y"), self.folder, "star")
         near = self._checked(star, "star")
-        root = shared.written(shared.components(near, self.folder, "first"), self.folder, "first")
+        root = shared.written(shared.components(near, self.folder, "first", near.count()), self.folder, "first", self.n_rows)
         members = self.common.select("token", "run", "s1", "n", "pos").join(root.select(F.col("node").alias("s1"), "root"), "s1", "left")
         members = members.withColumn("root", F.coalesce("root", "s1"))
         open_ = members.groupBy("token", "run").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("token", "run")
         members = members.join(open_, ["token", "run"], "left_semi").join(self.classes.select("s1", *PARITY), "s1")
-        members = shared.written(members, self.folder, "open")
+        members = shared.written(members, self.folder, "open", self.common.count())
         rest = self._pairs(members, members, "s1_x < s1_y AND root_x <> root_y", "open").join(star, ["a", "b"], "left_anti")
         # what is connected so far goes on as one edge a set
         near = root.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
@@ -416,13 +418,13 @@ class JaccardJoin:
         # a doc_id that several rows have is one node: its classes belong together
         twice = self.rows.where("n > 0").groupBy("doc_id").agg(F.min("s1").alias("a"), F.max("s1").alias("b")).where("doc_id is not null and a <> b")
         same = self.rows.where("n > 0").select("doc_id", "s1").join(twice.select("doc_id", "a"), "doc_id").select("a", F.col("s1").alias("b"))
-        root = shared.written(shared.components(near.unionByName(same), self.folder, "last"), self.folder, "last")
+        root = shared.written(shared.components(near.unionByName(same), self.folder, "last"), self.folder, "last", self.n_rows)
         known = self.classes.select("s1", "s2", "least", "copies").join(root.select(F.col("node").alias("s1"), "root"), "s1", "left")
         known = known.select("s1", "s2", "least", "copies", F.coalesce("root", "s1").alias("root"))
         total = self.classes.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]
         least = known.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("members"))
         known = shared.join_counted(known, least, ["root"], "members", total).select("s1", "s2", "copies", "root", "component_id")
-        self.known = known = shared.written(known, self.folder, "known")
+        self.known = known = shared.written(known, self.folder, "known", self.n_rows)
         full = shared.join_counted(self.rows.where("n > 0").select("doc_id", "s1", "s2", "n"), known.drop("root"), ["s1", "s2"], "copies", total)
         full = full.select("doc_id", F.col("n").alias("n_shingles"), "component_id")
         none = self.rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
@@ -446,7 +448,7 @@ def one_of_each(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> D
     and text). Rows with the same doc_id are one document; documents without words all stay.
     """
     join = JaccardJoin(docs, k, num, den)
-    found = shared.written(join.components().where("component_id <> doc_id").select("doc_id").distinct(), join.folder, "gone")
+    found = shared.written(join.components().where("component_id <> doc_id").select("doc_id").distinct(), join.folder, "gone", join.n_rows)
     out = docs.where("doc_id is not null").join(F.broadcast(found) if shared.is_small(found) else found, "doc_id", "left_anti").select(docs.columns)
     unnamed = docs.where("doc_id is null")
     if unnamed.limit(1).count():

@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import shared, text
 
@@ -127,13 +128,18 @@ def _sample(rows: DataFrame):
     return rows.mapInArrow(run, "lang string, sums binary")
 
 
-def _add(batches):
-    """One row per language of the task: the sums of its rows."""
+def _sums(batches) -> dict[str, np.ndarray]:
     sums: dict[str, np.ndarray] = {}
     for batch in batches:
         for lang, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             x = np.frombuffer(x.as_buffer())
             sums[lang] = sums[lang] + x if lang in sums else x
+    return sums
+
+
+def _add(batches):
+    """One row per key of the task: the sum of its rows."""
+    sums = _sums(batches)
     if sums:
         yield pa.record_batch([pa.array(list(sums)), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["lang", "sums"])
 
@@ -143,11 +149,9 @@ def _by_bit(number: dict[str, int], code: np.ndarray):
 
     def run(batches):
         sides = np.zeros((code.shape[1], 2, BUCKETS))
-        for batch in batches:
-            for lang, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                x = np.frombuffer(x.as_buffer())
-                for b, side in enumerate(code[number[lang]]):
-                    sides[b, int(side < 0)] += x / max(x.sum(), 1e-9)
+        for lang, x in sorted(_sums(batches).items()):
+            for b, side in enumerate(code[number[lang]]):
+                sides[b, int(side < 0)] += x / max(x.sum(), 1e-9)
         if sides.any():
             yield pa.record_batch([pa.array(range(len(sides)), pa.int32()), pa.array([x.tobytes() for x in sides], pa.binary())], names=["bit", "sums"])
 
@@ -204,8 +208,8 @@ def train(rows: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
     folder = shared.work_folder(spark)
     sample = shared.written(sample, folder, "sample")
     sums = _sample(sample.where("not calibrates").select("text", "lang"))
-    sums = sums.repartition("lang").sortWithinPartitions("lang", F.xxhash64("sums")).mapInArrow(_add, sums.schema)  # in the same order in every run
-    sides = sums.sortWithinPartitions("lang").mapInArrow(_by_bit(number, code), "bit int, sums binary")
+    sums = sums.repartition("lang").sortWithinPartitions("lang", F.xxhash64("sums"))  # added up in the same order in every run
+    sides = sums.mapInArrow(_by_bit(number, code), "bit int, sums binary")
     total = np.zeros((code.shape[1], 2, BUCKETS))
     sides = sides.withColumn("lang", F.col("bit").cast("string")).select("lang", "sums").repartition("lang").sortWithinPartitions("lang", F.xxhash64("sums")).mapInArrow(_add, "lang string, sums binary")
     for row in sides.collect():  # a row a bit
@@ -249,17 +253,18 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     """
     shared_model = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("struct<lang_pred: string, score: double, ambiguous: boolean>")
-    def decide(bodies):
-        import pandas as pd
-
+    def run(batches):
         m = shared_model.value
-        return pd.DataFrame([m.decode(grams(x)) for x in bodies], columns=["lang_pred", "score", "ambiguous"])
+        for batch in batches:
+            found = [m.decode(grams(x.as_py())) for x in batch.column(1)]
+            cols = zip(*found, strict=True) if found else ((), (), ())
+            yield pa.record_batch([batch.column(0), *(pa.array(x, k) for x, k in zip(cols, (pa.string(), pa.float64(), pa.bool_()), strict=True))], names=["row", *names])
 
     names = ("lang_pred", "score", "ambiguous")
     docs = docs.drop(*names)
-    out = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), decide(F.col("text").cast("string")).alias("found"))
-    return out.select("row.*", "found.*")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("text").cast("string").alias("text"))
+    out = rows.mapInArrow(run, T.StructType([rows.schema["row"], *T.StructType.fromDDL("lang_pred string, score double, ambiguous boolean").fields]))
+    return out.select("row.*", *names)
 
 
 def held_out():

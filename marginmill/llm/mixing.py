@@ -36,7 +36,7 @@ CHUNK = 50_000
 
 
 def targets(sources: DataFrame, weights=WEIGHTS, most: int = MOST) -> DataFrame:
-    """sources (key, words) with weight and target words; written sources only, as it is read several times.
+    """sources (key, words) with weight and target words.
 
     Sources in the order of key weigh the given weights in turn and share the words of all. A target
     stops at most times its source's words; the excess is shared by weight again, until none is
@@ -45,22 +45,23 @@ def targets(sources: DataFrame, weights=WEIGHTS, most: int = MOST) -> DataFrame:
     spark, folder = sources.sparkSession, shared.work_folder(sources.sparkSession)
     # ranks by ranges: the ranges are written, so that they stay, and counted
     ranged = shared.written(sources.repartitionByRange("key").withColumn("range", F.spark_partition_id()), folder, "ranged")
+    n = ranged.count()
     before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # over a row a range
     offsets = ranged.groupBy("range").count().select("range", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("offset"))
     rank = F.col("offset") + F.row_number().over(Window.partitionBy("range").orderBy("key")) - 1
     turn = F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (F.col("rank") % len(weights) + 1).cast("int"))
     df = ranged.join(offsets, "range").withColumn("rank", rank).select("key", "words", turn.alias("weight"))
-    df = shared.written(df, folder, "weights")
+    df = shared.written(df, folder, "weights", n)
     cap = F.lit(float(most)) * F.col("words")
     level, capped = 0.0, -1
     while True:
         full = F.col("weight") * level > cap
-        left, open_weight, n = df.agg(
+        left, open_weight, n_full = df.agg(
             F.coalesce(F.sum("words"), F.lit(0)) - F.coalesce(F.sum(F.when(full, cap)), F.lit(0.0)), F.coalesce(F.sum(F.when(~full, F.col("weight"))), F.lit(0.0)), F.count_if(full)
         ).first()
-        if n == capped or not open_weight:
+        if n_full == capped or not open_weight:
             break
-        capped, level = n, max(level, left / open_weight)
+        capped, level = n_full, max(level, left / open_weight)
     return spark.read.schema(df.schema).parquet(f"{folder}/weights").withColumn("target", F.least(cap, F.lit(level) * F.col("weight")))
 
 
@@ -81,7 +82,7 @@ def balance(goals: DataFrame, marginals: DataFrame, most: int = MOST, softness:
     """
     spark, folder = goals.sparkSession, shared.work_folder(goals.sparkSession)
     per = marginals.groupBy("key").agg(F.collect_list(F.struct("band", F.col("words").cast("double").alias("words"))).alias("cells")).join(goals, "key")
-    per = shared.written(per.select("key", "cells", F.col("target").cast("double").alias("target")), folder, "per_source")
+    per = shared.written(per.select("key", "cells", F.col("target").cast("double").alias("target")), folder, "per_source", goals.count())
     totals = {r["band"]: float(r["words"]) for r in marginals.groupBy("band").agg(F.sum("words").alias("words")).collect()}  # at most 64 bands
     bands = sorted(totals)
     w = np.array([totals[b] for b in bands])
@@ -187,15 +188,16 @@ class _Plan:
         folder = self.folder
         rows = _measured(docs, seed).select(F.col("row.doc_id").alias("doc_id"), "key", "size", "h", "g")
         self.rows = shared.written(rows.groupBy("doc_id", "key", "size", "h", "g").agg(F.count("*").alias("m")), folder, "rows")
-        cells = shared.written(self.rows.groupBy("key", "size").agg(F.sum("m").alias("n")), folder, "cells")
-        sources = shared.written(cells.groupBy("key").agg(F.sum(F.col("n") * F.col("size")).alias("words")), folder, "sources")
-        self.goals = shared.written(targets(sources, weights, most), folder, "goals")
+        n = self.rows.count()
+        cells = shared.written(self.rows.groupBy("key", "size").agg(F.sum("m").alias("n")), folder, "cells", n)
+        n = cells.count()
+        self.goals = targets(cells.groupBy("key").agg(F.sum(F.col("n") * F.col("size")).alias("words")), weights, most)
         marginals = cells.where("size > 0").groupBy("key", band(F.col("size")).alias("band")).agg(F.sum(F.col("n") * F.col("size")).alias("words"))
-        self.rates = shared.written(balance(self.goals, shared.written(marginals, folder, "marginals"), most, softness), folder, "rates")
+        self.rates = balance(self.goals, marginals, most, softness)
         rated = cells.withColumn("band", band(F.col("size"))).join(self.rates, ["key", "band"], "left")
         rated = rated.select("key", "size", "n", F.when(F.col("size") > 0, F.coalesce("rate", F.lit(0.0))).otherwise(0.0).alias("rate"))
         sorted_cells = rated.repartition("key").sortWithinPartitions("key", F.desc("size"))
-        self.quotas = shared.written(sorted_cells.mapInArrow(_quotas, "key string, size long, n long, base int, more long"), folder, "quotas")
+        self.quotas = shared.written(sorted_cells.mapInArrow(_quotas, "key string, size long, n long, base int, more long"), folder, "quotas", n)
         self.total = cells.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
         group = group or shared.hot_limit(self.total) // 2  # rows that are ranked together
         df = shared.join_counted(self.rows, self.quotas, ["key", "size"], "n", self.total)
@@ -236,7 +238,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST, softness: float = SO
     df = _unfolded(df, F.col("n")).drop("n")
     # the sources are few, but one may have a third of the rows: joined by the rows each has
     counted = plan.quotas.groupBy("key").agg(F.sum("n").alias("n")).join(plan.goals.select("key", F.col("words").alias("source_size"), "target"), "key")
-    df = shared.join_counted(df, shared.written(counted, plan.folder, "counted"), ["key"], "n", plan.total)
+    df = shared.join_counted(df, shared.written(counted, plan.folder, "counted", plan.goals.count()), ["key"], "n", plan.total)
     source = F.when(F.col("key").startswith("="), F.substring("key", 2, 1 << 30))
     return df.select("doc_id", source.alias("source"), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
 
@@ -255,7 +257,7 @@ def mixed(docs: DataFrame, weights=WEIGHTS, most: int = MOST, softness: float =
         F.sum("m").alias("n"), F.first("base").alias("base"), F.max(F.when(F.col("q") == F.col("m"), place)).alias("up_to"),
         F.max(F.when((F.col("q") > 0) & (F.col("q") < F.col("m")), F.struct(place.alias("at"), "m", "q"))).alias("part"), F.max("slots").alias("slots"),
     )
-    cells = shared.written(drawn, plan.folder, "cells_drawn")
+    cells = shared.written(drawn, plan.folder, "cells_drawn", plan.quotas.count())
     rows = _measured(docs, seed)
     if shared.is_small(cells):
         rows = rows.join(F.broadcast(cells), ["key", "size"])

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: A side is broadcast only if it has been counted and has at most this many narrow rows.
 BROADCAST_ROWS = 1_000_000
+#: Narrow rows of a file, where their number is known.
+FILE_ROWS = 200_000
 #: At most so many keys are hot, at any size: a hot key has more than this share of the rows.
 HOT_KEYS = 100_000
 #: Rows that the Parquet reader and Arrow hold at once. Spark's defaults are for narrow rows; texts
@@ -61,9 +63,14 @@ def clean() -> None:
             drop(spark, folder)
 
 
-def written(df: DataFrame, folder: str, name: str) -> DataFrame:
-    """The rows of df, written once to the shared folder and read again: cuts the lineage."""
+def written(df: DataFrame, folder: str, name: str, rows: int | None = None) -> DataFrame:
+    """The rows of df, written once to the shared folder and read again: cuts the lineage.
+
+    rows, a bound of the number of narrow rows, if known: so few are written in few files.
+    """
     path = f"{folder}/{name}"
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // FILE_ROWS)))
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -104,27 +111,29 @@ def _are_stars(edges: DataFrame) -> bool:
     return not ends.groupBy("v").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or up + down > 1").count()
 
 
-def components(edges: DataFrame, folder: str, name: str) -> DataFrame:
+def components(edges: DataFrame, folder: str, name: str, rows: int | None = None) -> DataFrame:
     """Connected components of undirected edges (a, b) of longs: (node, root), root the least node.
 
     Alternating large-star and small-star steps; each step is a pre-aggregated group-by and a join
     in which hubs, by their counts, are broadcast. Steps are written to the shared folder, so that
     nothing is collected and lineage stays short. Ends when all edges are stars around least nodes.
+    rows: a bound of the number of edges, if known.
     """
     spark, step, path = edges.sparkSession, 0, f"{folder}/{name}-0"
-    now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), folder, f"{name}-0")
+    now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), folder, f"{name}-0", rows)
     while not _are_stars(now):
         step += 1
+        n = now.count()
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n")
         # large-star: every larger neighbour of a node is tied to the node's least neighbour
-        large = join_counted(both.where("b > a"), least, ["a"], "n", 2 * now.count()).select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = written(large.where("a <> b").distinct(), folder, f"{name}-{step}a")
+        large = join_counted(both.where("b > a"), least, ["a"], "n", 2 * n).select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = written(large.where("a <> b").distinct(), folder, f"{name}-{step}a", n)
         # small-star: the node itself and its smaller neighbours are tied to the least of them
         least = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
         small = join_counted(large, least, ["a"], "n", large.count()).select(F.col("b").alias("a"), F.col("m").alias("b"))
         small = small.unionByName(least.select("a", F.col("m").alias("b")))
-        now = written(small.where("a <> b").distinct(), folder, f"{name}-{step}b")
+        now = written(small.where("a <> b").distinct(), folder, f"{name}-{step}b", 2 * n)
         drop(spark, path, f"{folder}/{name}-{step}a")
         path = f"{folder}/{name}-{step}b"
     roots = now.groupBy("a").agg(F.min("b").alias("root")).select(F.col("a").alias("node"), "root")

@@ -34,7 +34,7 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     if not _powers or len(_powers["up"]) < n:
-        size = max(n, 1 << 21)
+        size = max(n, 1 << 18)
         with np.errstate(over="ignore"):
             for name, m in (("up", _MULT), ("down", pow(_MULT, -1, 2**64))):
                 table = np.full(size, U(m))
@@ -58,7 +58,7 @@ def buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[off[0] : off[-1]], off - off[0]
 
 
-def chunks(col: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def chunks(col: pa.Array, limit: int = 1 << 18) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, bytes, offsets) of runs of rows with up to limit bytes, or one longer row."""
     raw, off = buffers(col)
     lo = 0
@@ -83,7 +83,7 @@ def _words(raw: np.ndarray, heads: np.ndarray, lower: bool) -> tuple[np.ndarray,
         return mix(sums * down[starts]), starts
 
 
-def words(raw: np.ndarray, off: np.ndarray, lower: bool = True, block: int = 1 << 21) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def words(raw: np.ndarray, off: np.ndarray, lower: bool = True, block: int = 1 << 18) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of all words, their first bytes, and offsets of the rows in them."""
     if len(raw) <= block:
         h, starts = _words(raw, off, lower) if len(raw) else (np.zeros(0, U), np.zeros(0, np.int64))
