@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import text as texts
+
 # Fixed values.
 PAIR_WEIGHTS = (0.7, 0.2, 0.1)
 VERIFIED_WEIGHTS = (0.6, 0.3, 0.1)
@@ -21,6 +23,11 @@ def pair_score(verdict: Column) -> Column:
     return F.when(verdict == "A", 1.0).when(verdict == "B", 0.0).otherwise(0.5)
 
 
+def grounding(review: Column, diff: Column, stop: list[str]) -> Column:
+    """1 less the share of backticked names that the diff's hunks lack."""
+    return F.greatest(F.lit(0.0), 1 - texts.unknown_name_ratio(review, diff, stop))
+
+
 def composite(verdict: Column, grounding: Column, text: Column) -> Column:
     """Zero for empty or placeholder reviews."""
     empty = F.trim(F.coalesce(text, F.lit(""))).isin("", "...")
@@ -47,7 +54,12 @@ def unfinished(raw: Column) -> Column:
     return F.contains(raw, F.lit("<think>")) & ~F.contains(raw, F.lit("</think>"))
 
 
+def extracted(raw: Column) -> Column:
+    """The review that a rollout is scored by, without tags; '' for an unclosed thought or a placeholder."""
+    bare = texts.strip(F.regexp_replace(texts.review_block(raw), "</?review>", ""))
+    return F.when(unfinished(raw) | (bare == "..."), "").otherwise(bare)
+
+
 def guarded(raw: Column, reward: Column) -> Column:
     """No reward for an unclosed thought, or for an empty or placeholder review."""
-    bare = F.trim(F.regexp_replace(F.coalesce(raw, F.lit("")), "</?review>", ""))
-    return F.when(unfinished(raw) | bare.isin("", "..."), 0.0).otherwise(reward)
+    return F.when(extracted(F.coalesce(raw, F.lit(""))) == "", 0.0).otherwise(reward)

@@ -14,7 +14,7 @@ FILE_LINE = r"`([A-Za-z0-9_./\-]+\.(?:py|js|jsx|ts|tsx|java|go|rb|c|cpp|h|hpp|rs
 TICKED_NAME = r"`([A-Za-z_][A-Za-z0-9_]{1,40})`"
 NAME_3 = r"\b[a-zA-Z_][a-zA-Z0-9_]{2,}\b"
 NAME_2_41 = r"[A-Za-z_][A-Za-z0-9_]{1,40}"
-METADATA = ("+++", "---", "diff ", "index ", "new file", "deleted file", "similarity index", "rename ", "Binary files", "GIT binary")
+METADATA = r"^(\+\+\+|---|diff |index |new file|deleted file|similarity index|rename |Binary files|GIT binary)"
 CLEAN_VERDICT = ("no issue", "looks correct", "looks good", "no bug", "no significant", "no major", "lgtm")
 ASSERTS = r"(?i)\b(bug|issue|error|incorrect|wrong|missing|fail|broken|vulnerab|leak|race)\b"
 QUIET = r"(?i)(no (major |significant |obvious |apparent )?(issues?|bugs?|problems?)|looks (good|correct|fine)|lgtm)"
@@ -23,7 +23,11 @@ FALSE_REFERENCES = (
     r"(?i)the `([a-zA-Z_][a-zA-Z0-9_]{2,})` (?:is|was|should|has|does|needs)",
     r"(?i)`([a-zA-Z_][a-zA-Z0-9_]{2,})` (?:function|method|variable|class|field|attribute)",
 )
-SMALL_STOP = "self return import class True False None with from def the and for not this that list dict str int".split()
+SMALL_STOP = ("self", "return", "import", "class", "True", "False", "None", "with", "from", "def", "the", "and", "for", "not", "this", "that", "list", "dict", "str", "int")
+BUG_WORDS = ("bug", "error", "incorrect", "broken", "wrong", "missing", "problem", "should fix", "should use", "issue", "antipattern", "dangerous", "unsafe")
+FEATURES = (".first()", '"true"', '"false"', "MAX_", "TIMEOUT", "RETRY")
+CONCLUSION = r"(?i)(?:^|\n)\s*(?:\d+\.\s*)?(?:identifier-grounded\s+)?conclusion:?\s*([^\n]{20,500})"
+SHORT_REVIEW = 20
 
 
 def stopwords(extra: tuple[str, ...] = ()) -> list[str]:
@@ -61,7 +65,7 @@ def names_in_hunks(diff: Column) -> Column:
     lines = F.filter(split_lines(F.coalesce(diff, F.lit(""))), lambda x: x != "")
     first = F.array_position(F.transform(lines, lambda x: x.startswith("@@")), F.lit(True))
     inside = F.when(first > 0, F.slice(lines, first.cast("int"), F.size(lines))).otherwise(F.array().cast("array<string>"))
-    meta = lambda x: F.rlike(x, F.lit(r"^(\+\+\+|---|diff |index |new file|deleted file|similarity index|rename |Binary files|GIT binary)"))
+    meta = lambda x: F.rlike(x, F.lit(METADATA))
     body = F.filter(inside, lambda x: x.startswith("@@") | (~meta(x) & F.substring(x, 1, 1).isin("+", "-", " ")))
     return F.array_distinct(F.flatten(F.transform(body, lambda x: F.regexp_extract_all(x, F.lit(NAME_2_41), F.lit(0)))))
 
@@ -112,6 +116,63 @@ def review_block(raw: Column, ignore_case: bool = False) -> Column:
     return F.when(direct, strip(F.regexp_extract(after, flag + "<review>(.*?)</review>", 1))).when(F.size(full) > 0, F.element_at(full, -1)).otherwise(strip(bare))
 
 
+def without_thoughts(raw: Column, unclosed: bool = True) -> Column:
+    """The text outside <think> blocks; an unclosed one reaches to the end."""
+    out = strip(F.regexp_replace(raw, r"(?is)<think>.*?</think>", ""))
+    return strip(F.regexp_replace(out, r"(?is)<think>.*$", "")) if unclosed else out
+
+
+def first_block(raw: Column) -> Column:
+    """The first review block, whatever its case; without one the text outside thoughts."""
+    raw = F.coalesce(raw, F.lit(""))
+    block = F.lit("(?is)<review>(.*?)</review>")
+    return F.when(F.regexp_like(raw, block), strip(F.regexp_extract(raw, "(?is)<review>(.*?)</review>", 1))).otherwise(without_thoughts(raw))
+
+
+def salvaged(raw: Column) -> Column:
+    """(level, review): 1 the first block, 2 a conclusion line, 3 the text outside thoughts of 20 characters or more, 4 the last 300."""
+    raw = F.coalesce(raw, F.lit(""))
+    line = strip(F.regexp_extract(raw, CONCLUSION, 1))
+    outside = without_thoughts(raw)
+    level = F.when(F.regexp_like(raw, F.lit("(?is)<review>.*?</review>")), 1).when(F.length(line) >= 20, 2).when(F.length(outside) >= 20, 3).otherwise(4)
+    last = strip(F.substring(raw, -300, 300))
+    review = F.when(level == 1, strip(F.regexp_extract(raw, "(?is)<review>(.*?)</review>", 1))).when(level == 2, line).when(level == 3, outside).otherwise(F.when(F.length(raw) <= 300, strip(raw)).otherwise(last))
+    return F.struct(level.alias("level"), review.alias("review"))
+
+
+def extraction_level(raw: Column) -> Column:
+    """The level that the breakdown counts: 1 an opening tag, 2 a conclusion line, 3 any text outside thoughts, 4 none."""
+    raw = F.coalesce(raw, F.lit(""))
+    return F.when(F.contains(F.lower(raw), F.lit("<review>")), 1).when(F.regexp_like(raw, F.lit(CONCLUSION)), 2).when(without_thoughts(raw) != "", 3).otherwise(4)
+
+
+def last_block(raw: Column) -> Column:
+    """The first full block after the last closed thought, else the last full block, else the text outside thoughts; any case of tags."""
+    raw = F.coalesce(raw, F.lit(""))
+    after = F.when(F.contains(raw, F.lit("</think>")), strip(F.regexp_extract(F.substring_index(raw, "</think>", -1), "(?is)<review>(.*?)</review>", 1))).otherwise("")
+    full = F.filter(F.transform(F.regexp_extract_all(raw, F.lit("(?is)<review>(.*?)</review>"), F.lit(1)), strip), lambda x: ~x.isin("", "..."))
+    return F.when(after != "", after).when(F.size(full) > 0, F.element_at(full, -1)).otherwise(without_thoughts(raw))
+
+
+def base_review(raw: Column) -> Column:
+    """A base model's output: extracted only where it has a review tag."""
+    return F.when(F.contains(raw, F.lit("<review>")), review_block(raw)).otherwise(strip(F.coalesce(raw, F.lit(""))))
+
+
+def thought_and_draft(thought: Column, answer: Column) -> Column:
+    """(think, draft) of a first call: a thought within the answer counts where none came apart; the draft is the review block or all."""
+    thought, answer = strip(F.coalesce(thought, F.lit(""))), strip(F.coalesce(answer, F.lit("")))
+    inline = (thought == "") & F.regexp_like(answer, F.lit("(?is)<think>.*?</think>")) & F.contains(answer, F.lit("<think>"))
+    think = F.when(inline, strip(F.regexp_extract(answer, "(?is)<think>(.*?)</think>", 1))).otherwise(thought)
+    rest = F.when(inline, without_thoughts(answer, unclosed=False)).otherwise(answer)
+    draft = F.when(F.regexp_like(rest, F.lit("(?is)<review>.*?</review>")), strip(F.regexp_extract(rest, "(?is)<review>(.*?)</review>", 1))).otherwise(rest)
+    return F.struct(think.alias("think"), draft.alias("draft"))
+
+
+def trace_target(think: Column, review: Column) -> Column:
+    return F.concat(F.lit("<think>\n"), think, F.lit("\n</think>\n<review>\n"), review, F.lit("\n</review>"))
+
+
 def trace_parts(raw: Column) -> Column:
     """(think, review) of a trace; both null unless both are there and not empty."""
     parts = [strip(F.regexp_extract(F.coalesce(raw, F.lit("")), f"(?is)<{t}>(.*?)</{t}>", 1)) for t in ("think", "review")]
@@ -171,11 +232,62 @@ def finish_reason(raw: Column) -> Column:
     return F.upper(F.element_at(F.split(raw, r"\."), -1))
 
 
+def starts_yes(raw: Column) -> Column:
+    return strip(F.upper(F.coalesce(raw, F.lit("")))).startswith("Y")
+
+
+def passes_pattern(pattern: Column, expected: Column, review: Column) -> Column:
+    """Whether a review names one of the expected words; on diffs without an issue it may also just claim none."""
+    low = F.lower(review)
+    claims = F.exists(F.array(*map(F.lit, BUG_WORDS)), lambda w: F.contains(low, w))
+    return names_any(review, expected) | ((pattern == "no_issue_diffs") & ~claims)
+
+
+def asserts(review: Column) -> Column:
+    return F.rlike(F.coalesce(review, F.lit("")), F.lit(ASSERTS))
+
+
+def is_quiet(review: Column) -> Column:
+    """No claim of a defect, or a statement that there is none."""
+    body = F.coalesce(review, F.lit(""))
+    return F.rlike(body, F.lit(QUIET)) | ~asserts(body)
+
+
+def feature(diff: Column, features: tuple[str, ...] = FEATURES) -> Column:
+    """The first of the features that a diff holds, in any case."""
+    return F.coalesce(*(F.when(F.contains(F.lower(diff), F.lit(x.lower())), x) for x in features))
+
+
+def unless_short(review: Column, value, otherwise: Column) -> Column:
+    """value for reviews under 20 characters, which no judge is asked about."""
+    return F.when(F.length(strip(F.coalesce(review, F.lit("")))) < SHORT_REVIEW, value).otherwise(otherwise)
+
+
+def percent(x: Column, digits: int = 1) -> Column:
+    """0.123 as 12.3%; n/a for null."""
+    return F.coalesce(F.concat(F.format_number(100 * x, digits), F.lit("%")), F.lit("n/a"))
+
+
+def signed(x: Column, digits: int = 4) -> Column:
+    return F.coalesce(F.concat(F.when(x >= 0, "+").otherwise(""), F.format_number(x, digits)), F.lit("n/a"))
+
+
+def interval_text(low: Column, high: Column) -> Column:
+    return F.concat(F.lit("["), signed(low), F.lit(", "), signed(high), F.lit("]"))
+
+
+def _truthy(v: Column) -> Column:
+    """Python's truth of a JSON value: false, null, zero, '' and empty lists and objects aren't true; the string 'false' is."""
+    kind, body = F.schema_of_variant(v), v.cast("string")
+    empty = (kind == "VOID") | ((kind == "BOOLEAN") & (body == "false")) | ((kind == "STRING") & (body == "")) | (kind.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)") & (F.to_json(v).try_cast("double") == 0)) | F.to_json(v).isin("[]", "{}")
+    return F.coalesce(~empty, F.lit(False))
+
+
 def comment_verdict(raw: Column) -> Column:
     """(issue_type, canonical_desc) of a classifier's JSON answer, fenced or not; null unless it calls a full defect."""
     body = strip(F.coalesce(raw, F.lit("")))
-    fenced = F.regexp_extract(body, r"(?s)```(?:json)?\s*(.*?)```", 1)
-    parsed = F.from_json(F.when(fenced != "", fenced).otherwise(body), "is_defect string, issue_type string, canonical_desc string")
-    true = ~F.coalesce(parsed["is_defect"], F.lit("")).isin("", "false", "0", "0.0", "null", "[]", "{}")
-    full = true & (F.coalesce(parsed["issue_type"], F.lit("")) != "") & (F.coalesce(parsed["canonical_desc"], F.lit("")) != "")
-    return F.when(full, F.struct(parsed["issue_type"].alias("issue_type"), parsed["canonical_desc"].alias("canonical_desc")))
+    fenced = "(?s)```(?:json)?\\s*(.*?)```"
+    parsed = F.try_parse_json(F.when(F.regexp_like(body, F.lit(fenced)), strip(F.regexp_extract(body, fenced, 1))).otherwise(body))
+    field = lambda x: F.try_variant_get(parsed, f"$.{x}", "variant")
+    full = _truthy(field("is_defect")) & _truthy(field("issue_type")) & _truthy(field("canonical_desc"))
+    return F.when(full, F.struct(field("issue_type").cast("string").alias("issue_type"), field("canonical_desc").cast("string").alias("canonical_desc")))

@@ -10,12 +10,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Reference texts that a pass compares with; the callers' list is cut here, by the operator's definition.
+from . import stemmer
+
+#: Reference texts that a pass compares with, at most; choose them with curate.reference_tail.
 REFERENCES = 500
 
 
-def tokens(body: str) -> list[str]:
-    return re.sub(r"[^a-z0-9]+", " ", (body or "").lower()).split()
+def tokens(body: str, stem: bool = True) -> list[str]:
+    """Lower-case runs of letters and digits, those of four characters or more without their endings."""
+    out = re.sub(r"[^a-z0-9]+", " ", (body or "").lower()).split()
+    return [stemmer.stem(w) if len(w) > 3 else w for w in out] if stem else out
 
 
 def lcs(a: list[str], b: list[str]) -> int:
@@ -68,8 +72,11 @@ def text_scores(guess: Column, reference: Column) -> Column:
 
 
 def without_near(rows: DataFrame, body: str, references: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """Rows whose ROUGE-L with each of the references (column text, the first REFERENCES by text) is at most the threshold."""
-    held = rows.sparkSession.sparkContext.broadcast([tokens(r.text) for r in references.select("text").orderBy("text").limit(REFERENCES).collect()])
+    """Rows whose ROUGE-L with each of the references (column text) is at most the threshold. More than REFERENCES are refused."""
+    found = references.select("text").limit(REFERENCES + 1).collect()
+    if len(found) > REFERENCES:
+        raise ValueError(f"more than {REFERENCES} references: take their tail first")
+    held = rows.sparkSession.sparkContext.broadcast([tokens(r.text) for r in found])
 
     @F.pandas_udf("boolean")
     def near(bodies: pd.Series) -> pd.Series:

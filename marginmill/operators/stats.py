@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import curate
+
 
 def conditional_means(rows: DataFrame, *by: str) -> DataFrame:
     """rows (n_defects, recall, precision, fp_rate): counts, and means over the rows that each is defined for."""
@@ -17,32 +19,76 @@ def conditional_means(rows: DataFrame, *by: str) -> DataFrame:
     )
 
 
-def paired_deltas(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
-    """Rows of both predictions' components, with the differences b - a."""
-    x, y = (df.select(key, *(F.col(c).alias(f"{c}_{s}") for c in ("n_defects", "recall", "precision", "fp_rate"))) for df, s in ((a, "a"), (b, "b")))
-    return x.join(y, key).select(key, F.col("n_defects_a").alias("n_defects"), *((F.col(f"{c}_b") - F.col(f"{c}_a")).alias(c) for c in ("recall", "precision", "fp_rate")))
+def with_default(rows: DataFrame, *columns: str) -> DataFrame:
+    """Means over all rows, 0.0 for none."""
+    return rows.agg(*(F.coalesce(F.round(F.avg(c), 6), F.lit(0.0)).alias(c) for c in columns))
+
+
+def paired_deltas(a: DataFrame, b: DataFrame, key: str, order: str | None = None) -> DataFrame:
+    """Rows that both predictions have, with both sides' recall, fp_rate and halluc and the differences b - a.
+
+    order, a column: of rows with the same key the last counts.
+    """
+    if order:
+        a, b = (curate.last_wins(x, key, order) for x in (a, b))
+    metrics = ("recall", "precision", "fp_rate", "halluc")
+    x, y = (df.select(key, *(F.col(c).alias(f"{c}_{s}") if c in df.columns else F.lit(None).cast("double").alias(f"{c}_{s}") for c in ("n_defects", *metrics))) for df, s in ((a, "a"), (b, "b")))
+    both = x.join(y, key)
+    sides = [f"{c}_{s}" for c in metrics for s in "ab"]
+    return both.select(key, F.col("n_defects_a").alias("n_defects"), *sides, *((F.col(f"{c}_b") - F.col(f"{c}_a")).alias(c) for c in metrics))
 
 
-def _interval(values: np.ndarray, rng, rounds: int) -> tuple[float, float, float]:
+def _interval(values: np.ndarray, rng, rounds: int) -> tuple:
+    """Mean and percentile interval; nothing, and no draws, for no values."""
     if not len(values):
-        return 0.0, 0.0, 0.0
+        return None, None, None
     draws = [values[rng.randint(0, len(values), len(values))].mean() for _ in range(rounds)]
     low, high = np.percentile(draws, [2.5, 97.5])
     return float(values.mean()), float(low), float(high)
 
 
-def paired_bootstrap(deltas: DataFrame, key: str, seed: int = 0, rounds: int = 2000) -> DataFrame:
-    """Means of the paired differences with percentile intervals, from one stream of draws in the order recall, fp_rate.
+#: Rows of one evaluation set that are resampled in one task, as the seeded draws follow each other.
+EXACT_ROWS = 1_000_000
+
 
-    The vectors of one evaluation set are resampled in one task, as the draws are sequential; for sets beyond that use poisson_bootstrap.
+def _bounded(rows: DataFrame) -> DataFrame:
+    n = rows.limit(EXACT_ROWS + 1).count()
+    if n > EXACT_ROWS:
+        raise ValueError(f"more than {EXACT_ROWS} rows: seeded draws are sequential; use poisson_bootstrap")
+    return rows
+
+
+def paired_bootstrap(deltas: DataFrame, key: str, seed: int = 0, rounds: int = 2000, metrics: tuple[str, ...] = ("recall", "fp_rate", "halluc")) -> DataFrame:
+    """Means of the paired differences with percentile intervals, from one stream of draws through the metrics in order.
+
+    A metric without values has nulls and takes no draws. At most EXACT_ROWS rows, which is checked.
     """
+    metrics = tuple(m for m in metrics if m in deltas.columns)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf, rng = pdf.sort_values(key), np.random.RandomState(seed)
-        out = [(m, *_interval(pdf[m].dropna().to_numpy(float), rng, rounds)) for m in ("recall", "fp_rate")]
+        out = [(m, *_interval(pdf[m].dropna().to_numpy(float), rng, rounds)) for m in metrics]
         return pd.DataFrame(out, columns=["metric", "mean", "low", "high"])
 
-    return deltas.groupBy(F.lit("all").alias("_g")).applyInPandas(run, "metric string, mean double, low double, high double")
+    return _bounded(deltas.select(key, *metrics)).groupBy(F.lit("all").alias("_g")).applyInPandas(run, "metric string, mean double, low double, high double")
+
+
+def paired_report(deltas: DataFrame, intervals: DataFrame) -> DataFrame:
+    """One row: sizes, means of both sides, deltas with their intervals, and whether an interval shows a gain."""
+    point = deltas.agg(
+        F.count("*").alias("n_compared"), F.count_if(F.col("n_defects") > 0).alias("n_labeled"), F.count_if(F.col("n_defects") == 0).alias("n_clean"),
+        *(F.avg(f"{m}_{s}").alias(f"{m}_{s}") for m in ("recall", "fp_rate", "halluc") for s in "ab"),
+    )
+    pick = lambda m, c: F.max(F.when(F.col("metric") == m, F.col(c)))
+    wide = intervals.agg(*(pick(m, c).alias(f"{m}_{n}") for m in ("recall", "fp_rate", "halluc") for c, n in (("mean", "delta"), ("low", "lo"), ("high", "hi"))))
+    out = point.withColumn("_", F.lit(1)).join(wide.withColumn("_", F.lit(1)), "_").drop("_")
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    return out.withColumns({"recall_significant": yes(F.col("recall_lo") > 0), "fp_significant": yes(F.col("fp_rate_hi") < 0), "halluc_significant": yes(F.col("halluc_hi") < 0)})
+
+
+def ships(report: DataFrame) -> DataFrame:
+    """A significant gain in recall, and neither of the others significantly worse."""
+    return report.withColumn("ship", F.col("recall_significant") & (F.col("fp_rate_lo") <= 0) & (F.col("halluc_lo") <= 0))
 
 
 def poisson_bootstrap(rows: DataFrame, key: str, value: str, rounds: int = 200) -> DataFrame:
@@ -56,14 +102,33 @@ def poisson_bootstrap(rows: DataFrame, key: str, value: str, rounds: int = 200)
     return means.agg(F.avg("m").alias("mean"), F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"))
 
 
-def win_rate(verdicts: DataFrame, which: str = "A", seed: int = 42, rounds: int = 2000) -> DataFrame:
-    """Share of a verdict with its percentile bootstrap interval; zeros for no rows. Takes the counts only, as order doesn't matter."""
-    wins, n = verdicts.agg(F.count_if(F.col("verdict") == which), F.count("*")).first()
-    out = (0.0, 0.0, 0.0)
-    if n:
-        draws = np.random.default_rng(seed).binomial(n, wins / n, rounds) / n
-        out = (wins / n, *np.percentile(draws, [2.5, 97.5]).tolist())
-    return verdicts.sparkSession.createDataFrame([out], "rate double, low double, high double")
+def win_rate(verdicts: DataFrame, order: str, which: str = "A", seed: int = 42, rounds: int = 2000) -> DataFrame:
+    """Share of a verdict with its percentile interval, by seeded draws of places in the given order; zeros for no rows."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        hit, rng = (pdf.sort_values(order)["verdict"] == which).to_numpy(float), np.random.default_rng(seed)
+        draws = np.array([hit[rng.integers(0, len(hit), len(hit))].mean() for _ in range(rounds)])
+        return pd.DataFrame([(float(hit.mean()), *np.percentile(draws, [2.5, 97.5]).tolist())], columns=["rate", "low", "high"])
+
+    got = _bounded(verdicts.select(order, "verdict")).groupBy(F.lit("all").alias("_g")).applyInPandas(run, "rate double, low double, high double")
+    return got.agg(*(F.coalesce(F.max(c), F.lit(0.0)).alias(c) for c in ("rate", "low", "high")))
+
+
+def wins(verdicts: DataFrame) -> DataFrame:
+    """Counts and rates of the verdicts; the counts are the rates times the total, cut to whole numbers."""
+    v, rate = F.col("verdict"), lambda x: F.avg((F.col("verdict") == x).cast("double"))
+    out = verdicts.agg(F.count("*").alias("total"), *(F.coalesce(rate(x), F.lit(0.0)).alias(f"rate_{x}") for x in ("A", "B", "TIE")), F.count(v).alias("_n")).drop("_n")
+    return out.select("total", *((F.col(f"rate_{x}") * F.col("total")).cast("int").alias(n) for x, n in (("A", "wins"), ("B", "losses"), ("TIE", "ties"))), *(F.round(f"rate_{x}", 6).alias(n) for x, n in (("A", "win_rate"), ("TIE", "tie_rate"))))
+
+
+def nan_sum(values: Column, weights: list[float]) -> Column:
+    """Weighted sum of an array of rewards; NaN and null count nothing."""
+    return F.aggregate(F.zip_with(values, F.array(*map(F.lit, weights)), lambda v, w: F.coalesce(F.nanvl(v, F.lit(0.0)), F.lit(0.0)) * w), F.lit(0.0), lambda a, x: a + x)
+
+
+def process_slice(rows: DataFrame, index: str, rank: int, size: int) -> DataFrame:
+    """The contiguous part of a process: indices from rank * size."""
+    return rows.where((F.col(index) >= rank * size) & (F.col(index) < (rank + 1) * size))
 
 
 def advantages(rewards: DataFrame, group: str, least: float) -> DataFrame:

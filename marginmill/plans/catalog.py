@@ -6,42 +6,13 @@ by the same rule in both engines.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import reward, text
 from ..operators import curate, overlap, rouge, stats
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def _query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def _both(name: str, sql: str, *tables: str) -> None:
-    """A query whose SQL both engines read alike."""
-
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return spark.sql(sql, **{t: _table(spark, sf_dir, t) for t in tables})
-
-    run.__name__ = name
-    QUERIES[name] = run
-    ORACLES[name] = sql.format(**{t: t for t in tables})
-
+from .base import ORACLES, QUERIES
+from .base import query as _query
+from .base import table as _table
 
 # --- scores: documents and labels as reviews and defects -------------------------------------
 _SCORED_SQL = """
@@ -122,29 +93,6 @@ def poisson_bootstrap_interval(spark, sf_dir):
     return stats.poisson_bootstrap(_scored(spark, sf_dir), "doc_id", "fp_rate")
 
 
-_both("multi_contender_report", """
-SELECT model, count(*) AS n, round(avg(CAST(claim AS DOUBLE)), 6) AS claim_rate FROM (
-  SELECT doc_id, 'short' AS model, CAST(n_chars < 400 AS INT) AS claim FROM {documents} UNION ALL
-  SELECT doc_id, 'toxic' AS model, CAST(lower(text) LIKE '%worthless%' AS INT) AS claim FROM {documents}) GROUP BY model""", "documents")
-_both("label_census", """
-SELECT CAST(sum(CAST(quality = 0 AS INT) + CAST(toxic = 1 AS INT)) AS BIGINT) AS tuples, CAST(sum(CAST(quality = 1 AND toxic = 0 AS INT)) AS BIGINT) AS clean, count(*) AS n FROM {labels}""", "labels")
-_both("regression_stats", """
-SELECT CAST(sum(CAST(d > 0 AS INT)) AS BIGINT) AS improved, CAST(sum(CAST(d < 0 AS INT)) AS BIGINT) AS regressed, CAST(sum(CAST(d = 0 AS INT)) AS BIGINT) AS tied,
-  CAST(sum(CAST(d > 0 AS INT) - CAST(d < 0 AS INT)) AS BIGINT) AS net, round(avg(CAST(d AS DOUBLE)), 6) AS mean_delta FROM (SELECT quality - toxic AS d FROM {labels})""", "labels")
-_both("repo_breakdown", "SELECT source, count(*) AS n, round(avg(CAST(n_chars AS DOUBLE)), 4) AS mean_chars FROM {documents} GROUP BY source", "documents")
-_both("worst_10", "SELECT doc_id, n_chars FROM {documents} WHERE n_chars < 400 ORDER BY n_chars, doc_id LIMIT 10", "documents")
-_both("top_5_per_report", "SELECT o_orderkey, o_totalprice FROM {orders} ORDER BY o_totalprice DESC, o_orderkey LIMIT 5", "orders")
-_both("best_checkpoint", """
-SELECT bucket, recall FROM (SELECT event_type AS bucket, round(avg(value), 6) AS recall, avg(CAST(user_id % 2 AS INT) * 1.0) AS fp FROM {events} GROUP BY event_type)
-WHERE fp <= 1 + 1e-9 ORDER BY recall DESC, bucket LIMIT 1""", "events")
-_both("score_distribution", """
-SELECT b.s AS score, count(q.doc_id) AS n FROM (SELECT 0 AS s UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4 UNION ALL SELECT 5 UNION ALL SELECT 6 UNION ALL SELECT 7 UNION ALL SELECT 8 UNION ALL SELECT 9 UNION ALL SELECT 10) b
-LEFT JOIN (SELECT doc_id, CAST(least(n_chars, 10000) AS INT) % 11 AS s FROM {documents}) q ON q.s = b.s GROUP BY b.s""", "documents")
-_both("resume_antijoin", "SELECT d.doc_id FROM {documents} d WHERE NOT EXISTS (SELECT 1 FROM {labels} l WHERE l.doc_id = d.doc_id AND l.quality = 1)", "documents", "labels")
-_both("union_merge", "SELECT origin, count(*) AS n FROM (SELECT 'kept' AS origin FROM {documents} WHERE n_chars >= 400 UNION ALL SELECT 'synthetic' FROM {benchmark}) GROUP BY origin", "documents", "benchmark")
-_both("backfill", "SELECT d.doc_id, coalesce(nullif(l.src, ''), d.source, '') AS source FROM {documents} d LEFT JOIN (SELECT doc_id, CASE WHEN toxic = 1 THEN 'toxic' ELSE '' END AS src FROM {labels}) l ON d.doc_id = l.doc_id", "documents", "labels")
-_both("weakest_bucket", "SELECT lang, round(avg(CAST(n_chars AS DOUBLE)), 4) AS mean_chars FROM {documents} GROUP BY lang ORDER BY 2, 1 LIMIT 1", "documents")
-
 # --- rewards: events as rollouts ---------------------------------------------------------------
 _REWARDS_SQL = "WITH r AS (SELECT event_id, user_id, value - floor(value) AS reward FROM events) "
 
@@ -203,51 +151,74 @@ def win_rates(spark, sf_dir):
 
 @_query()
 def win_rate_interval(spark, sf_dir):
-    return stats.win_rate(_verdicts(spark, sf_dir))
+    return stats.win_rate(_verdicts(spark, sf_dir), "user_id")
 
 
 # --- reviews and diffs derived from words ------------------------------------------------------
-_PIECES = [f"coalesce({{at}}(w, {i}), 'none')" for i in range(1, 9)]
-
-
-def _derived_sql(at: str) -> str:
-    w = [p.format(at=at) for p in _PIECES]
-    return f"""SELECT doc_id, lang, n_chars, source, text,
-  concat('Check `', {w[0]}, '` in `src/', {w[1]}, '.py:', CAST(doc_id % 40 AS VARCHAR(20)), '` and `', {w[2]}, '`; the `', {w[3]}, '` function looks good.') AS review,
-  concat('--- a/src/', {w[1]}, '.py', chr(10), '+++ b/src/', {w[1]}, '.py', chr(10), '@@ -1,3 +1,3 @@ def ', {w[0]}, chr(10), '-', {w[3]}, ' ', {w[4]}, chr(10), '+', {w[5]}, ' = ', {w[4]}, chr(10), ' ', {w[6]}) AS diff,
-  concat('src/', {w[1]}, '.py') AS path, CAST(doc_id % 37 AS INT) AS line, concat('see ', {w[2]}) AS note"""
-
-
-_DERIVED = "WITH t AS (SELECT *, regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]{2,20}') AS w FROM documents), d AS (" + _derived_sql("list_extract") + " FROM t) "
+# Every word of a text is a line of the diff and a word of the review; some are ticked names, places or invented names, some are labels.
+_DERIVED_SQL = """SELECT doc_id, lang, n_chars, source, text, w,
+  array_join(transform(w, (x, i) -> CASE WHEN i % 19 = 0 THEN concat('`', x, '`') WHEN i % 31 = 7 THEN concat('`src/', x, '.py:', CAST(i % 40 AS STRING), '`') WHEN i % 37 = 5 THEN concat('the `', x, '_zz` function') ELSE x END), ' ') AS review,
+  concat('--- a/src/', p, '.py', chr(10), '+++ b/src/', p, '.py', chr(10), '@@ -1,', CAST(size(w) AS STRING), ' @@ def ', p, chr(10),
+    array_join(transform(w, (x, i) -> concat(CASE i % 3 WHEN 0 THEN '+' WHEN 1 THEN '-' ELSE ' ' END, x)), chr(10)), chr(10), 'diff --git a/lib/x.ts b/lib/x.ts', chr(10), '--- a/lib/x.ts', chr(10), '+++ /dev/null') AS diff,
+  transform(filter(transform(w, (x, i) -> struct(i AS i, x AS x, coalesce(try_element_at(w, i + 2), '') AS y)), z -> z.i % 29 = 0),
+    z -> struct(CASE WHEN z.i % 87 <> 58 THEN concat('src/', z.x, '.py') END AS path, CAST(z.i % 40 + z.i % 9 - 4 AS INT) AS line, concat('see ', z.y) AS text)) AS labels
+FROM (SELECT *, coalesce(try_element_at(w, 1), 'none') AS p FROM {docs})"""
+
+_DERIVED = """WITH t AS (SELECT *, regexp_extract_all(coalesce(text, ''), '[A-Za-z_][A-Za-z0-9_]{2,20}') AS w FROM documents),
+u AS (SELECT *, coalesce(w[1], 'none') AS p FROM t),
+d AS (SELECT doc_id, lang, n_chars, source, text, w, p,
+  coalesce(array_to_string(list_transform(w, lambda x, i: CASE WHEN (i - 1) % 19 = 0 THEN '`' || x || '`' WHEN (i - 1) % 31 = 7 THEN '`src/' || x || '.py:' || ((i - 1) % 40) || '`' WHEN (i - 1) % 37 = 5 THEN 'the `' || x || '_zz` function' ELSE x END), ' '), '') AS review,
+  '--- a/src/' || p || '.py' || chr(10) || '+++ b/src/' || p || '.py' || chr(10) || '@@ -1,' || len(w) || ' @@ def ' || p || chr(10)
+    || coalesce(array_to_string(list_transform(w, lambda x, i: CASE (i - 1) % 3 WHEN 0 THEN '+' WHEN 1 THEN '-' ELSE ' ' END || x), chr(10)), '') || chr(10) || 'diff --git a/lib/x.ts b/lib/x.ts' || chr(10) || '--- a/lib/x.ts' || chr(10) || '+++ /dev/null' AS diff FROM u),
+k AS (SELECT doc_id, i - 1 AS i, w[i] AS x, CASE WHEN (i - 1) % 87 <> 58 THEN 'src/' || w[i] || '.py' END AS path, CAST((i - 1) % 40 + (i - 1) % 9 - 4 AS INT) AS line, 'see ' || coalesce(w[i + 1], '') AS note
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM u) WHERE (i - 1) % 29 = 0),
+f AS (SELECT doc_id, min(i) AS i, 'src/' || x || '.py' AS file, CAST(i % 40 AS INT) AS line FROM (SELECT doc_id, unnest(range(len(w))) AS i, unnest(w) AS x FROM u) WHERE i % 19 <> 0 AND i % 31 = 7 GROUP BY doc_id, x, i % 40),
+n AS (SELECT doc_id, min(i) AS i, CASE WHEN i % 19 = 0 THEN x ELSE x || '_zz' END AS identifier FROM (SELECT doc_id, unnest(range(len(w))) AS i, unnest(w) AS x FROM u) WHERE i % 19 = 0 OR i % 31 <> 7 AND i % 37 = 5 GROUP BY doc_id, 3) """
 
 
 def _derived(spark, sf_dir):
-    docs = _table(spark, sf_dir, "documents").withColumn("w", F.regexp_extract_all("text", F.lit("[A-Za-z_][A-Za-z0-9_]{2,20}"), F.lit(0)))
-    df = spark.sql(_derived_sql("get").replace("get(w, ", "try_element_at(w, ") + " FROM {docs}", docs=docs)
-    label = F.struct(F.col("path"), F.col("line"), F.col("note").alias("text"))
-    return df.withColumn("labels", F.array(label)).withColumn("locs", text.locations(F.col("review")))
+    docs = _table(spark, sf_dir, "documents").withColumn("w", F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("[A-Za-z_][A-Za-z0-9_]{2,20}"), F.lit(0)))
+    return spark.sql(_DERIVED_SQL, docs=docs).withColumn("locs", text.locations(F.col("review")))
 
 
-@_query(_DERIVED + """SELECT doc_id, path AS file, CAST(doc_id % 40 AS INT) AS line, NULL AS identifier FROM d UNION
-SELECT doc_id, NULL, NULL, unnest(list_filter(list_distinct(regexp_extract_all(review, '`([A-Za-z_][A-Za-z0-9_]{1,40})`', 1)), lambda x: length(x) >= 3)) FROM d""")
+@_query(_DERIVED + "SELECT doc_id, file, line, NULL AS identifier FROM f UNION ALL SELECT doc_id, NULL, NULL, identifier FROM n")
 def extract_locations(spark, sf_dir):
     return _derived(spark, sf_dir).select("doc_id", F.explode("locs").alias("x")).select("doc_id", "x.file", "x.line", "x.identifier")
 
 
-@_query(_DERIVED + """SELECT doc_id, CAST(CASE WHEN doc_id % 40 = 0 AND line = 0 THEN 1.0 WHEN doc_id % 40 <> 0 AND line <> 0 AND doc_id % 40 = line THEN 1.0 ELSE 0.0 END AS DOUBLE) AS iou,
-  CAST(CASE WHEN doc_id % 40 <> 0 AND doc_id % 40 = line THEN 1.0 ELSE 0.0 END AS DOUBLE) AS hit FROM d""")
+_STRICT = """, p2 AS (SELECT DISTINCT doc_id, file, line FROM f WHERE line <> 0), q2 AS (SELECT DISTINCT doc_id, path AS file, line FROM k WHERE path IS NOT NULL AND line <> 0),
+both2 AS (SELECT doc_id, count(*) AS n FROM p2 JOIN q2 USING (doc_id, file, line) GROUP BY doc_id),
+np AS (SELECT doc_id, count(*) AS n FROM p2 GROUP BY doc_id), nq AS (SELECT doc_id, count(*) AS n FROM q2 GROUP BY doc_id),
+hs AS (SELECT k.doc_id, count(*) AS n, count(p2.file) AS hit FROM k LEFT JOIN p2 ON p2.doc_id = k.doc_id AND p2.file = k.path AND p2.line = k.line GROUP BY k.doc_id),
+strict AS (SELECT d.doc_id, CASE WHEN np.n IS NULL AND nq.n IS NULL THEN 1.0 ELSE coalesce(both2.n, 0) / (coalesce(np.n, 0) + coalesce(nq.n, 0) - coalesce(both2.n, 0)) END AS iou, coalesce(hs.hit / hs.n, 1.0) AS hit
+  FROM d LEFT JOIN np USING (doc_id) LEFT JOIN nq USING (doc_id) LEFT JOIN both2 USING (doc_id) LEFT JOIN hs USING (doc_id)) """
+_LENIENT = """, m AS (SELECT k.doc_id, k.i AS label, f.i AS loc, 0 AS kind FROM k JOIN f ON f.doc_id = k.doc_id AND f.file = k.path AND f.line <> 0 AND k.line <> 0 AND abs(f.line - k.line) <= 5
+  UNION ALL SELECT k.doc_id, k.i, n.i, 1 FROM k JOIN n ON n.doc_id = k.doc_id AND (n.identifier = 'see' OR n.identifier = substr(k.note, 5))),
+lenient AS (SELECT d.doc_id, CASE WHEN count(k.i) = 0 THEN 1.0 ELSE count(DISTINCT m.label) / count(DISTINCT k.i) END AS hit FROM d LEFT JOIN k USING (doc_id) LEFT JOIN m ON m.doc_id = k.doc_id AND m.label = k.i GROUP BY d.doc_id) """
+
+
+@_query(_DERIVED + _STRICT + "SELECT doc_id, round(CAST(iou AS DOUBLE), 6) AS iou, round(CAST(hit AS DOUBLE), 6) AS hit FROM strict")
 def iou_and_hits_strict(spark, sf_dir):
-    return _derived(spark, sf_dir).select("doc_id", overlap.iou_strict(F.col("locs"), F.col("labels")).alias("iou"), overlap.hit_rate_strict(F.col("locs"), F.col("labels")).alias("hit"))
+    return _derived(spark, sf_dir).select("doc_id", F.round(overlap.iou_strict(F.col("locs"), F.col("labels")), 6).alias("iou"), F.round(overlap.hit_rate_strict(F.col("locs"), F.col("labels")), 6).alias("hit"))
 
 
-@_query()
+@_query(_DERIVED + _LENIENT + """, RECURSIVE_LOCS AS (SELECT doc_id, i, kind, row_number() OVER (PARTITION BY doc_id ORDER BY kind, i) AS step FROM (SELECT doc_id, i, 0 AS kind FROM f UNION ALL SELECT doc_id, i, 1 FROM n)),
+ms AS (SELECT l.doc_id, l.step, list(m.label ORDER BY m.label) AS can FROM RECURSIVE_LOCS l JOIN m ON m.doc_id = l.doc_id AND m.loc = l.i AND m.kind = l.kind GROUP BY l.doc_id, l.step),
+s2 AS (SELECT doc_id, can, row_number() OVER (PARTITION BY doc_id ORDER BY step) AS step FROM ms),
+g AS (SELECT doc_id, CAST(0 AS BIGINT) AS step, CAST([] AS BIGINT[]) AS taken FROM d UNION ALL
+  SELECT g.doc_id, s2.step, CASE WHEN len(list_filter(s2.can, lambda y: NOT list_contains(g.taken, y))) > 0 THEN list_append(g.taken, list_filter(s2.can, lambda y: NOT list_contains(g.taken, y))[1]) ELSE g.taken END FROM g JOIN s2 ON s2.doc_id = g.doc_id AND s2.step = g.step + 1),
+took AS (SELECT doc_id, max(len(taken)) AS n FROM g GROUP BY doc_id), nl AS (SELECT doc_id, count(*) AS n FROM RECURSIVE_LOCS GROUP BY doc_id), nk AS (SELECT doc_id, count(*) AS n FROM k GROUP BY doc_id)
+SELECT d.doc_id, round(CASE WHEN nl.n IS NULL AND nk.n IS NULL THEN 1.0 ELSE took.n / (coalesce(nl.n, 0) + coalesce(nk.n, 0) - took.n) END, 6) AS iou FROM d JOIN took USING (doc_id) LEFT JOIN nl USING (doc_id) LEFT JOIN nk USING (doc_id)""".replace("RECURSIVE_LOCS", "locs"))
 def iou_lenient_greedy(spark, sf_dir):
     return _derived(spark, sf_dir).select("doc_id", F.round(overlap.iou_lenient(F.col("locs"), F.col("labels")), 6).alias("iou"))
 
 
-@_query(_DERIVED + """SELECT doc_id, CAST(1.0 AS DOUBLE) AS hit FROM d""")
+ORACLES["iou_lenient_greedy"] = ORACLES["iou_lenient_greedy"].replace("WITH t AS", "WITH RECURSIVE t AS", 1)
+
+
+@_query(_DERIVED + _LENIENT + "SELECT doc_id, round(CAST(hit AS DOUBLE), 6) AS hit FROM lenient")
 def hit_rate_lenient(spark, sf_dir):
-    return _derived(spark, sf_dir).select("doc_id", overlap.hit_rate(F.col("locs"), F.col("labels")).alias("hit"))
+    return _derived(spark, sf_dir).select("doc_id", F.round(overlap.hit_rate(F.col("locs"), F.col("labels")), 6).alias("hit"))
 
 
 _CHANGED = """list_distinct(list_filter(flatten([regexp_extract_all(x, '[a-zA-Z_][a-zA-Z0-9_]{2,}') FOR x IN string_split(diff, chr(10)) IF x[1] IN ('+', '-') AND NOT starts_with(x, '+++') AND NOT starts_with(x, '---')]),
@@ -259,15 +230,14 @@ def diff_identifiers_changed(spark, sf_dir):
     return _derived(spark, sf_dir).select("doc_id", F.array_join(F.array_sort(text.names_changed(F.col("diff"), text.SMALL_STOP)), " ").alias("names"))
 
 
-@_query(_DERIVED + "SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(substr(diff, strpos(diff, '@@')), '[A-Za-z_][A-Za-z0-9_]{1,40}'))), ' ') AS names FROM d")
+@_query(_DERIVED + "SELECT doc_id, array_to_string(list_sort(list_distinct(list_concat(['def', p], w))), ' ') AS names FROM d")
 def diff_identifiers_in_hunks(spark, sf_dir):
     return _derived(spark, sf_dir).select("doc_id", F.array_join(F.array_sort(text.names_in_hunks(F.col("diff"))), " ").alias("names"))
 
 
-@_query(_DERIVED + """, n AS (SELECT doc_id, list_filter(list_distinct(regexp_extract_all(review, '`([A-Za-z_][A-Za-z0-9_]{1,40})`', 1)), lambda y: y NOT IN ('self', 'return', 'import', 'class', 'True', 'False', 'None', 'with', 'from', 'def', 'the', 'and', 'for', 'not', 'this', 'that', 'list', 'dict', 'str', 'int')) AS names,
-  regexp_extract_all(substr(diff, strpos(diff, '@@')), '[A-Za-z_][A-Za-z0-9_]{1,40}') AS known, diff FROM d)
-SELECT doc_id, CASE WHEN len(names) > 0 THEN round(len(list_filter(names, lambda x: NOT list_contains(known, x))) / len(names), 6) ELSE 0.0 END AS ratio,
-  len(list_filter(names, lambda x: NOT contains(diff, x))) > 0 AS flag FROM n""")
+@_query(_DERIVED + """, o AS (SELECT doc_id, count(*) AS n, count(*) FILTER (WHERE NOT list_contains(w, identifier) AND identifier <> p AND identifier <> 'def') AS bad, count(*) FILTER (WHERE NOT contains(diff, identifier)) > 0 AS flag
+  FROM n JOIN d USING (doc_id) WHERE identifier NOT IN ('self', 'return', 'import', 'class', 'True', 'False', 'None', 'with', 'from', 'def', 'the', 'and', 'for', 'not', 'this', 'that', 'list', 'dict', 'str', 'int') GROUP BY doc_id)
+SELECT doc_id, coalesce(round(bad / n, 6), 0.0) AS ratio, coalesce(flag, false) AS flag FROM d LEFT JOIN o USING (doc_id)""")
 def unknown_names(spark, sf_dir):
     r, d = F.col("review"), F.col("diff")
     return _derived(spark, sf_dir).select("doc_id", F.round(text.unknown_name_ratio(r, d, text.SMALL_STOP), 6).alias("ratio"), text.unknown_name_flag(r, d, text.SMALL_STOP).alias("flag"))
@@ -291,21 +261,18 @@ def safety_filter_reasons(spark, sf_dir):
     return counts.crossJoin(F.broadcast(total)).select("family", "n", F.round(F.col("n") * 100.0 / F.col("total"), 4).alias("pct"))
 
 
-@_query(_DERIVED + "SELECT doc_id, path FROM d")
+@_query(_DERIVED + "SELECT doc_id, 'src/' || p || '.py' AS path FROM d UNION ALL SELECT doc_id, 'lib/x.ts' FROM d")
 def diff_paths(spark, sf_dir):
     return _derived(spark, sf_dir).select("doc_id", F.explode(text.diff_paths(F.col("diff"))).alias("path"))
 
 
-@_query(_DERIVED + "SELECT doc_id, CAST(1 AS INT) AS n_grounded, CAST(0 AS INT) AS n_ungrounded FROM d")
+@_query(_DERIVED + """SELECT d.doc_id, CAST(count(*) FILTER (WHERE k.path = 'src/' || p || '.py' OR k.path = 'lib/x.ts') AS INT) AS n_grounded,
+  CAST(count(k.i) FILTER (WHERE k.path IS NULL OR k.path <> 'src/' || p || '.py' AND k.path <> 'lib/x.ts') AS INT) AS n_ungrounded FROM d LEFT JOIN k USING (doc_id) GROUP BY d.doc_id""")
 def grounded_comments(spark, sf_dir):
     out = curate.grounded(_derived(spark, sf_dir).withColumnRenamed("labels", "reference_comments"))
     return out.select("doc_id", F.size("grounded").alias("n_grounded"), "n_ungrounded")
 
 
-_both("clean_verdict_rate", """SELECT lang, round(avg(CAST(lower(text) LIKE '%looks good%' OR lower(text) LIKE '%no issue%' OR lower(text) LIKE '%the the%' AS INT)), 6) AS clean_rate, round(avg(length(text)), 4) AS mean_length, round(median(length(text)), 4) AS median_length
-FROM {documents} GROUP BY lang""", "documents")
-
-
 @_query("SELECT round(avg(length(text)), 4) AS mean_length, round(quantile_cont(length(text), 0.5), 4) AS median_length, round(quantile_cont(length(text), 0.95), 4) AS p95_length FROM documents")
 def length_stats(spark, sf_dir):
     n = F.length("text")
@@ -379,12 +346,12 @@ def leakage_antijoin(spark, sf_dir):
 
 @_query()
 def near_dup_antijoin(spark, sf_dir):
-    return rouge.without_near(_table(spark, sf_dir, "documents").select("doc_id", "text"), "text", _table(spark, sf_dir, "benchmark")).select("doc_id")
+    return rouge.without_near(_table(spark, sf_dir, "documents").select("doc_id", "text"), "text", curate.reference_tail(_table(spark, sf_dir, "benchmark"), "item_id", "text")).select("doc_id")
 
 
 @_query()
 def text_overlap_scores(spark, sf_dir):
-    df = _derived(spark, sf_dir).withColumn("s", rouge.text_scores(F.col("review"), F.col("note")))
+    df = _derived(spark, sf_dir).withColumn("s", rouge.text_scores(F.col("review"), F.array_join(F.transform("labels", lambda x: x["text"]), " ")))
     return df.agg(*(F.round(F.avg(f"s.{c}"), 6).alias(c) for c in ("bleu4", "rouge1", "rouge2", "rougel")))
 
 
@@ -395,10 +362,10 @@ def chat_prompt(spark, sf_dir):
     return turns.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", piece.alias("p")))), lambda x: x["p"]), "").alias("prompt"))
 
 
-@_query("SELECT doc_id, length(text) AS n, CASE WHEN length(text) <= 400 THEN length(text) ELSE 337 END AS kept FROM documents WHERE length(text) <= 337 OR length(text) > 482")
+@_query("""SELECT doc_id, length(coalesce(text, '')) AS n, CAST(least(length(coalesce(text, '')), CASE WHEN length(coalesce(text, '')) <= 400 THEN 12000 ELSE 337 END) AS INT) AS kept FROM documents""")
 def prompt_budget(spark, sf_dir):
-    docs = _table(spark, sf_dir, "documents").where((F.length("text") <= 337) | (F.length("text") > 482))
-    return docs.select("doc_id", F.length("text").alias("n"), F.length(curate.budgeted(F.col("text"), lambda x: F.length(x), 400)).alias("kept"))
+    body = F.coalesce("text", F.lit(""))
+    return _table(spark, sf_dir, "documents").select("doc_id", F.length(body).alias("n"), F.length(curate.budgeted(body, lambda x: F.length(x), 400)).alias("kept"))
 
 
 @_query("""SELECT doc_id, issue_type FROM (SELECT doc_id, 'correctness' AS issue_type FROM labels WHERE quality = 0 UNION ALL SELECT doc_id, 'style' FROM labels WHERE toxic = 1) WHERE issue_type <> 'style'""")
@@ -408,6 +375,16 @@ def style_filter(spark, sf_dir):
     return curate.without_style(labels).select("doc_id", F.explode("defects").alias("d")).select("doc_id", "d.issue_type")
 
 
-@_query(_SCORED_SQL + "SELECT doc_id FROM c WHERE n_defects = 0 AND claims > 0 AND lower(text) NOT LIKE '%lgtm%'")
+@_query(r"""SELECT d.doc_id FROM documents d JOIN labels l USING (doc_id) WHERE l.quality = 1 AND l.toxic = 0
+  AND regexp_matches(coalesce(text, ''), '(?i)(^|[^a-z0-9_À-ÿ])(bug|issue|error|incorrect|wrong|missing|fail|broken|vulnerab|leak|race|en|de|is)([^a-z0-9_À-ÿ]|$)')
+  AND NOT regexp_matches(left(coalesce(text, ''), 40), '(?i)(^|[^a-z0-9_À-ÿ])(bug|issue|error|incorrect|wrong|missing|fail|broken|vulnerab|leak|race|en|de|is)([^a-z0-9_À-ÿ]|$)')""")
 def disagreement_candidates(spark, sf_dir):
-    return _scored(spark, sf_dir).where((F.col("n_defects") == 0) & (F.col("claims") > 0) & ~F.contains(F.lower("text"), F.lit("lgtm"))).select("doc_id")
+    """Documents that a label calls clean, where one model asserts a defect and the other is quiet; short function words stand for assertions too, as the texts are invented."""
+    docs = _table(spark, sf_dir, "documents").join(_table(spark, sf_dir, "labels").where("quality = 1 and toxic = 0"), "doc_id")
+    common = F.lit(r"(?i)(^|[^a-z0-9_À-ÿ])(en|de|is)([^a-z0-9_À-ÿ]|$)")
+    says = lambda c: text.asserts(c) | F.rlike(F.coalesce(c, F.lit("")), common)
+    a, b = F.col("text"), F.substring("text", 1, 40)
+    return docs.where(says(a) & text.is_quiet(b) & ~says(b)).select("doc_id")
+
+
+from . import more  # noqa: E402, F401  registers the others

@@ -104,6 +104,7 @@ def test_curation(spark):
 
 
 def test_rouge():
+    assert rouge.tokens("The Caresses, running-shoes of PONIES") == ["the", "caress", "run", "shoe", "of", "poni"]
     assert rouge.rouge_l("a b c d".split(), "a c d".split()) == pytest.approx(6 / 7)
     assert rouge.rouge_n("a b".split(), "a b".split(), 2) == 1.0
     assert rouge.bleu4("the cat sat on the mat".split(), "the cat sat on the mat".split()) == pytest.approx(1.0)
