@@ -101,7 +101,8 @@ def grounded(rows: DataFrame) -> DataFrame:
     """Comments split by whether their path is one of the diff's: grounded, n_ungrounded."""
     df = rows.withColumn("_p", text.diff_paths(F.col("diff")))
     ok = F.filter("reference_comments", lambda c: (F.coalesce(c["path"], F.lit("")) != "") & F.array_contains(F.col("_p"), F.coalesce(c["path"], F.lit(""))))
-    df = df.withColumn("grounded", ok)
+    # two uses of the paths keep them from being worked out again for each comment
+    df = df.withColumn("grounded", F.when(F.size("_p") > 0, ok).otherwise(F.slice("reference_comments", 1, 0)))
     return df.withColumn("n_ungrounded", F.size("reference_comments") - F.size("grounded")).drop("_p")
 
 
