@@ -93,7 +93,8 @@ def labelled(rows: DataFrame, classify: Callable[[str, dict], dict | None], key:
 
     call = F.pandas_udf(run, "issue_type string, canonical_desc string")
     split = curate.grounded(rows)
-    asked = split.select(key, "diff", F.posexplode("grounded").alias("_at", "_c"))
+    # an outer explode: for an inner one Spark would work the comments out once more in a filter below it
+    asked = split.select(key, "diff", F.posexplode_outer("grounded").alias("_at", "_c")).where("_at is not null")
     got = asked.withColumn("_v", call("diff", "_c")).where("_v.issue_type is not null")
     one = F.struct(F.col("_c.path").alias("path"), F.col("_c.line").cast("int").alias("line"), F.col("_v.issue_type").alias("issue_type"), F.col("_v.canonical_desc").alias("canonical_desc"))
     per = got.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_at", one.alias("d")))).alias("_l")).select(key, F.transform("_l", lambda x: x["d"]).alias("defects"))
