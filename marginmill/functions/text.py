@@ -40,10 +40,13 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 
 
+#: Any Unicode line boundary, in Java's pattern syntax.
+LINE_END = r"(?:\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029])"
+
+
 def split_lines(c: Column) -> Column:
     """Lines by any Unicode line boundary, without a last empty one."""
-    parts = F.split(c, "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]")
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+    return F.when(c == "", F.array().cast("array<string>")).otherwise(F.split(F.regexp_replace(c, LINE_END + r"\z", ""), LINE_END))
 
 
 def locations(review: Column) -> Column:
@@ -62,11 +65,9 @@ def locations(review: Column) -> Column:
 
 def names_in_hunks(diff: Column) -> Column:
     """Names of 2 to 41 letters in the hunks of a diff: hunk headers, added, removed and context lines."""
-    lines = F.filter(split_lines(F.coalesce(diff, F.lit(""))), lambda x: x != "")
-    first = F.array_position(F.transform(lines, lambda x: x.startswith("@@")), F.lit(True))
-    inside = F.when(first > 0, F.slice(lines, first.cast("int"), F.size(lines))).otherwise(F.array().cast("array<string>"))
+    hunks = F.regexp_extract(F.coalesce(diff, F.lit("")), r"(?s)(?:\A|" + LINE_END + ")(@@.*)", 1)  # from the first hunk header on
     meta = lambda x: F.rlike(x, F.lit(METADATA))
-    body = F.filter(inside, lambda x: x.startswith("@@") | (~meta(x) & F.substring(x, 1, 1).isin("+", "-", " ")))
+    body = F.filter(F.split(hunks, LINE_END), lambda x: x.startswith("@@") | (F.substring(x, 1, 1).isin("+", "-", " ") & ~meta(x)))
     return F.array_distinct(F.flatten(F.transform(body, lambda x: F.regexp_extract_all(x, F.lit(NAME_2_41), F.lit(0)))))
 
 

@@ -16,7 +16,8 @@ def _pairs(c: Column, file: str) -> Column:
 def matches(loc: Column, label: Column, tolerance: int = TOLERANCE) -> Column:
     """Same file within the tolerance of lines, or the identifier as a word of the label's text."""
     near = (loc["file"] != "") & (loc["file"] == label["path"]) & (loc["line"] != 0) & (label["line"] != 0) & (F.abs(loc["line"] - label["line"]) <= tolerance)
-    named = (loc["identifier"] != "") & F.regexp_like(F.coalesce(label["text"], F.lit("")), F.concat(F.lit(r"\b"), loc["identifier"], F.lit(r"\b")))
+    # the pattern is built only where the identifier stands in the text at all
+    named = (loc["identifier"] != "") & F.contains(F.coalesce(label["text"], F.lit("")), loc["identifier"]) & F.regexp_like(F.coalesce(label["text"], F.lit("")), F.concat(F.lit(r"\b"), loc["identifier"], F.lit(r"\b")))
     return F.coalesce(near, F.lit(False)) | F.coalesce(named, F.lit(False))
 
 

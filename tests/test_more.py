@@ -188,3 +188,13 @@ def test_salvage(spark):
     got = lambda x: tuple(one(spark, text.salvaged(F.lit(x))))
     assert got("<think>x\nConclusion: this loop never ends at all\n</think>") == (2, "this loop never ends at all")
     assert got("short") == (4, "short") and got("y" * 400) == (3, "y" * 400) and got("<think>" + "z" * 400) == (4, "z" * 300)
+
+
+def test_lines_and_hunks(spark):
+    """Lines as Python splits them; names from the first hunk header on, with odd line ends."""
+    bodies = ["", "a", "a\n", "\n", "a\n\n", "a\r\nb\rc\x0bd\u2028e\x85f", "\r\n", "x\n\r\ny\n"]
+    df = spark.createDataFrame([(b,) for b in bodies], "b string").select("b", text.split_lines(F.col("b")).alias("l"))
+    assert all(r.l == r.b.splitlines() for r in df.collect())
+    names = lambda d: sorted(one(spark, text.names_in_hunks(F.lit(d))))
+    assert names("--- a/x\n+++ b/y\nnot_in @@ here\n") == [] and names("@@ -1 @@ top\r\n+added\r\n--- gone\r\n context\nother") == ["added", "context", "top"]
+    assert names("pre\n@@ one\n@@ two\n-minus_name") == ["minus_name", "one", "two"] and names(None) == []
