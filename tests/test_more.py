@@ -198,3 +198,21 @@ def test_lines_and_hunks(spark):
     names = lambda d: sorted(one(spark, text.names_in_hunks(F.lit(d))))
     assert names("--- a/x\n+++ b/y\nnot_in @@ here\n") == [] and names("@@ -1 @@ top\r\n+added\r\n--- gone\r\n context\nother") == ["added", "context", "top"]
     assert names("pre\n@@ one\n@@ two\n-minus_name") == ["minus_name", "one", "two"] and names(None) == []
+
+
+def test_rewritten_rows(spark):
+    rows = spark.createDataFrame([("o", "new", "rewritten", None), ("o", "new", "filtered:x", None), ("o", None, "gemini_error", "e" * 300)], "output string, rewrite string, rewrite_status string, error string")
+    got = {r.rewrite_status: r for r in curate.rewritten_rows(rows).collect()}
+    assert got["rewritten"].output == "new" and got["filtered:x"].output == "o" and all(r.original_output == "o" for r in got.values())
+    assert len(got["gemini_error"]._error) == 200 and got["rewritten"]._error is None
+
+
+def test_running_status_counts(spark, tmp_path):
+    from marginmill.streaming import resume
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.json").write_text("".join(json.dumps({"status": s}) + "\n" for s in ("filtered:x", "filtered:y", "ok")))
+    counts = resume.status_counts(spark, str(tmp_path / "in"), "status string", text.status_family)
+    query = counts.writeStream.outputMode("complete").format("memory").queryName("family_counts").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert {r["family"]: r["count"] for r in spark.table("family_counts").collect()} == {"filtered": 2, "ok": 1}
