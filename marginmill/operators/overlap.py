@@ -1,11 +1,22 @@
-"""Overlap of predicted locations with labelled ones, as array expressions within a row."""
+"""Overlap of predicted locations with labelled ones within a row.
+
+Sets of pairs are array expressions. Lenient matches and hits by label would compare all locations with all
+labels in such ones, so they look labels up by path, line and word in Arrow batches, in proportion to the row.
+"""
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_left
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 TOLERANCE = 5
+#: An identifier that, where it stands as a word, is a whole run of these characters.
+WORD = "[A-Za-z0-9_]+"
 
 
 def _pairs(c: Column, file: str) -> Column:
@@ -16,9 +27,13 @@ def _pairs(c: Column, file: str) -> Column:
 def matches(loc: Column, label: Column, tolerance: int = TOLERANCE) -> Column:
     """Same file within the tolerance of lines, or the identifier as a word of the label's text."""
     near = (loc["file"] != "") & (loc["file"] == label["path"]) & (loc["line"] != 0) & (label["line"] != 0) & (F.abs(loc["line"] - label["line"]) <= tolerance)
+    return F.coalesce(near, F.lit(False)) | _named(loc, label)
+
+
+def _named(loc: Column, label: Column) -> Column:
     # the pattern is built only where the identifier stands in the text at all
     named = (loc["identifier"] != "") & F.contains(F.coalesce(label["text"], F.lit("")), loc["identifier"]) & F.regexp_like(F.coalesce(label["text"], F.lit("")), F.concat(F.lit(r"\b"), loc["identifier"], F.lit(r"\b")))
-    return F.coalesce(near, F.lit(False)) | F.coalesce(named, F.lit(False))
+    return F.coalesce(named, F.lit(False))
 
 
 def iou_strict(locs: Column, labels: Column) -> Column:
@@ -26,24 +41,102 @@ def iou_strict(locs: Column, labels: Column) -> Column:
     return F.when((F.size(p) == 0) & (F.size(q) == 0), 1.0).otherwise(F.coalesce(F.size(F.array_intersect(p, q)) / F.nullif(F.size(F.array_union(p, q)), F.lit(0)), F.lit(0.0)))
 
 
+def _joined(locs: Column, labels: Column, count: Callable[[list, list, list], int]) -> Column:
+    """count(locations as (file, line, identifier), labels as (path, line, words), labels of each identifier that is no plain word) of a row; null where either is null."""
+
+    @F.arrow_udf("int")
+    def run(found: pa.Array, wanted: pa.Array, rest: pa.Array) -> pa.Array:
+        return pa.array([None if x is None or y is None else count(x, y, _labels_of(z, len(y))) for x, y, z in zip(_rows(found, 3), _rows(wanted, 3), rest.to_pylist(), strict=True)], pa.int32())
+
+    body = lambda y: F.coalesce(y["text"], F.lit(""))
+    found = F.transform(locs, lambda x: F.struct(x["file"].alias("f"), x["line"].cast("int").alias("l"), x["identifier"].alias("n")))
+    wanted = F.transform(labels, lambda y: F.struct(y["path"].alias("f"), y["line"].cast("int").alias("l"), F.array_join(F.regexp_extract_all(body(y), F.lit(rf"\b{WORD}\b"), F.lit(0)), " ").alias("w")))
+    # identifiers of other characters are patterns, compared one by one: all pairs in one flat array, as Spark takes no lambda in a lambda as an argument of a call
+    odd = F.filter(locs, lambda x: (x["identifier"] != "") & ~F.rlike(x["identifier"], F.lit(rf"\A{WORD}\z")))
+    pairs = F.arrays_zip(F.flatten(F.transform(odd, lambda x: F.array_repeat(x, F.size(labels)))).alias("x"), F.flatten(F.array_repeat(labels, F.size(odd))).alias("y"))
+    rest = F.transform(pairs, lambda z: _named(z["x"], z["y"]))
+    return run(found, wanted, rest)
+
+
+def _rows(arrays: pa.Array, n: int) -> Iterator[list[tuple] | None]:
+    """The structs of each row as tuples of n fields."""
+    flat = list(zip(*(arrays.flatten().field(k).to_pylist() for k in range(n)), strict=True))
+    at = 0
+    for size in arrays.value_lengths().to_pylist():
+        yield None if size is None else flat[at : at + size]
+        at += size or 0
+
+
+def _labels_of(named: list[bool], n: int) -> list[list[int]]:
+    """Per identifier the labels that name it, from one flag for each of n labels."""
+    return [[i for i in range(n) if named[at + i]] for at in range(0, len(named), n)] if n else []
+
+
+_plain = re.compile(WORD).fullmatch
+
+
+def _hit(locs: list, labels: list, rest: list, tolerance: int, names: bool = True) -> int:
+    """How many labels any location matches."""
+    lines: dict[str, set | list] = {}
+    for f, n, _ in locs:
+        if f and n:
+            lines.setdefault(f, set()).add(n)
+    lines = {f: sorted(x) for f, x in lines.items()}
+    words = {x for _, _, x in locs if x} if names else set()
+    others = {i for x in rest for i in x} if names else set()
+    hits = 0
+    for i, (f, n, w) in enumerate(labels):
+        near = lines.get(f) if n else None
+        at = bisect_left(near, n - tolerance) if near else 0
+        hits += bool(near and at < len(near) and near[at] <= n + tolerance) or i in others or any(x in words for x in w.split(" "))
+    return hits
+
+
+def _taken(locs: list, labels: list, rest: list, tolerance: int) -> int:
+    """How many labels are taken when each location in order takes the first that is left and matches."""
+    by_line: dict[str, dict[int, list[int]]] = {}
+    by_word: dict[str, list[int]] = {}
+    for i in range(len(labels) - 1, -1, -1):  # the first ones stand at the ends
+        f, n, w = labels[i]
+        if f and n:
+            by_line.setdefault(f, {}).setdefault(n, []).append(i)
+        for x in {*w.split(" ")} - {""}:
+            by_word.setdefault(x, []).append(i)
+    lines = {f: sorted(x) for f, x in by_line.items()}
+    taken: set[int] = set()
+
+    def first(left: list[int]) -> int:
+        while left and left[-1] in taken:
+            left.pop()
+        return left[-1] if left else len(labels)
+
+    others = iter(rest)
+    for f, n, x in locs:
+        best = len(labels)
+        if f and n and f in lines:
+            near = lines[f]
+            at = bisect_left(near, n - tolerance)
+            while at < len(near) and near[at] <= n + tolerance:
+                best = min(best, first(by_line[f][near[at]]))
+                at += 1
+        if x:
+            best = min(best, first(by_word.get(x, [])) if _plain(x) else next((i for i in next(others, ()) if i not in taken), best))
+        if best < len(labels):
+            taken.add(best)
+    return len(taken)
+
+
 def iou_lenient(locs: Column, labels: Column, tolerance: int = TOLERANCE) -> Column:
     """Each location in order takes the first label that is left and matches."""
-    numbered = F.transform(labels, lambda x, i: F.struct(i.alias("i"), x.alias("x")))
-    taken = F.aggregate(
-        locs,
-        F.array().cast("array<int>"),
-        lambda acc, loc: F.concat(acc, F.slice(F.transform(F.filter(numbered, lambda y: ~F.array_contains(acc, y["i"]) & matches(loc, y["x"], tolerance)), lambda y: y["i"]), 1, 1)),
-    )
-    both = F.size(taken)
+    both = _joined(locs, labels, lambda x, y, z: _taken(x, y, z, tolerance))
     return F.when((F.size(locs) == 0) & (F.size(labels) == 0), 1.0).otherwise(F.coalesce(both / F.nullif(F.size(locs) + F.size(labels) - both, F.lit(0)), F.lit(0.0)))
 
 
 def hit_rate(locs: Column, labels: Column, tolerance: int = TOLERANCE) -> Column:
-    hit = F.size(F.filter(labels, lambda y: F.exists(locs, lambda x: matches(x, y, tolerance))))
+    hit = _joined(F.coalesce(locs, F.array().cast("array<struct<file: string, line: int, identifier: string>>")), labels, lambda x, y, z: _hit(x, y, z, tolerance))
     return F.when(F.size(labels) == 0, 1.0).otherwise(hit / F.nullif(F.size(labels), F.lit(0)))
 
 
 def hit_rate_strict(locs: Column, labels: Column) -> Column:
-    p = _pairs(locs, "file")
-    hit = F.size(F.filter(labels, lambda y: F.exists(p, lambda x: (x["f"] == y["path"]) & (x["l"] == y["line"]))))
+    hit = _joined(F.coalesce(locs, F.array().cast("array<struct<file: string, line: int, identifier: string>>")), labels, lambda x, y, z: _hit(x, y, z, 0, names=False))
     return F.when(F.size(labels) == 0, 1.0).otherwise(hit / F.nullif(F.size(labels), F.lit(0)))

@@ -1,8 +1,13 @@
 """Queries against their SQL on odd rows that the given tables lack, and steps that were too slow or too large."""
 
+import random
+import time
+
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
+from marginmill.operators import overlap
 from marginmill.plans import catalog
 
 from .test_queries import rows_of
@@ -27,3 +32,44 @@ def test_blank_texts(spark, odd, name):
     want = con.execute(catalog.ORACLES[name])
     cols = [c[0] for c in want.description]
     assert rows_of([tuple(r) for r in df.collect()], df.columns) == rows_of(want.fetchall(), cols)
+
+
+LABEL = "array<struct<path: string, line: int, text: string>>"
+LOC = "array<struct<file: string, line: int, identifier: string>>"
+
+
+def test_lookups_match_as_comparisons_do(spark):
+    """Against all pairs compared: both kinds in one location, repeats, nulls, zeros, identifiers that are patterns, letters beyond ASCII."""
+    rng = random.Random(3)
+    names = [None, "", "err", "a_b", "b", "x.y", "a-b", "c+", "é", "err2"]
+    words = ["err", "an error", "a_b and b", "x.y", "xzy", "a-b a_b", "éb b", "c+ c", "err2!", "", None]
+    rows = []
+    for k in range(300):
+        locs = [(rng.choice([None, "", "a", "b"]), rng.choice([None, 0, 3, 9, 20]), rng.choice(names)) for _ in range(rng.randrange(7))]
+        labels = [(rng.choice([None, "", "a", "b"]), rng.choice([None, 0, 3, 8, 12]), rng.choice(words)) for _ in range(rng.randrange(7))]
+        rows.append((k, None if k == 7 else locs, None if k == 8 else labels))
+    df = spark.createDataFrame(rows, f"k int, p {LOC}, q {LABEL}")
+    p, q = F.col("p"), F.col("q")
+    share = lambda hit: F.when(F.size(q) == 0, 1.0).otherwise(hit / F.nullif(F.size(q), F.lit(0)))
+    full = F.filter(p, lambda x: (F.coalesce(x["file"], F.lit("")) != "") & (F.coalesce(x["line"], F.lit(0)) != 0))
+    hits = share(F.size(F.filter(q, lambda y: F.exists(p, lambda x: overlap.matches(x, y)))))
+    strict = share(F.size(F.filter(q, lambda y: F.exists(full, lambda x: (x["file"] == y["path"]) & (x["line"] == y["line"])))))
+    numbered = F.transform(q, lambda x, i: F.struct(i.alias("i"), x.alias("x")))
+    taken = F.aggregate(p, F.array().cast("array<int>"), lambda acc, loc: F.concat(acc, F.slice(F.transform(F.filter(numbered, lambda y: ~F.array_contains(acc, y["i"]) & overlap.matches(loc, y["x"])), lambda y: y["i"]), 1, 1)))
+    both = F.size(taken)
+    iou = F.when((F.size(p) == 0) & (F.size(q) == 0), 1.0).otherwise(F.coalesce(both / F.nullif(F.size(p) + F.size(q) - both, F.lit(0)), F.lit(0.0)))
+    got = df.select("k", overlap.hit_rate(p, q), overlap.hit_rate_strict(p, q), overlap.iou_lenient(p, q)).orderBy("k").collect()
+    want = df.select("k", hits, strict, iou).orderBy("k").collect()
+    assert [tuple(r) for r in got] == [tuple(r) for r in want]
+
+
+@pytest.mark.parametrize("metric", ["hit_rate", "hit_rate_strict", "iou_lenient"])
+def test_overlap_of_long_rows(spark, metric):
+    """20,000 locations and labels of one row are looked up, not compared with each other."""
+    df = spark.range(1).selectExpr(
+        "transform(sequence(1, 20000), i -> named_struct('file', concat('f', i % 50), 'line', 100 * i, 'identifier', concat('n', i))) as p",
+        "transform(sequence(1, 20000), i -> named_struct('path', concat('f', i % 50), 'line', 100 * i + 50 * (i % 2), 'text', 'see it')) as q",
+    )
+    began = time.time()
+    assert df.select(getattr(overlap, metric)(F.col("p"), F.col("q"))).first()[0] == (1 / 3 if metric == "iou_lenient" else 0.5)
+    assert time.time() - began < 20
