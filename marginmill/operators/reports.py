@@ -129,7 +129,7 @@ def shape(rows: DataFrame, review: str, *by: str) -> DataFrame:
     names = F.size(F.regexp_extract_all(body, F.lit(text.TICKED_NAME), F.lit(1)))
     return rows.groupBy(*by).agg(
         F.round(F.avg(F.length(body)), 4).alias("mean_length"), F.round(F.percentile(F.length(body), F.lit(0.5)), 4).alias("median_length"),
-        F.round(F.avg(names), 4).alias("names"), share(text.says_clean(body)).alias("clean_rate"), F.count_if(body.rlike(text.LOOP)).alias("loops"),
+        F.round(F.avg(names), 4).alias("names"), share(text.says_clean(body)).alias("clean_rate"), F.count_if(text.loops(body)).alias("loops"),
     )
 
 

@@ -281,7 +281,7 @@ def length_stats(spark, sf_dir):
 
 @_query()
 def loop_detect(spark, sf_dir):
-    return _table(spark, sf_dir, "documents").select("doc_id", F.rlike("text", F.lit(text.LOOP)).alias("loops"))
+    return _table(spark, sf_dir, "documents").select("doc_id", text.loops(F.col("text")).alias("loops"))
 
 
 @_query("SELECT page_id, trim(regexp_extract(html, '(?s)<p>(.*?)</p>', 1), ' ' || chr(9) || chr(10) || chr(13)) AS block FROM pages")

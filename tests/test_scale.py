@@ -7,6 +7,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from marginmill.functions import text
 from marginmill.operators import overlap
 from marginmill.plans import catalog
 
@@ -73,3 +74,21 @@ def test_overlap_of_long_rows(spark, metric):
     began = time.time()
     assert df.select(getattr(overlap, metric)(F.col("p"), F.col("q"))).first()[0] == (1 / 3 if metric == "iou_lenient" else 0.5)
     assert time.time() - began < 20
+
+
+def test_loops_as_the_pattern_finds_them(spark):
+    """Units of all lengths, in full and one short, behind any number of characters, beyond the first plane too."""
+    rng = random.Random(5)
+    word = lambda n, letters: "".join(rng.choice(letters) for _ in range(n))
+    bodies = [None, ""] + [word(rng.randrange(400), letters) + word(n, letters) * times + word(rng.randrange(9), letters) for n in (*range(13, 84), 160) for times in (9, 10, 11) for letters in ("ab\n", "aé😀z ")]
+    df = spark.createDataFrame([(i, b) for i, b in enumerate(bodies)], "i int, b string")
+    got = df.select(text.loops(F.col("b")).alias("x"), F.rlike("b", F.lit(text.LOOP)).alias("y")).collect()
+    assert all(r.x == r.y for r in got) and len({r.x for r in got}) == 3
+
+
+def test_loops_of_long_texts(spark):
+    """No unit is tried at each of 16 million characters."""
+    df = spark.range(1).select(F.array_join(F.transform(F.sequence(F.lit(1), F.lit(500000)), lambda i: F.md5(i.cast("string"))), "").alias("b"))
+    began = time.time()
+    assert df.select(text.loops(F.col("b"))).first()[0] is False
+    assert time.time() - began < 10
