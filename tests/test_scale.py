@@ -4,12 +4,13 @@ import random
 import time
 
 import duckdb
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from marginmill.functions import text
-from marginmill.operators import overlap
-from marginmill.plans import catalog
+from marginmill.operators import hooks, overlap
+from marginmill.plans import base, catalog
 
 from .test_queries import rows_of
 
@@ -92,3 +93,25 @@ def test_loops_of_long_texts(spark):
     began = time.time()
     assert df.select(text.loops(F.col("b"))).first()[0] is False
     assert time.time() - began < 10
+
+
+def test_a_diff_goes_to_the_workers_once(spark):
+    """3000 comments on a diff of 2 MB; the ones in order, null lines as None, none of those that fail."""
+    diff = F.concat(F.lit("--- a/a.py\n+++ b/a.py\n@@ -1 +1 @@\n+"), F.repeat(F.lit("x"), 2_000_000))
+    note = "transform(sequence(1, 3000), i -> named_struct('path', if(i % 3 = 0, 'b.py', 'a.py'), 'line', nullif(cast(i as int), 1), 'text', concat('t', i)))"
+    rows = spark.range(1).select(F.lit("k").alias("instance_id"), diff.alias("diff"), F.expr(note).alias("reference_comments"))
+    seen = hooks.labelled(rows, lambda d, c: {"issue_type": "bug", "canonical_desc": f"{len(d)} {c['text']} {c['line']}"} if c["text"] != "t2" else {"issue_type": "bug"})
+    began = time.time()
+    got = seen.first()
+    assert time.time() - began < 20
+    n = 2_000_000 + len("--- a/a.py\n+++ b/a.py\n@@ -1 +1 @@\n+")
+    assert got.n_ungrounded == 1000
+    assert [(x.line, x.canonical_desc) for x in got.defects] == [(None if i == 1 else i, f"{n} t{i} {None if i == 1 else i}") for i in range(1, 3001) if i % 3 and i != 2]
+
+
+def test_python_batches_are_bounded(spark):
+    """Rows of 1 MB come to a worker a few at a time."""
+    base.table(spark, "/root/testdata/sf0.001", "documents")
+    df = spark.range(0, 40, 1, 1).select("id", F.repeat(F.lit("x"), 1_000_000).alias("b"))
+    count = F.arrow_udf(lambda b, i: pa.array([len(b)] * len(b), pa.int64()), "long")
+    assert df.select(count("b", "id").alias("n")).agg(F.max("n")).first()[0] <= 6
