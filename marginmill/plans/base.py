@@ -10,6 +10,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+#: What the Parquet reader and Arrow hold at once, in rows and bytes: Spark's defaults are for narrow rows. Settings that the session has changed stay.
+BATCHES = {
+    "spark.sql.parquet.columnarReaderBatchSize": ("4096", "512"), "spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"),
+    "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "4194304b"),
+}
+
+
 def query(sql: str | None = None):
     """Registers a function by its name, with its SQL if there is one."""
 
@@ -23,4 +30,7 @@ def query(sql: str | None = None):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    for key, (default, ours) in BATCHES.items():
+        if spark.conf.get(key) == default:
+            spark.conf.set(key, ours)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
