@@ -19,9 +19,10 @@ def conditional_means(rows: DataFrame, *by: str) -> DataFrame:
     )
 
 
-def with_default(rows: DataFrame, *columns: str) -> DataFrame:
-    """Means over all rows, 0.0 for none."""
-    return rows.agg(*(F.coalesce(F.round(F.avg(c), 6), F.lit(0.0)).alias(c) for c in columns))
+def with_default(rows: DataFrame, *columns: str, count: str | None = None) -> DataFrame:
+    """Means over all rows, 0.0 for none; count names a column of their number before them."""
+    n = [F.count("*").alias(count)] if count else []
+    return rows.agg(*n, *(F.coalesce(F.round(F.avg(c), 6), F.lit(0.0)).alias(c) for c in columns))
 
 
 def paired_deltas(a: DataFrame, b: DataFrame, key: str, order: str | None = None) -> DataFrame:

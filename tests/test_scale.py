@@ -115,3 +115,10 @@ def test_python_batches_are_bounded(spark):
     df = spark.range(0, 40, 1, 1).select("id", F.repeat(F.lit("x"), 1_000_000).alias("b"))
     count = F.arrow_udf(lambda b, i: pa.array([len(b)] * len(b), pa.int64()), "long")
     assert df.select(count("b", "id").alias("n")).agg(F.max("n")).first()[0] <= 6
+
+
+def test_means_read_their_tables_once(spark):
+    """No union and no join of the predictions with themselves, which would derive every diff anew."""
+    df = catalog.QUERIES["means_with_default"](spark, "/root/testdata/sf0.001")
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [doc_id") == 2  # documents and labels
