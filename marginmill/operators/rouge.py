@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import Counter, defaultdict
+from collections.abc import Iterator
+from itertools import count
 from math import exp, log
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -59,11 +62,56 @@ def bleu4(reference: list[str], guess: list[str]) -> float:
     return exp(min(0.0, 1 - len(reference) / len(guess)) + logs)
 
 
+def _codes(words: list[str], ids: dict[str, int]) -> np.ndarray:
+    return np.fromiter(map(ids.__getitem__, words), np.int64, len(words))
+
+
+def _overlaps(a: np.ndarray, b: np.ndarray, orders: int) -> Iterator[tuple[int, int, int]]:
+    """Common n-grams, those of a and those of b, all with repeats, for n from 1 on."""
+    ones, n = pd.factorize(np.concatenate([a, b]))[0], len(a)
+    x, y = first, second = ones[:n], ones[n:]
+    width = int(ones.max(initial=-1)) + 1
+    kinds = width
+    for k in range(1, orders + 1):
+        if k > 1:
+            x, y = x[:-1] * width + first[k - 1 :], y[:-1] * width + second[k - 1 :]
+            both = pd.factorize(np.concatenate([x, y]))[0]
+            x, y, kinds = both[: len(x)], both[len(x) :], int(both.max(initial=-1)) + 1
+        yield int(np.minimum(np.bincount(x, minlength=kinds), np.bincount(y, minlength=kinds)).sum()), len(x), len(y)
+
+
+def _bleu4(reference: np.ndarray, guess: np.ndarray) -> float:
+    """bleu4 over numbered words."""
+    if not len(guess):
+        return 0.0
+    logs = 0.0
+    for n, (hits, total, _) in enumerate(_overlaps(guess, reference, 4), 1):
+        if n == 1 and not hits:
+            return 0.0
+        logs += log((hits or 0.1) / max(1, total)) / 4
+    return exp(min(0.0, 1 - len(reference) / len(guess)) + logs)
+
+
+def _rouge_l(a: np.ndarray, b: np.ndarray) -> float:
+    """rouge_l over numbered words: only words of both can be in the common subsequence, and its rows are those of the shorter text."""
+    ones = pd.factorize(np.concatenate([a, b]))[0]
+    x, y = ones[: len(a)], ones[len(a) :]
+    kinds = int(ones.max(initial=-1)) + 1
+    shared = (np.bincount(x, minlength=kinds) > 0) & (np.bincount(y, minlength=kinds) > 0)
+    x, y = x[shared[x]], y[shared[y]]
+    both = lcs(*sorted((x.tolist(), y.tolist()), key=len, reverse=True))
+    return 2 * both / (len(a) + len(b)) if both else 0.0
+
+
 def _scores(guess: pd.Series, reference: pd.Series) -> pd.DataFrame:
+    words, plain, stems = (defaultdict(count().__next__) for _ in range(3))
+    pairs = [(_codes(tokens(r, stem=False), plain), _codes(tokens(g, stem=False), plain)) for g, r in zip(guess, reference, strict=True)]
+    stem_of = np.array([stems[stemmer.stem(w) if len(w) > 3 else w] for w in plain], np.int64)  # each word of the batch once
     out = []
-    for g, r in zip(guess, reference, strict=True):
-        a, b = tokens(r), tokens(g)
-        out.append((bleu4((r or "").split(), (g or "").split()), rouge_n(a, b, 1), rouge_n(a, b, 2), rouge_l(a, b)))
+    for g, r, (x, y) in zip(guess, reference, pairs, strict=True):
+        a, b = stem_of[x], stem_of[y]
+        n = [2 * hits / (p + q) if p + q else 0.0 for hits, p, q in _overlaps(a, b, 2)]
+        out.append((_bleu4(_codes((r or "").split(), words), _codes((g or "").split(), words)), *n, _rouge_l(a, b)))
     return pd.DataFrame(out, columns=["bleu4", "rouge1", "rouge2", "rougel"])
 
 

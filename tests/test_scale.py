@@ -4,12 +4,13 @@ import random
 import time
 
 import duckdb
+import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from marginmill.functions import text
-from marginmill.operators import hooks, overlap
+from marginmill.operators import hooks, overlap, rouge, stemmer
 from marginmill.plans import base, catalog
 
 from .test_queries import rows_of
@@ -122,3 +123,23 @@ def test_means_read_their_tables_once(spark):
     df = catalog.QUERIES["means_with_default"](spark, "/root/testdata/sf0.001")
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Relation [doc_id") == 2  # documents and labels
+
+
+def test_numbered_scores_are_those_of_words(spark):
+    """Exactly, for texts with none, one and few words, shared and not, nulls, other case and endings."""
+    rng = random.Random(9)
+    words = ["running", "Runs", "ran", "a", "b", "c-d", "naïve", "--", "relational", "sky", "skies", "x1"]
+    texts = [None, "", "--", "a", "a b", "a b c-d"] + [" ".join(rng.choice(words) for _ in range(rng.randrange(40))) for _ in range(200)]
+    pairs = [(rng.choice(texts), r) for r in texts for _ in range(3)]
+    got = rouge._scores(*(pd.Series(x, dtype=object) for x in zip(*pairs, strict=True)))
+    for (g, r), row in zip(pairs, got.itertuples(index=False), strict=True):
+        a, b = rouge.tokens(r), rouge.tokens(g)
+        assert tuple(row) == (rouge.bleu4((r or "").split(), (g or "").split()), rouge.rouge_n(a, b, 1), rouge.rouge_n(a, b, 2), rouge.rouge_l(a, b))
+
+
+def test_a_batch_stems_each_word_once(spark, monkeypatch):
+    """However often it stands there, and however small the cache of stems is."""
+    seen = []
+    monkeypatch.setattr(stemmer, "stem", lambda w: seen.append(w) or w[:3])
+    rouge._scores(pd.Series(["word other word"] * 50), pd.Series(["word third"] * 50))
+    assert sorted(seen) == ["other", "third", "word"]
