@@ -10,7 +10,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Fixed values (patterns and phrases that results depend on).
-FILE_LINE = r"`([A-Za-z0-9_./\-]+\.(?:py|js|jsx|ts|tsx|java|go|rb|c|cpp|h|hpp|rs))(?::(\d+))?`"
+PLACE = r"`([A-Za-z0-9_./\-]+\.(?:py|js|jsx|ts|tsx|java|go|rb|c|cpp|h|hpp|rs)(?::\d+)?)`"
+#: From a backtick to the last one that characters of PLACE and TICKED_NAME lead to.
+TICKED = r"`[A-Za-z0-9_./:\-`]*`"
 TICKED_NAME = r"`([A-Za-z_][A-Za-z0-9_]{1,40})`"
 NAME_3 = r"\b[a-zA-Z_][a-zA-Z0-9_]{2,}\b"
 NAME_2_41 = r"[A-Za-z_][A-Za-z0-9_]{1,40}"
@@ -59,16 +61,20 @@ def split_lines(c: Column) -> Column:
 
 def locations(review: Column) -> Column:
     """Distinct (file, line, identifier) of backticked paths, then of backticked names of 3 letters or more."""
-    body = F.coalesce(review, F.lit(""))
-    files = F.regexp_extract_all(body, F.lit(FILE_LINE), F.lit(1))
-    numbers = F.regexp_extract_all(body, F.lit(FILE_LINE), F.lit(2))
-    found = F.transform(
-        F.arrays_zip(files.alias("f"), numbers.alias("n")),
-        lambda z: F.struct(z["f"].alias("file"), F.nullif(z["n"], F.lit("")).try_cast("int").alias("line"), F.lit(None).cast("string").alias("identifier")),
-    )
-    names = F.filter(F.array_except(F.regexp_extract_all(body, F.lit(TICKED_NAME), F.lit(1)), files), lambda x: F.length(x) >= 3)
+    # each pass runs over the ticked parts alone: no place or name reaches beyond one
+    ticked = F.array_join(F.regexp_extract_all(F.coalesce(review, F.lit("")), F.lit(TICKED), F.lit(0)), " ")
+    return F.get(F.transform(F.array(ticked), _ticked_locations), F.lit(0))  # a variable, so that the parts are found once
+
+
+def _ticked_locations(body: Column) -> Column:
+    number = lambda x: F.nullif(F.split_part(x, F.lit(":"), F.lit(2)), F.lit("")).try_cast("int")
+    file = lambda x: F.split_part(x, F.lit(":"), F.lit(1))
+    # as strings, which are told apart by a hash and not by pairs; paths have no colon
+    places = F.array_distinct(F.transform(F.regexp_extract_all(body, F.lit(PLACE), F.lit(1)), lambda x: F.concat_ws(":", file(x), number(x).cast("string"))))
+    found = F.transform(places, lambda x: F.struct(file(x).alias("file"), number(x).alias("line"), F.lit(None).cast("string").alias("identifier")))
+    names = F.filter(F.array_distinct(F.regexp_extract_all(body, F.lit(TICKED_NAME), F.lit(1))), lambda x: F.length(x) >= 3)
     single = F.transform(names, lambda x: F.struct(F.lit(None).cast("string").alias("file"), F.lit(None).cast("int").alias("line"), x.alias("identifier")))
-    return F.concat(F.array_distinct(found), single)
+    return F.concat(found, single)
 
 
 def names_in_hunks(diff: Column) -> Column:

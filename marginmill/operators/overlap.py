@@ -20,8 +20,9 @@ WORD = "[A-Za-z0-9_]+"
 
 
 def _pairs(c: Column, file: str) -> Column:
+    """Distinct pairs as strings, which are told apart by a hash and not by comparison with each other."""
     full = F.filter(c, lambda x: (F.coalesce(x[file], F.lit("")) != "") & (F.coalesce(x["line"], F.lit(0)) != 0))
-    return F.array_distinct(F.transform(full, lambda x: F.struct(x[file].alias("f"), x["line"].cast("int").alias("l"))))
+    return F.array_distinct(F.transform(full, lambda x: F.concat_ws(":", x["line"].cast("int").cast("string"), x[file])))
 
 
 def matches(loc: Column, label: Column, tolerance: int = TOLERANCE) -> Column:
@@ -38,105 +39,133 @@ def _named(loc: Column, label: Column) -> Column:
 
 def iou_strict(locs: Column, labels: Column) -> Column:
     p, q = _pairs(locs, "file"), _pairs(labels, "path")
-    return F.when((F.size(p) == 0) & (F.size(q) == 0), 1.0).otherwise(F.coalesce(F.size(F.array_intersect(p, q)) / F.nullif(F.size(F.array_union(p, q)), F.lit(0)), F.lit(0.0)))
+    sizes = F.transform(F.array(F.struct(p.alias("p"), q.alias("q"))), lambda z: F.struct(F.size(z["p"]).alias("p"), F.size(z["q"]).alias("q"), F.size(F.array_intersect(z["p"], z["q"])).alias("both")))
+    return F.get(F.transform(sizes, lambda n: _iou(n["p"], n["q"], n["both"])), F.lit(0))  # variables, so that the pairs are made once
 
 
-def _joined(locs: Column, labels: Column, count: Callable[[list, list, list], int]) -> Column:
-    """count(locations as (file, line, identifier), labels as (path, line, words), labels of each identifier that is no plain word) of a row; null where either is null."""
+def _iou(p: Column, q: Column, both: Column) -> Column:
+    return F.when((p == 0) & (q == 0), 1.0).otherwise(F.coalesce(both / F.nullif(p + q - both, F.lit(0)), F.lit(0.0)))
 
-    @F.arrow_udf("int")
-    def run(found: pa.Array, wanted: pa.Array, rest: pa.Array) -> pa.Array:
-        return pa.array([None if x is None or y is None else count(x, y, _labels_of(z, len(y))) for x, y, z in zip(_rows(found, 3), _rows(wanted, 3), rest.to_pylist(), strict=True)], pa.int32())
 
-    body = lambda y: F.coalesce(y["text"], F.lit(""))
-    found = F.transform(locs, lambda x: F.struct(x["file"].alias("f"), x["line"].cast("int").alias("l"), x["identifier"].alias("n")))
-    wanted = F.transform(labels, lambda y: F.struct(y["path"].alias("f"), y["line"].cast("int").alias("l"), F.array_join(F.regexp_extract_all(body(y), F.lit(rf"\b{WORD}\b"), F.lit(0)), " ").alias("w")))
+def _joined(locs: Column, labels: Column, count: Callable[..., tuple], fields: str) -> Column:
+    """Numbers (struct of fields) that count(files, lines, identifiers of the locations; paths, lines, words of the labels; labels of each identifier that is no plain word) finds in a row; null where either is null."""
+    width = fields.count(":")
+
+    @F.arrow_udf(f"struct<{fields}>")
+    def run(file: pa.Array, line: pa.Array, name: pa.Array, path: pa.Array, at: pa.Array, body: pa.Array, rest: pa.Array) -> pa.Array:
+        bodies = _flat(body)
+        words = {t: _words(t) for t in set(bodies)}
+        locations = _rows(file, _flat(file), [n or 0 for n in _flat(line)], _flat(name))
+        wanted = _rows(path, _flat(path), [n or 0 for n in _flat(at)], [words[t] for t in bodies])
+        out = [None if x is None or y is None else count(*x, *y, _labels_of(z, len(y[0]))) for x, y, z in zip(locations, wanted, rest.to_pylist(), strict=True)]
+        return pa.StructArray.from_arrays([pa.array([x and x[k] for x in out], pa.int32()) for k in range(width)], [f.split(":")[0].strip() for f in fields.split(",")])
+
+    text = lambda y: F.coalesce(y["text"], F.lit(""))
+    # texts of ASCII characters alone have the same words in Python
+    bodies = F.transform(labels, lambda y: F.when(F.octet_length(text(y)) == F.length(text(y)), text(y)).otherwise(F.array_join(F.regexp_extract_all(text(y), F.lit(rf"\b{WORD}\b"), F.lit(0)), " ")))
     # identifiers of other characters are patterns, compared one by one: all pairs in one flat array, as Spark takes no lambda in a lambda as an argument of a call
     odd = F.filter(locs, lambda x: (x["identifier"] != "") & ~F.rlike(x["identifier"], F.lit(rf"\A{WORD}\z")))
     pairs = F.arrays_zip(F.flatten(F.transform(odd, lambda x: F.array_repeat(x, F.size(labels)))).alias("x"), F.flatten(F.array_repeat(labels, F.size(odd))).alias("y"))
-    rest = F.transform(pairs, lambda z: _named(z["x"], z["y"]))
-    return run(found, wanted, rest)
+    rest = F.when(F.rlike(F.array_join(locs["identifier"], ""), F.lit("[^A-Za-z0-9_]")), F.transform(pairs, lambda z: _named(z["x"], z["y"])))
+    return run(locs["file"], locs["line"].cast("array<int>"), locs["identifier"], labels["path"], labels["line"].cast("array<int>"), bodies, rest)
+
 
+def _flat(arrays: pa.Array) -> list:
+    """The elements of all rows."""
+    flat = arrays.flatten()
+    if pa.types.is_integer(flat.type):
+        return flat.fill_null(0).to_numpy(zero_copy_only=False).tolist()
+    return flat.to_numpy(zero_copy_only=False).tolist()
 
-def _rows(arrays: pa.Array, n: int) -> Iterator[list[tuple] | None]:
-    """The structs of each row as tuples of n fields."""
-    flat = list(zip(*(arrays.flatten().field(k).to_pylist() for k in range(n)), strict=True))
+
+def _rows(arrays: pa.Array, *flat: list) -> Iterator[tuple[list, ...] | None]:
+    """The parts of flat lists that belong to each row, None for null."""
     at = 0
     for size in arrays.value_lengths().to_pylist():
-        yield None if size is None else flat[at : at + size]
+        yield None if size is None else tuple(x[at : at + size] for x in flat)
         at += size or 0
 
 
-def _labels_of(named: list[bool], n: int) -> list[list[int]]:
+def _labels_of(named: list[bool] | None, n: int) -> list[list[int]]:
     """Per identifier the labels that name it, from one flag for each of n labels."""
-    return [[i for i in range(n) if named[at + i]] for at in range(0, len(named), n)] if n else []
+    return [[i for i in range(n) if named[at + i]] for at in range(0, len(named), n)] if n and named else []
 
 
 _plain = re.compile(WORD).fullmatch
+_words = re.compile(WORD).findall
 
 
-def _hit(locs: list, labels: list, rest: list, tolerance: int, names: bool = True) -> int:
+def _hit(files: list, lines: list, names: list, paths: list, at: list, words: list, rest: list, tolerance: int, by_name: bool = True) -> int:
     """How many labels any location matches."""
-    lines: dict[str, set | list] = {}
-    for f, n, _ in locs:
+    places: dict[str, set | list] = {}
+    for f, n in zip(files, lines, strict=True):
         if f and n:
-            lines.setdefault(f, set()).add(n)
-    lines = {f: sorted(x) for f, x in lines.items()}
-    words = {x for _, _, x in locs if x} if names else set()
-    others = {i for x in rest for i in x} if names else set()
+            places.setdefault(f, set()).add(n)
+    places = {f: sorted(x) for f, x in places.items()}
+    named = {x for x in names if x} if by_name else set()
+    others = {i for x in rest for i in x} if by_name else set()
     hits = 0
-    for i, (f, n, w) in enumerate(labels):
-        near = lines.get(f) if n else None
-        at = bisect_left(near, n - tolerance) if near else 0
-        hits += bool(near and at < len(near) and near[at] <= n + tolerance) or i in others or any(x in words for x in w.split(" "))
+    for i, (f, n, w) in enumerate(zip(paths, at, words, strict=True)):
+        near = places.get(f) if n else None
+        k = bisect_left(near, n - tolerance) if near else 0
+        hits += bool(near and k < len(near) and near[k] <= n + tolerance) or i in others or not named.isdisjoint(w)
     return hits
 
 
-def _taken(locs: list, labels: list, rest: list, tolerance: int) -> int:
+def _taken(files: list, lines: list, names: list, paths: list, at: list, words: list, rest: list, tolerance: int) -> int:
     """How many labels are taken when each location in order takes the first that is left and matches."""
     by_line: dict[str, dict[int, list[int]]] = {}
-    by_word: dict[str, list[int]] = {}
-    for i in range(len(labels) - 1, -1, -1):  # the first ones stand at the ends
-        f, n, w = labels[i]
-        if f and n:
+    by_word: dict[str, list[int]] = {x: [] for x in names if x}
+    wanted = by_word.keys()
+    known = {f for f in files if f}
+    for i in range(len(paths) - 1, -1, -1):  # the first ones stand at the ends
+        f, n = paths[i], at[i]
+        if n and f in known:
             by_line.setdefault(f, {}).setdefault(n, []).append(i)
-        for x in {*w.split(" ")} - {""}:
-            by_word.setdefault(x, []).append(i)
-    lines = {f: sorted(x) for f, x in by_line.items()}
+        if not wanted.isdisjoint(words[i]):
+            for x in wanted & words[i]:
+                by_word[x].append(i)
+    places = {f: sorted(x) for f, x in by_line.items()}
     taken: set[int] = set()
 
     def first(left: list[int]) -> int:
         while left and left[-1] in taken:
             left.pop()
-        return left[-1] if left else len(labels)
+        return left[-1] if left else len(paths)
 
     others = iter(rest)
-    for f, n, x in locs:
-        best = len(labels)
-        if f and n and f in lines:
-            near = lines[f]
-            at = bisect_left(near, n - tolerance)
-            while at < len(near) and near[at] <= n + tolerance:
-                best = min(best, first(by_line[f][near[at]]))
-                at += 1
+    for f, n, x in zip(files, lines, names, strict=True):
+        best = len(paths)
+        if n and f in places:
+            near = places[f]
+            k = bisect_left(near, n - tolerance)
+            while k < len(near) and near[k] <= n + tolerance:
+                best = min(best, first(by_line[f][near[k]]))
+                k += 1
         if x:
-            best = min(best, first(by_word.get(x, [])) if _plain(x) else next((i for i in next(others, ()) if i not in taken), best))
-        if best < len(labels):
+            best = min(best, first(by_word[x]) if _plain(x) else next((i for i in next(others, ()) if i not in taken), best))
+        if best < len(paths):
             taken.add(best)
     return len(taken)
 
 
 def iou_lenient(locs: Column, labels: Column, tolerance: int = TOLERANCE) -> Column:
     """Each location in order takes the first label that is left and matches."""
-    both = _joined(locs, labels, lambda x, y, z: _taken(x, y, z, tolerance))
-    return F.when((F.size(locs) == 0) & (F.size(labels) == 0), 1.0).otherwise(F.coalesce(both / F.nullif(F.size(locs) + F.size(labels) - both, F.lit(0)), F.lit(0.0)))
+    both = _joined(locs, labels, lambda *x: (_taken(*x, tolerance),), "n: int")["n"]
+    return _iou(F.size(locs), F.size(labels), both)
 
 
-def hit_rate(locs: Column, labels: Column, tolerance: int = TOLERANCE) -> Column:
-    hit = _joined(F.coalesce(locs, F.array().cast("array<struct<file: string, line: int, identifier: string>>")), labels, lambda x, y, z: _hit(x, y, z, tolerance))
+def _some(locs: Column) -> Column:
+    return F.coalesce(locs, F.array().cast("array<struct<file: string, line: int, identifier: string>>"))
+
+
+def _share(hit: Column, labels: Column) -> Column:
     return F.when(F.size(labels) == 0, 1.0).otherwise(hit / F.nullif(F.size(labels), F.lit(0)))
 
 
+def hit_rate(locs: Column, labels: Column, tolerance: int = TOLERANCE) -> Column:
+    return _share(_joined(_some(locs), labels, lambda *x: (_hit(*x, tolerance),), "n: int")["n"], labels)
+
+
 def hit_rate_strict(locs: Column, labels: Column) -> Column:
-    hit = _joined(F.coalesce(locs, F.array().cast("array<struct<file: string, line: int, identifier: string>>")), labels, lambda x, y, z: _hit(x, y, z, 0, names=False))
-    return F.when(F.size(labels) == 0, 1.0).otherwise(hit / F.nullif(F.size(labels), F.lit(0)))
+    return _share(_joined(_some(locs), labels, lambda *x: (_hit(*x, 0, by_name=False),), "n: int")["n"], labels)

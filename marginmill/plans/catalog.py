@@ -160,8 +160,8 @@ _DERIVED_SQL = """SELECT doc_id, lang, n_chars, source, text, w,
   array_join(transform(w, (x, i) -> CASE WHEN i % 19 = 0 THEN concat('`', x, '`') WHEN i % 31 = 7 THEN concat('`src/', x, '.py:', CAST(i % 40 AS STRING), '`') WHEN i % 37 = 5 THEN concat('the `', x, '_zz` function') ELSE x END), ' ') AS review,
   concat('--- a/src/', p, '.py', chr(10), '+++ b/src/', p, '.py', chr(10), '@@ -1,', CAST(size(w) AS STRING), ' @@ def ', p, chr(10),
     array_join(transform(w, (x, i) -> concat(CASE i % 3 WHEN 0 THEN '+' WHEN 1 THEN '-' ELSE ' ' END, x)), chr(10)), chr(10), 'diff --git a/lib/x.ts b/lib/x.ts', chr(10), '--- a/lib/x.ts', chr(10), '+++ /dev/null') AS diff,
-  transform(filter(transform(w, (x, i) -> struct(i AS i, x AS x, coalesce(try_element_at(w, i + 2), '') AS y)), z -> z.i % 29 = 0),
-    z -> struct(CASE WHEN z.i % 87 <> 58 THEN concat('src/', z.x, '.py') END AS path, CAST(z.i % 40 + z.i % 9 - 4 AS INT) AS line, concat('see ', z.y) AS text)) AS labels
+  transform(filter(sequence(0, size(w), 29), i -> i < size(w)),
+    i -> struct(CASE WHEN i % 87 <> 58 THEN concat('src/', w[i], '.py') END AS path, CAST(i % 40 + i % 9 - 4 AS INT) AS line, concat('see ', coalesce(try_element_at(w, i + 2), '')) AS text)) AS labels
 FROM (SELECT *, coalesce(try_element_at(w, 1), 'none') AS p FROM {docs})"""
 
 _DERIVED = """WITH t AS (SELECT *, regexp_extract_all(coalesce(text, ''), '[A-Za-z_][A-Za-z0-9_]{2,20}') AS w FROM documents),

@@ -1,6 +1,7 @@
 """Queries against their SQL on odd rows that the given tables lack, and steps that were too slow or too large."""
 
 import random
+import re
 import time
 
 import duckdb
@@ -143,3 +144,35 @@ def test_a_batch_stems_each_word_once(spark, monkeypatch):
     monkeypatch.setattr(stemmer, "stem", lambda w: seen.append(w) or w[:3])
     rouge._scores(pd.Series(["word other word"] * 50), pd.Series(["word third"] * 50))
     assert sorted(seen) == ["other", "third", "word"]
+
+
+def test_locations_are_those_of_the_whole_review(spark):
+    """Against both patterns over the whole text: shared backticks, places within places, numbers that are equal or too large, letters beyond ASCII."""
+    rng = random.Random(7)
+    parts = ["`", "`", "a.py", "b/c.ts", ":7", ":07", ":99999999999", "name", "_x1", "é", " ", "\n", "-", ".", ":", "ab", "`a.py:7`", "`name`"]
+    bodies = [None, ""] + ["".join(rng.choice(parts) for _ in range(rng.randrange(40))) for _ in range(600)]
+    df = spark.createDataFrame([(i, b) for i, b in enumerate(bodies)], "i int, b string")
+    got = df.select("b", text.locations(F.col("b")).alias("x")).collect()
+    for body, found in got:
+        places = [(f, int(n) if n and int(n) < 2**31 else None, None) for f, n in re.findall(r"`([A-Za-z0-9_./\-]+\.(?:py|js|jsx|ts|tsx|java|go|rb|c|cpp|h|hpp|rs))(?::([0-9]+))?`", body or "")]
+        names = [(None, None, x) for x in re.findall(r"`([A-Za-z_][A-Za-z0-9_]{1,40})`", body or "") if len(x) > 2]
+        assert [tuple(x) for x in found] == list(dict.fromkeys(places + names))
+
+
+def test_locations_of_long_reviews(spark):
+    """30,000 places of one review are told apart by a hash, not by pairs."""
+    df = spark.range(1).select(F.array_join(F.transform(F.sequence(F.lit(1), F.lit(30000)), lambda i: F.concat(F.lit("see `src/a"), i.cast("string"), F.lit(".py:3` "))), "").alias("b"))
+    began = time.time()
+    assert df.select(F.size(text.locations(F.col("b")))).first()[0] == 30000
+    assert time.time() - began < 15
+
+
+def test_strict_overlap_of_long_rows(spark):
+    """20,000 pairs of each side are told apart by a hash."""
+    df = spark.range(1).selectExpr(
+        "transform(sequence(1, 20000), i -> named_struct('file', concat('f', i % 50), 'line', i, 'identifier', '')) as p",
+        "transform(sequence(1, 20000), i -> named_struct('path', concat('f', i % 50), 'line', i + 50, 'text', '')) as q",
+    )
+    began = time.time()
+    assert df.select(overlap.iou_strict(F.col("p"), F.col("q"))).first()[0] == 19950 / 20050
+    assert time.time() - began < 10
