@@ -10,6 +10,8 @@ from math import exp, log
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -62,56 +64,103 @@ def bleu4(reference: list[str], guess: list[str]) -> float:
     return exp(min(0.0, 1 - len(reference) / len(guess)) + logs)
 
 
-def _codes(words: list[str], ids: dict[str, int]) -> np.ndarray:
-    return np.fromiter(map(ids.__getitem__, words), np.int64, len(words))
+#: Pairs are scored together up to so many characters, a longer one alone.
+SLICE = 1 << 19
+_LETTERS = bytes(c if chr(c) in "abcdefghijklmnopqrstuvwxyz0123456789" else 32 for c in range(256))
+_SPACES = bytes(32 if 28 <= c < 32 else c for c in range(256))  # white space to Python and not to Arrow
 
 
-def _overlaps(a: np.ndarray, b: np.ndarray, orders: int) -> Iterator[tuple[int, int, int]]:
-    """Common n-grams, those of a and those of b, all with repeats, for n from 1 on."""
-    ones, n = pd.factorize(np.concatenate([a, b]))[0], len(a)
-    x, y = first, second = ones[:n], ones[n:]
-    width = int(ones.max(initial=-1)) + 1
-    kinds = width
-    for k in range(1, orders + 1):
-        if k > 1:
-            x, y = x[:-1] * width + first[k - 1 :], y[:-1] * width + second[k - 1 :]
-            both = pd.factorize(np.concatenate([x, y]))[0]
-            x, y, kinds = both[: len(x)], both[len(x) :], int(both.max(initial=-1)) + 1
-        yield int(np.minimum(np.bincount(x, minlength=kinds), np.bincount(y, minlength=kinds)).sum()), len(x), len(y)
+def _plain(body: str | None) -> bytes:
+    """The words of tokens without stems, between spaces."""
+    return (body or "").lower().encode().translate(_LETTERS)
+
+
+def _spaced(body: str | None) -> bytes:
+    """The words of split, between white space of ASCII."""
+    body = body or ""
+    return body.encode().translate(_SPACES) if body.isascii() else " ".join(body.split()).encode()
+
+
+class _Stems(dict):
+    """The number of each word's stem; each word is stemmed once."""
+
+    def __init__(self):
+        self.ids = defaultdict(count().__next__)
+
+    def __missing__(self, word: str) -> int:
+        self[word] = out = self.ids[stemmer.stem(word) if len(word) > 3 else word]
+        return out
+
+
+def _numbered(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Numbers of all words, how many each text has, and the words."""
+    trimmed = pc.ascii_trim_whitespace(pa.array(texts, pa.large_string()))
+    split = pc.ascii_split_whitespace(trimmed)
+    found = split.flatten().dictionary_encode()
+    sizes, full = split.value_lengths().to_numpy(), pc.binary_length(trimmed).to_numpy() > 0  # an empty text has one empty word
+    return found.indices.to_numpy().astype(np.int64)[np.repeat(full, sizes)], np.where(full, sizes, 0), found.dictionary
 
 
-def _bleu4(reference: np.ndarray, guess: np.ndarray) -> float:
-    """bleu4 over numbered words."""
-    if not len(guess):
+def _common(words: np.ndarray, sizes: np.ndarray, orders: int) -> Iterator[tuple[list[int], list[int], list[int], np.ndarray]]:
+    """For n from 1 on: common n-grams of each pair, those of its two texts, all with repeats, and where the common ones begin. sizes: words of all first texts, then of all second ones."""
+    n, ends = len(sizes) // 2, np.cumsum(sizes)
+    text = np.repeat(np.arange(len(sizes)), sizes)
+    row, left = text % max(n, 1), ends[text] - np.arange(len(words))
+    split, width = int(sizes[:n].sum()), int(words.max(initial=0)) + 1
+    at, kind = np.arange(len(words)), row
+    for k in range(1, orders + 1):
+        whole = left[at] >= k
+        at, kind = at[whole], kind[whole]
+        kind = pd.factorize(kind * width + words[at + k - 1])[0]
+        kinds, first = int(kind.max(initial=-1)) + 1, at < split
+        both = np.minimum(np.bincount(kind[first], minlength=kinds), np.bincount(kind[~first], minlength=kinds))
+        of = np.zeros(kinds, np.int64)
+        of[kind] = row[at]
+        shared = both[kind] > 0  # a longer n-gram of both texts begins with one of both
+        at, kind = at[shared], kind[shared]
+        total = np.maximum(sizes - (k - 1), 0).tolist()
+        yield np.bincount(of, weights=both, minlength=n).astype(np.int64).tolist(), total[:n], total[n:], at
+
+
+def _bleu4(counts: list[tuple[int, int]], reference: int, guess: int) -> float:
+    """bleu4 of hits and n-grams of the guess for each n, and of the words of both texts."""
+    if not guess or not counts[0][0]:
         return 0.0
     logs = 0.0
-    for n, (hits, total, _) in enumerate(_overlaps(guess, reference, 4), 1):
-        if n == 1 and not hits:
-            return 0.0
+    for hits, total in counts:
         logs += log((hits or 0.1) / max(1, total)) / 4
-    return exp(min(0.0, 1 - len(reference) / len(guess)) + logs)
-
-
-def _rouge_l(a: np.ndarray, b: np.ndarray) -> float:
-    """rouge_l over numbered words: only words of both can be in the common subsequence, and its rows are those of the shorter text."""
-    ones = pd.factorize(np.concatenate([a, b]))[0]
-    x, y = ones[: len(a)], ones[len(a) :]
-    kinds = int(ones.max(initial=-1)) + 1
-    shared = (np.bincount(x, minlength=kinds) > 0) & (np.bincount(y, minlength=kinds) > 0)
-    x, y = x[shared[x]], y[shared[y]]
-    both = lcs(*sorted((x.tolist(), y.tolist()), key=len, reverse=True))
-    return 2 * both / (len(a) + len(b)) if both else 0.0
+    return exp(min(0.0, 1 - reference / guess) + logs)
+
+
+def _slice_scores(guess: list, reference: list, stem_of: _Stems) -> list[tuple[float, float, float, float]]:
+    n = len(guess)
+    words, sizes, _ = _numbered([_spaced(x) for x in guess + reference])
+    fours = [list(zip(hits, total, strict=True)) for hits, total, _, _ in _common(words, sizes, 4)]
+    lengths = sizes.tolist()
+    bleu = [_bleu4([x[i] for x in fours], lengths[n + i], lengths[i]) for i in range(n)]
+    words, sizes, kinds = _numbered([_plain(x) for x in guess + reference])
+    stems = np.fromiter(map(stem_of.__getitem__, kinds.to_numpy(zero_copy_only=False)), np.int64, len(kinds))[words]
+    ones, twos = _common(stems, sizes, 2)
+    one, two = ([2 * h / (p + q) if p + q else 0.0 for h, p, q in zip(*x[:3], strict=True)] for x in (ones, twos))
+    # only words of both can be in the common subsequence, and its rows are those of the shorter text
+    at = np.searchsorted(ones[3], np.concatenate([[0], np.cumsum(sizes)])).tolist()
+    shared, lengths = stems[ones[3]].tolist(), sizes.tolist()
+    out = []
+    for i in range(n):
+        x, y = shared[at[i] : at[i + 1]], shared[at[n + i] : at[n + i + 1]]
+        both = lcs(*sorted((x, y), key=len, reverse=True))
+        out.append((bleu[i], one[i], two[i], 2 * both / (lengths[i] + lengths[n + i]) if both else 0.0))
+    return out
 
 
 def _scores(guess: pd.Series, reference: pd.Series) -> pd.DataFrame:
-    words, plain, stems = (defaultdict(count().__next__) for _ in range(3))
-    pairs = [(_codes(tokens(r, stem=False), plain), _codes(tokens(g, stem=False), plain)) for g, r in zip(guess, reference, strict=True)]
-    stem_of = np.array([stems[stemmer.stem(w) if len(w) > 3 else w] for w in plain], np.int64)  # each word of the batch once
-    out = []
-    for g, r, (x, y) in zip(guess, reference, pairs, strict=True):
-        a, b = stem_of[x], stem_of[y]
-        n = [2 * hits / (p + q) if p + q else 0.0 for hits, p, q in _overlaps(a, b, 2)]
-        out.append((_bleu4(_codes((r or "").split(), words), _codes((g or "").split(), words)), *n, _rouge_l(a, b)))
+    stem_of = _Stems()
+    ends = np.cumsum([len(g or "") + len(r or "") for g, r in zip(guess, reference, strict=True)])
+    out, at = [], 0
+    while at < len(ends):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLICE, "right")))
+        out += _slice_scores(list(guess[at:to]), list(reference[at:to]), stem_of)
+        at = to
     return pd.DataFrame(out, columns=["bleu4", "rouge1", "rouge2", "rougel"])
 
 

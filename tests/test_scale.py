@@ -176,3 +176,19 @@ def test_strict_overlap_of_long_rows(spark):
     began = time.time()
     assert df.select(overlap.iou_strict(F.col("p"), F.col("q"))).first()[0] == 19950 / 20050
     assert time.time() - began < 10
+
+
+def test_scores_of_a_batch_count_together(monkeypatch):
+    """N-grams of a slice are numbered in six passes, not in six for each pair; slices of few characters give the same scores."""
+    rng = random.Random(13)
+    seen = []
+    number = pd.factorize
+    monkeypatch.setattr(pd, "factorize", lambda x: seen.append(len(x)) or number(x))
+    texts = pd.Series([" ".join(rng.choice(["a", "bb", "running", "ü x", "\x1c", "　"]) for _ in range(rng.randrange(30))) for _ in range(200)])
+    got = rouge._scores(texts, texts[::-1].reset_index(drop=True))
+    assert len(seen) == 6
+    monkeypatch.setattr(rouge, "SLICE", 100)
+    assert rouge._scores(texts, texts[::-1].reset_index(drop=True)).equals(got)
+    for g, r, row in zip(texts, texts[::-1], got.itertuples(index=False), strict=True):
+        a, b = rouge.tokens(r), rouge.tokens(g)
+        assert tuple(row) == (rouge.bleu4(r.split(), g.split()), rouge.rouge_n(a, b, 1), rouge.rouge_n(a, b, 2), rouge.rouge_l(a, b))
