@@ -149,6 +149,12 @@ def _taken(files: list, lines: list, names: list, paths: list, at: list, words:
     return len(taken)
 
 
+def _strict(files: list, lines: list, names: list, paths: list, at: list, words: list, rest: list) -> tuple[int, int, int]:
+    """Distinct pairs of the locations, of the labels, and of both."""
+    p, q = ({(f, n) for f, n in zip(*x, strict=True) if f and n} for x in ((files, lines), (paths, at)))
+    return len(p), len(q), len(p & q)
+
+
 def iou_lenient(locs: Column, labels: Column, tolerance: int = TOLERANCE) -> Column:
     """Each location in order takes the first label that is left and matches."""
     both = _joined(locs, labels, lambda *x: (_taken(*x, tolerance),), "n: int")["n"]
@@ -169,3 +175,10 @@ def hit_rate(locs: Column, labels: Column, tolerance: int = TOLERANCE) -> Column
 
 def hit_rate_strict(locs: Column, labels: Column) -> Column:
     return _share(_joined(_some(locs), labels, lambda *x: (_hit(*x, 0, by_name=False),), "n: int")["n"], labels)
+
+
+def lexical(locs: Column, labels: Column, tolerance: int = TOLERANCE) -> Column:
+    """(iou, hit_strict, hit) of iou_strict, hit_rate_strict and hit_rate, in one pass."""
+    n = _joined(_some(locs), labels, lambda *x: (*_strict(*x), _hit(*x, 0, by_name=False), _hit(*x, tolerance)), "p: int, q: int, both: int, strict: int, hit: int")
+    iou = F.when(locs.isNull() | labels.isNull(), 0.0).otherwise(_iou(n["p"], n["q"], n["both"]))
+    return F.struct(iou.alias("iou"), _share(n["strict"], labels).alias("hit_strict"), _share(n["hit"], labels).alias("hit"))

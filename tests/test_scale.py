@@ -167,6 +167,28 @@ def test_locations_of_long_reviews(spark):
     assert time.time() - began < 15
 
 
+def test_lexical_scores_are_the_three_metrics(spark):
+    """In one call of Python, for nulls, empty rows, repeats and places without a line too."""
+    rng = random.Random(11)
+    rows = []
+    for k in range(300):
+        locs = [(rng.choice([None, "", "a", "b:1"]), rng.choice([None, 0, 1, 3, 9]), rng.choice([None, "err", "x.y"])) for _ in range(rng.randrange(6))]
+        labels = [(rng.choice([None, "", "a", "b:1"]), rng.choice([None, 0, 1, 3, 8]), rng.choice(["err", "x.y", None])) for _ in range(rng.randrange(6))]
+        rows.append((k, None if k in (7, 9) else locs, None if k in (8, 9) else labels))
+    df = spark.createDataFrame(rows, f"k int, p {LOC}, q {LABEL}")
+    p, q = F.col("p"), F.col("q")
+    once = df.select("k", overlap.lexical(p, q).alias("s")).select("k", "s.*")
+    got = once.orderBy("k").collect()
+    want = df.select("k", overlap.iou_strict(p, q), overlap.hit_rate_strict(p, q), overlap.hit_rate(p, q)).orderBy("k").collect()
+    assert [tuple(r) for r in got] == [tuple(r) for r in want]
+    pairs = lambda x: {(f, n) for f, n, _ in x or () if f and n}
+    for r, (_, locs, labels) in zip(got, rows, strict=True):
+        a, b = pairs(locs), pairs(labels)
+        assert r.iou == (0.0 if locs is None or labels is None else len(a & b) / len(a | b) if a | b else 1.0)
+    assert once._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython [run(") == 1
+    assert "pythonUDF1" not in once._jdf.queryExecution().executedPlan().toString()
+
+
 def test_strict_overlap_of_long_rows(spark):
     """20,000 pairs of each side are told apart by a hash."""
     df = spark.range(1).selectExpr(
